@@ -76,7 +76,7 @@ def ordered_scan(
 
     # One row per group and bucket. A group has at most one row per bucket, so
     # the windows below see no more rows per group than there are buckets.
-    key = F.struct(*[F.col(name) for name in [*ties, *tie_break]])
+    key = F.struct(*[F.col(name) for name in dict.fromkeys([*ties, *tie_break])])
     ends = F.struct(F.col("_row").alias("at"), key.alias("key"), F.col("_rank").alias("rank"), F.col("_dense").alias("dense"))
     summary = local.groupBy(*by, "_bucket").agg(
         F.count(F.lit(1)).alias("_rows"),

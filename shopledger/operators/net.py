@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col, first_match, zero_if_null
+from ..functions.columns import col, money, zero_if_null
 from ..functions.joins import spread_null_left_join
 
 # Web warehouse, web location, channels whose returns go to the web
@@ -109,7 +109,7 @@ def attributed_sales(sales: DataFrame, lines: DataFrame) -> DataFrame:
 
 def margins(df: DataFrame) -> DataFrame:
     """Landed margin (dollars less fair value) and vendor margin (dollars less units at last cost)."""
-    vendor_cost = F.col("quantity") * F.col("unit_last_cost")
+    vendor_cost = money(F.col("quantity") * F.col("unit_last_cost"))
     return (
         df.withColumn("landed_cost", zero_if_null("fair_market_value"))
         .withColumn("landed_margin", F.col("merchandise") - zero_if_null("fair_market_value"))
@@ -144,7 +144,8 @@ def net_with_cost_adjustment(
 ) -> DataFrame:
     """Net sales with the cost-allocation table; adjustment-only keys are kept.
 
-    ``adjusted_margin`` is net ``dollars`` minus the adjustment.
+    ``adjusted_margin`` is net ``dollars`` minus the adjustment and
+    ``movements`` the number of sales and return rows behind a key.
     """
     signed = [
         sales.select(*keys, *[col(e).alias(m) for m, e in measures.items()]),
@@ -158,6 +159,7 @@ def net_with_cost_adjustment(
         *[value.alias(f"net_{m}") for m, value in net.items()],
         cost.alias("cost_adjustment"),
         (net[dollars] - cost).alias("adjusted_margin"),
+        F.count(dollars).alias("movements"),
     )
 
 

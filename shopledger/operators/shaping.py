@@ -37,7 +37,8 @@ def pivot_when(
 
 
 def dense_grid(
-    facts: DataFrame, keys: Sequence[str], dimension: str, values: DataFrame, measures: Sequence[str]
+    facts: DataFrame, keys: Sequence[str], dimension: str, values: DataFrame, measures: Sequence[str],
+    only: str | None = None,
 ) -> DataFrame:
     """Every key with every value of a small dimension; missing combinations are zero.
 
@@ -45,15 +46,21 @@ def dense_grid(
     outside it, which are kept. Facts are summed per key and value first; then
     each key holds at most one entry per value and the missing ones are added
     in place, without a cross join. The dimension is limited to ``GRID_LIMIT``
-    values and the query fails beyond that.
+    values and the query fails beyond that. With ``only``, keys that have no
+    row where that column is true get no grid.
     """
     wanted = values.where(F.col(dimension).isNotNull()).agg(F.collect_set(dimension).alias("v")).scalar()
-    summed = facts.groupBy(*keys, dimension).agg(*[F.sum(m).alias(m) for m in measures])
-    per_key = summed.groupBy(*keys).agg(F.collect_list(F.struct(dimension, *measures)).alias("_have"))
+    in_scope = F.bool_or(only) if only else F.bool_or(F.lit(True))
+    summed = facts.groupBy(*keys, dimension).agg(*[F.sum(m).alias(m) for m in measures], in_scope.alias("_scope"))
+    per_key = summed.groupBy(*keys).agg(
+        F.collect_list(F.struct(dimension, *measures)).alias("_have"), F.bool_or("_scope").alias("_scope")
+    )
     per_key = per_key.withColumn("_wanted", wanted)
-    checked = F.when(
-        F.size("_wanted") > GRID_LIMIT, F.raise_error(F.lit("the grid dimension has too many values"))
-    ).otherwise(F.col("_wanted"))
+    checked = (
+        F.when(F.size("_wanted") > GRID_LIMIT, F.raise_error(F.lit("the grid dimension has too many values")))
+        .when(F.col("_scope"), F.col("_wanted"))
+        .otherwise(F.slice("_wanted", 1, 0))
+    )
     entry = summed.select(F.struct(dimension, *measures).alias("e")).schema["e"].dataType
     missing = F.transform(
         F.array_except("_wanted_checked", F.transform("_have", lambda e: e[dimension])),

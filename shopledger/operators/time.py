@@ -42,23 +42,13 @@ def align_last_year(fact: DataFrame, calendar: DataFrame, day: str = DAY) -> Dat
     return fact.join(moved, day).select(F.col("_this_year_day").alias(day), *others)
 
 
-def to_date_buckets(
-    fact: DataFrame,
-    calendar: DataFrame,
-    as_of: date,
-    keys: Sequence[str],
-    measures: Mapping[str, str | Column],
-    periods: Sequence[str] = ("week", "month", "quarter", "year"),
-    lag_days: int = 7,
-    cutoff: date | None = None,
-    day: str = DAY,
+def bucket_days(
+    calendar: DataFrame, as_of: date, periods: Sequence[str] = ("week", "month", "quarter", "year"),
+    lag_days: int = 7, cutoff: date | None = None, day: str = DAY,
 ) -> DataFrame:
-    """Week-, month-, quarter- and year-to-date sums for this year and last.
+    """Days of this fiscal year and the days they point back to, flagged by bucket.
 
-    One pass: every calendar day carries flags saying which buckets its facts
-    fall into, so the fact is scanned and shuffled once whatever the number of
-    buckets. Keys seen only last year are kept. Columns: ``<measure>_<period>``
-    and ``<measure>_<period>_ly``; null where no row of the bucket exists.
+    One row per day, so a semi join with it limits a fact to the days needed.
     """
     anchor = anchor_period(calendar, as_of, lag_days)
     # Every period lies inside its fiscal year, so an equality on the year finds all days.
@@ -80,7 +70,28 @@ def to_date_buckets(
         *[inside[p].alias(f"_ly_{p}") for p in periods],
     )
     flags = [f"_{y}_{p}" for y in ("ty", "ly") for p in periods]
-    days = this_year.unionByName(last_year).groupBy(day).agg(*[F.bool_or(f).alias(f) for f in flags])
+    return this_year.unionByName(last_year).groupBy(day).agg(*[F.bool_or(f).alias(f) for f in flags])
+
+
+def to_date_buckets(
+    fact: DataFrame,
+    calendar: DataFrame,
+    as_of: date,
+    keys: Sequence[str],
+    measures: Mapping[str, str | Column],
+    periods: Sequence[str] = ("week", "month", "quarter", "year"),
+    lag_days: int = 7,
+    cutoff: date | None = None,
+    day: str = DAY,
+) -> DataFrame:
+    """Week-, month-, quarter- and year-to-date sums for this year and last.
+
+    One pass: every calendar day carries flags saying which buckets its facts
+    fall into, so the fact is scanned and shuffled once whatever the number of
+    buckets. Keys seen only last year are kept. Columns: ``<measure>_<period>``
+    and ``<measure>_<period>_ly``; null where no row of the bucket exists.
+    """
+    days = bucket_days(calendar, as_of, periods, lag_days, cutoff, day)
     sums = []
     for name, measure in measures.items():
         for p in periods:

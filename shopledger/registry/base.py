@@ -30,7 +30,7 @@ def presentable(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(field.name)
         if isinstance(field.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = c.cast("double")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         columns.append(c.alias(field.name))

@@ -64,7 +64,7 @@ def _(t):
     sales, returns = (moves(t, side) for side in (False, True))
     return net.net_with_cost_adjustment(
         sales, returns, t["cosa"], grain, {"dollars": "merchandise", "units": "quantity"}, "dollars"
-    )
+    ).drop("movements")
 
 
 @query("net_vs_forecast")
@@ -190,7 +190,7 @@ def _(t):
 
 @query("rank_family")
 def _(t):
-    whole = orders(t).withColumn("hundreds", F.floor(F.col("net_amount") / 100))
+    whole = orders(t).withColumn("hundreds", F.floor(F.col("net_amount") / 100).cast("bigint"))
     return windows.ranks(whole, "hundreds", ["order_number"], ["channel_code_desc"]).select(
         "order_number", "channel_code_desc", "hundreds", "row_number", "rank", "dense_rank"
     )

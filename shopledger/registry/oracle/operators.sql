@@ -95,7 +95,8 @@ LEFT JOIN f ON k.date_analytics_id = f.date_analytics_id AND k.store = f.store A
 -- key: margins
 SELECT p.level_3_analytics_id, sum(coalesce(fair_market_value, 0))::DOUBLE AS landed_cost,
   sum(merchandise - coalesce(fair_market_value, 0))::DOUBLE AS landed_margin,
-  sum(quantity * unit_last_cost)::DOUBLE AS vendor_cost, sum(merchandise - quantity * unit_last_cost)::DOUBLE AS vendor_margin
+  sum(CAST(quantity * unit_last_cost AS DECIMAL(18,4)))::DOUBLE AS vendor_cost,
+  sum(merchandise - CAST(quantity * unit_last_cost AS DECIMAL(18,4)))::DOUBLE AS vendor_margin
 FROM line_facts l JOIN product_to_merchandising_taxonomy p USING (product_analytics_id)
 WHERE is_return_line = 0 GROUP BY 1
 
@@ -189,9 +190,9 @@ WHERE CAST(date_ordered AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-03-31'
 -- key: share_of_total
 SELECT order_number, channel_code_desc, net_amount::DOUBLE AS net_amount,
   (sum(net_amount) OVER (PARTITION BY channel_code_desc))::DOUBLE AS channel_total,
-  round(net_amount::DOUBLE / nullif((sum(net_amount) OVER (PARTITION BY channel_code_desc))::DOUBLE, 0), 6) AS channel_share,
+  net_amount::DOUBLE / nullif((sum(net_amount) OVER (PARTITION BY channel_code_desc))::DOUBLE, 0) AS channel_share,
   (sum(net_amount) OVER ())::DOUBLE AS overall_total,
-  round(net_amount::DOUBLE / nullif((sum(net_amount) OVER ())::DOUBLE, 0), 6) AS overall_share
+  net_amount::DOUBLE / nullif((sum(net_amount) OVER ())::DOUBLE, 0) AS overall_share
 FROM order_header
 
 -- key: pareto
@@ -200,7 +201,7 @@ r AS (
   SELECT *, sum(sales) OVER (ORDER BY sales DESC NULLS LAST, target_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
     sum(sales) OVER () AS total FROM c)
 SELECT target_key, sales::DOUBLE AS sales, running::DOUBLE AS running, total::DOUBLE AS total,
-  round(running::DOUBLE / nullif(total::DOUBLE, 0), 6) AS cumulative_share FROM r
+  running::DOUBLE / nullif(total::DOUBLE, 0) AS cumulative_share FROM r
 
 -- key: rank_family
 WITH o AS (SELECT order_number, channel_code_desc, CAST(floor(net_amount / 100) AS BIGINT) AS hundreds FROM order_header)
@@ -235,7 +236,7 @@ UNION ALL SELECT order_number, channel_code_desc, net_amount::DOUBLE, 'overall'
 
 -- key: group_average
 SELECT order_number, channel_code_desc, net_amount::DOUBLE AS net_amount,
-  round((sum(net_amount) OVER (PARTITION BY channel_code_desc))::DOUBLE / (count(net_amount) OVER (PARTITION BY channel_code_desc)), 6) AS channel_mean
+  (sum(net_amount) OVER (PARTITION BY channel_code_desc))::DOUBLE / (count(net_amount) OVER (PARTITION BY channel_code_desc)) AS channel_mean
 FROM order_header
 
 -- key: latest_per_key
@@ -256,7 +257,7 @@ FROM product_history h JOIN m ON h.location_analytics_id = m.location_analytics_
 -- key: collapse_lines
 SELECT order_analytics_id, product_analytics_id, sum(quantity)::DOUBLE AS quantity, sum(merchandise)::DOUBLE AS merchandise,
   max(date_ordered) AS date_ordered, min(order_line_type) AS order_line_type,
-  round(sum(unit_price)::DOUBLE / count(unit_price), 6) AS unit_price_mean
+  sum(unit_price)::DOUBLE / count(unit_price) AS unit_price_mean
 FROM sales_line GROUP BY 1, 2
 
 -- key: last_value
@@ -265,7 +266,7 @@ SELECT target_key, order_date AS last_order_date, max(net_amount)::DOUBLE AS las
 
 -- key: customer_year
 SELECT target_key, order_year, count(DISTINCT order_number) AS frequency, sum(net_amount)::DOUBLE AS sales,
-  round(sum(net_amount)::DOUBLE / count(net_amount), 6) AS avg_order_value
+  sum(net_amount)::DOUBLE / count(net_amount) AS avg_order_value
 FROM order_header WHERE target_key <> -1 AND net_amount > 0 GROUP BY 1, 2
 
 -- key: frequency_bucket
@@ -283,7 +284,7 @@ SELECT order_year, CASE WHEN s <= 1000 THEN '0-1000' WHEN s <= 2500 THEN '1001-2
 -- key: cohort_size
 WITH f AS (SELECT target_key, min(order_year) AS first_period FROM order_header WHERE target_key <> -1 AND net_amount > 0 GROUP BY 1)
 SELECT first_period, count(*) AS cohort_customers, CAST(sum(count(*)) OVER () AS BIGINT) AS all_customers,
-  round(count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE, 6) AS cohort_share FROM f GROUP BY 1
+  count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE AS cohort_share FROM f GROUP BY 1
 
 -- key: price_mix
 WITH l AS (
@@ -683,8 +684,8 @@ nx AS (
       ORDER BY current_arrival_date_analytics_id NULLS LAST, purchase_order_analytics_id, po_line_number) AS rn
     FROM po_details WHERE quantity_open > 0 AND is_closed = 0) x WHERE rn = 1 AND location_analytics_id = 904)
 SELECT bo.product_analytics_id, bo.units::DOUBLE AS open_backorder_units, greatest(bo.units - coalesce(nx.n, 0), 0)::DOUBLE AS oversold_units,
-  round((coalesce(st.a, 0) + coalesce(oo.o, 0))::DOUBLE / nullif(bo.units::DOUBLE, 0), 6) AS coverage_ratio,
-  round(bo.units::DOUBLE / nullif((coalesce(st.a, 0) + coalesce(st.b, 0))::DOUBLE, 0), 6) AS backorder_to_stock_ratio
+  (coalesce(st.a, 0) + coalesce(oo.o, 0))::DOUBLE / nullif(bo.units::DOUBLE, 0) AS coverage_ratio,
+  bo.units::DOUBLE / nullif((coalesce(st.a, 0) + coalesce(st.b, 0))::DOUBLE, 0) AS backorder_to_stock_ratio
 FROM bo LEFT JOIN st USING (product_analytics_id) LEFT JOIN oo USING (product_analytics_id) LEFT JOIN nx USING (product_analytics_id)
 
 -- key: open_vs_received
@@ -709,7 +710,7 @@ FROM o FULL JOIN r USING (vpn, po, pl, nced, cd, loc)
 WITH b AS (
   SELECT purchase_order_analytics_id, po_line_number, vendor_analytics_id, product_analytics_id, written_date AS po_written_date,
     datediff('day', current_arrival_date, DATE '2000-06-15') AS stale_days FROM po_details WHERE is_closed = 0)
-SELECT *, round((sum(stale_days) OVER (PARTITION BY product_analytics_id))::DOUBLE / (count(stale_days) OVER (PARTITION BY product_analytics_id)), 6) AS avg_stale_days,
+SELECT *, (sum(stale_days) OVER (PARTITION BY product_analytics_id))::DOUBLE / (count(stale_days) OVER (PARTITION BY product_analytics_id)) AS avg_stale_days,
   row_number() OVER (PARTITION BY vendor_analytics_id ORDER BY po_written_date DESC NULLS LAST, purchase_order_analytics_id, po_line_number) AS vendor_recency
 FROM b
 
@@ -749,8 +750,8 @@ y AS (
   SELECT h.product_analytics_id AS k, sum(available_fair_market_value) AS a
   FROM product_history h JOIN calendar c ON h.date_analytics_id = c.last_year_date_analytics_id WHERE c.gregorian_date = DATE '2000-06-15' GROUP BY 1)
 SELECT k AS product_analytics_id, n.a::DOUBLE AS current_available, n.t::DOUBLE AS current_in_transit, p.a::DOUBLE AS prior_available,
-  y.a::DOUBLE AS last_year_available, (n.a - y.a)::DOUBLE AS yoy_change, round((n.a - y.a)::DOUBLE / nullif(y.a::DOUBLE, 0), 6) AS yoy_change_pct,
-  (n.a - p.a)::DOUBLE AS wow_change, round((n.a - p.a)::DOUBLE / nullif(p.a::DOUBLE, 0), 6) AS wow_change_pct
+  y.a::DOUBLE AS last_year_available, (n.a - y.a)::DOUBLE AS yoy_change, (n.a - y.a)::DOUBLE / nullif(y.a::DOUBLE, 0) AS yoy_change_pct,
+  (n.a - p.a)::DOUBLE AS wow_change, (n.a - p.a)::DOUBLE / nullif(p.a::DOUBLE, 0) AS wow_change_pct
 FROM n FULL JOIN p USING (k) FULL JOIN y USING (k)
 
 -- key: region_map
@@ -781,9 +782,9 @@ a AS (
     coalesce(sum(x.unit_price)::DOUBLE / nullif(count(x.unit_price), 0), min(c.price)::DOUBLE) AS cost
   FROM culinary_products c LEFT JOIN x ON x.sku = c.sku GROUP BY 1, 2, 3, 4, 5)
 SELECT sku, location_code, start_date, maximum_seats, price::DOUBLE AS price, paid::DOUBLE AS paid_seats, actual::DOUBLE AS actual_revenue,
-  round(cost, 6) AS cost, (maximum_seats - paid)::DOUBLE AS available_seats,
-  CASE WHEN maximum_seats = 0 THEN 0 ELSE round(paid::DOUBLE / maximum_seats, 4) END AS fill_rate,
-  round(actual::DOUBLE + (maximum_seats - paid)::DOUBLE * cost, 6) AS potential_revenue
+  cost AS cost, (maximum_seats - paid)::DOUBLE AS available_seats,
+  CASE WHEN maximum_seats = 0 THEN 0 ELSE ((CAST(paid AS BIGINT) * 20000 + maximum_seats) // (2 * maximum_seats)) / 10000 END AS fill_rate,
+  actual::DOUBLE + (maximum_seats - paid)::DOUBLE * cost AS potential_revenue
 FROM a
 
 -- key: resolve_name
@@ -797,8 +798,8 @@ WITH l AS (
     quantity - quantity_returned - quantity_canceled AS net_quantity FROM sales_line)
 SELECT order_line_analytics_id, sku, attribution_location_analytics_id, quantity::DOUBLE AS quantity, quantity_returned::DOUBLE AS quantity_returned,
   quantity_canceled::DOUBLE AS quantity_canceled, sub_total::DOUBLE AS sub_total, net_quantity::DOUBLE AS net_quantity,
-  CASE WHEN quantity = 0 THEN 0 ELSE round(sub_total::DOUBLE / quantity::DOUBLE, 6) END AS seat_price,
-  CASE WHEN quantity = 0 THEN 0 ELSE round(net_quantity::DOUBLE * (sub_total::DOUBLE / quantity::DOUBLE), 6) END AS extended_price,
+  CASE WHEN quantity = 0 THEN 0 ELSE sub_total::DOUBLE / quantity::DOUBLE END AS seat_price,
+  CASE WHEN quantity = 0 THEN 0 ELSE net_quantity::DOUBLE * (sub_total::DOUBLE / quantity::DOUBLE) END AS extended_price,
   (sum(sub_total) OVER (PARTITION BY sku))::DOUBLE AS class_revenue, (sum(net_quantity) OVER (PARTITION BY sku))::DOUBLE AS class_net_quantity,
   rank() OVER (PARTITION BY attribution_location_analytics_id ORDER BY sub_total DESC NULLS LAST) AS rank_in_class
 FROM l

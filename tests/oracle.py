@@ -35,7 +35,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "null" if math.isnan(value) else repr(round(value, 6) + 0.0)
+        return "null" if math.isnan(value) else repr(value + 0.0)
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     return str(value)
