@@ -37,7 +37,7 @@ def _(t):
 
 # E-commerce reports
 
-query("marketplace_orders")(lambda t: ecommerce.marketplace_orders_of_yesterday(t, AS_OF))
+query("marketplace_orders")(lambda t: ecommerce.marketplace_orders_of_yesterday(t, date(1998, 6, 18)))
 query("discount_redemptions")(lambda t: ecommerce.discount_redemptions_of_yesterday(t, AS_OF))
 query("hourly_ecommerce_demand")(
     lambda t: ecommerce.hourly_ecommerce_demand(t, date(1999, 10, 2), date(2000, 10, 14))
