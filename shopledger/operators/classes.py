@@ -65,9 +65,8 @@ def cancelled_lines(lines: DataFrame, class_keys: Sequence[str], rank_keys: Sequ
         .withColumn("net_quantity", net)
         .withColumn("extended_price", net.cast("double") * seat_price)
     )
-    totals = with_group_values(
-        priced, class_keys, {"class_revenue": F.sum("sub_total"), "class_net_quantity": F.sum("net_quantity")}
+    ranked = ordered_scan(priced, [("sub_total", "desc")], key, rank_keys).drop("row_number", "dense_rank", "group_rows")
+    return with_group_values(
+        ranked.withColumnRenamed("rank", "rank_in_class"), class_keys,
+        {"class_revenue": F.sum("sub_total"), "class_net_quantity": F.sum("net_quantity")},
     )
-    return ordered_scan(totals, [("sub_total", "desc")], key, rank_keys).drop(
-        "row_number", "dense_rank", "group_rows"
-    ).withColumnRenamed("rank", "rank_in_class")

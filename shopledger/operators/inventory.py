@@ -12,6 +12,7 @@ from ..functions.ordered import ordered_scan
 from .keys import snapshot_at_max
 from .pricing import days_since
 from .shaping import pivot_when
+from .time import days_between, on_days
 from .windows import group_stat
 
 NO_DATE = date(2099, 12, 31)
@@ -42,8 +43,7 @@ def open_backorders(lines: DataFrame, as_of: date, first_day: date | None = None
 
 def on_hand(history: DataFrame, calendar: DataFrame, day: date, sites: Sequence[int]) -> DataFrame:
     """Units at each site on one day as columns ``on_hand_<site>``."""
-    days = calendar.where(F.col("gregorian_date") == F.lit(day)).select("date_analytics_id")
-    stock = history.where(F.col("location_analytics_id").isin(*sites)).join(days, "date_analytics_id", "left_semi")
+    stock = history.where(F.col("location_analytics_id").isin(*sites) & on_days(days_between(calendar, day, day)))
     return pivot_when(
         stock,
         ["product_analytics_id"],
@@ -179,24 +179,16 @@ def inventory_position(
 
     Last year is the stock of the day that ``as_of`` points back to.
     """
-    now, before = F.lit(as_of), F.lit(prior)
-    days = (
-        calendar.where(F.col("gregorian_date").isin(as_of, prior))
-        .select("date_analytics_id", F.when(F.col("gregorian_date") == now, "now").otherwise("prior").alias("_when"))
-        .unionByName(
-            calendar.where(F.col("gregorian_date") == now).select(
-                F.col("last_year_date_analytics_id").alias("date_analytics_id"), F.lit("last_year").alias("_when")
-            )
-        )
-    )
+    now, before = days_between(calendar, as_of, as_of), days_between(calendar, prior, prior)
+    last_year = days_between(calendar, as_of, as_of, "last_year_date_analytics_id")
     return pivot_when(
-        history.join(days, "date_analytics_id"),
+        history.where(on_days(now) | on_days(before) | on_days(last_year)),
         keys,
         {
-            "current_available": (F.col("_when") == "now", "available_fair_market_value"),
-            "current_in_transit": (F.col("_when") == "now", "in_transit_fair_market_value"),
-            "prior_available": (F.col("_when") == "prior", "available_fair_market_value"),
-            "last_year_available": (F.col("_when") == "last_year", "available_fair_market_value"),
+            "current_available": (on_days(now), "available_fair_market_value"),
+            "current_in_transit": (on_days(now), "in_transit_fair_market_value"),
+            "prior_available": (on_days(before), "available_fair_market_value"),
+            "last_year_available": (on_days(last_year), "available_fair_market_value"),
         },
     )
 
@@ -209,14 +201,13 @@ def selling_stores(sales: DataFrame, day: str = "date_analytics_id", store: str
 
 
 def active_stores(
-    sales: DataFrame, locations: DataFrame, days: DataFrame, name: str = "store_count",
+    sales: DataFrame, locations: DataFrame, days: Sequence[int], name: str = "store_count",
     store: str = "attribution_location_analytics_id",
 ) -> DataFrame:
     """Stores with positive sales per channel, on the channel's last day within ``days``."""
     site = locations.select(F.col("location_analytics_id").alias(store), F.col("channel_analytics_id").alias("channel"))
-    within = sales.join(days.select("date_analytics_id"), "date_analytics_id", "left_semi")
     per_day = (
-        selling_stores(within, store=store)
+        selling_stores(sales.where(on_days(days)), store=store)
         .join(site, store)
         .groupBy("channel", "date_analytics_id")
         .agg(F.sum("is_selling").alias(name))
@@ -236,11 +227,10 @@ def stale_days(lines: DataFrame) -> DataFrame:
     Means are aggregated and joined back; positions come from a distributed
     scan, so one vendor may hold any part of the lines.
     """
-    with_mean = group_stat(lines, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days")
-    return ordered_scan(
-        with_mean, [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"],
-        ["vendor_analytics_id"],
+    placed = ordered_scan(
+        lines, [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"], ["vendor_analytics_id"]
     ).drop("rank", "dense_rank", "group_rows").withColumnRenamed("row_number", "vendor_recency")
+    return group_stat(placed, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days")
 
 
 def region_map(

@@ -10,22 +10,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import col, zero_if_null
 from .net import net_of
 from .shaping import merge_wide, pivot_when
+from .time import days_between, on_days
 
 
 def day_and_two_day(
-    df: DataFrame, keys: Sequence[str], day: str, as_of: date, measures: Mapping[str, str | Column]
+    df: DataFrame, keys: Sequence[str], measures: Mapping[str, str | Column], today: Column, both: Column
 ) -> DataFrame:
     """Each measure on the day and on the day and the one before: ``<m>_day``, ``<m>_2day``.
 
-    Other days are filtered out at the scan; a column without a row is null.
+    ``today`` and ``both`` are conditions on the raw day column, so other days
+    are dropped at the scan; a column without a row is null.
     """
-    yesterday = as_of - timedelta(days=1)
-    today = F.col(day) == F.lit(as_of)
     columns = {}
     for name, measure in measures.items():
         columns[f"{name}_day"] = (today, measure)
         columns[f"{name}_2day"] = (F.lit(True), measure)
-    return pivot_when(df.where(F.col(day).between(F.lit(yesterday), F.lit(as_of))), keys, columns)
+    return pivot_when(df.where(both), keys, columns)
 
 
 def split_by_existence(lines: DataFrame, orders: DataFrame, keys: Sequence[str], flag: str = "is_dropship") -> DataFrame:
@@ -117,13 +117,11 @@ def store_kpis(
 ) -> DataFrame:
     """Today and two-day columns of several store-day facts side by side; every store of any fact is kept.
 
-    Each fact is limited to the two days by id before anything is summed.
+    Each fact is limited to the two days by id at its scan.
     """
-    days = calendar.where(
-        F.col("gregorian_date").between(F.lit(as_of - timedelta(days=1)), F.lit(as_of))
-    ).select("date_analytics_id", F.col("gregorian_date").alias("_day"))
+    both = days_between(calendar, as_of - timedelta(days=1), as_of)
+    today = days_between(calendar, as_of, as_of)
     sheets = [
-        day_and_two_day(df.join(days, "date_analytics_id"), [key], "_day", as_of, measures)
-        for df, measures in facts.values()
+        day_and_two_day(df, [key], measures, on_days(today), on_days(both)) for df, measures in facts.values()
     ]
     return merge_wide([key], *sheets)

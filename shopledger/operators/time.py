@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import col
 
 DAY = "date_analytics_id"
+MAX_DAYS = 20_000
 
 # Calendar column that identifies each period.
 PERIOD_COLUMN = {
@@ -42,62 +43,80 @@ def align_last_year(fact: DataFrame, calendar: DataFrame, day: str = DAY) -> Dat
     return fact.join(moved, day).select(F.col("_this_year_day").alias(day), *others)
 
 
-def bucket_days(
-    calendar: DataFrame, as_of: date, periods: Sequence[str] = ("week", "month", "quarter", "year"),
-    lag_days: int = 7, cutoff: date | None = None, day: str = DAY,
-) -> DataFrame:
-    """Days of this fiscal year and the days they point back to, flagged by bucket.
+def day_ids(days: DataFrame, column: str = DAY) -> list[int]:
+    """Day ids of a calendar selection, brought to the driver so that they can filter scans.
 
-    One row per day, so a semi join with it limits a fact to the days needed.
+    A calendar has one row per day; more than ``MAX_DAYS`` ids is refused.
     """
+    rows = days.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_DAYS + 1).collect()
+    if len(rows) > MAX_DAYS:
+        raise ValueError(f"more than {MAX_DAYS} days selected; the calendar must have one row per day")
+    return sorted(row[0] for row in rows)
+
+
+def on_days(ids: Sequence[int], day: str = DAY) -> Column:
+    """Whether a row lies on one of the days; a plain range where the ids are consecutive."""
+    if not ids:
+        return F.lit(False)
+    low, high = min(ids), max(ids)
+    if high - low + 1 == len(set(ids)):
+        return F.col(day).between(low, high)
+    return F.col(day).isin(*ids)
+
+
+def days_between(calendar: DataFrame, first: date, last: date, column: str = DAY) -> list[int]:
+    """Ids of the days from ``first`` to ``last``; ``column`` may name the last-year pointer."""
+    return day_ids(calendar.where(F.col("gregorian_date").between(F.lit(first), F.lit(last))), column)
+
+
+def period_days(
+    calendar: DataFrame, as_of: date, periods: Sequence[str] = ("week", "month", "quarter", "year"),
+    lag_days: int = 7, cutoff: date | None = None,
+) -> dict[str, list[int]]:
+    """Day ids of each period to date, and under ``<period>_ly`` the days they point back to."""
     anchor = anchor_period(calendar, as_of, lag_days)
     # Every period lies inside its fiscal year, so an equality on the year finds all days.
-    year_days = calendar.join(
+    days = calendar.join(
         anchor.select("fiscal_year", *[F.col(PERIOD_COLUMN[p]).alias(f"_at_{p}") for p in periods if p != "year"]),
         "fiscal_year",
     ).where(F.col("gregorian_date") <= F.lit(cutoff) if cutoff else F.lit(True))
-    inside = {
-        p: F.lit(True) if p == "year" else F.col(PERIOD_COLUMN[p]) == F.col(f"_at_{p}") for p in periods
-    }
-    this_year = year_days.select(
-        F.col(DAY).alias(day),
-        *[inside[p].alias(f"_ty_{p}") for p in periods],
-        *[F.lit(False).alias(f"_ly_{p}") for p in periods],
-    )
-    last_year = year_days.select(
-        F.col("last_year_date_analytics_id").alias(day),
-        *[F.lit(False).alias(f"_ty_{p}") for p in periods],
-        *[inside[p].alias(f"_ly_{p}") for p in periods],
-    )
-    flags = [f"_{y}_{p}" for y in ("ty", "ly") for p in periods]
-    return this_year.unionByName(last_year).groupBy(day).agg(*[F.bool_or(f).alias(f) for f in flags])
+    flags = [F.lit(True) if p == "year" else F.col(PERIOD_COLUMN[p]) == F.col(f"_at_{p}") for p in periods]
+    rows = days.select(DAY, "last_year_date_analytics_id", *flags).limit(MAX_DAYS + 1).collect()
+    if len(rows) > MAX_DAYS:
+        raise ValueError(f"more than {MAX_DAYS} days in a fiscal year; the calendar must have one row per day")
+    result = {}
+    for index, p in enumerate(periods, start=2):
+        result[p] = sorted({row[0] for row in rows if row[index]})
+        result[f"{p}_ly"] = sorted({row[1] for row in rows if row[index] and row[1] is not None})
+    return result
+
+
+def within(fact: DataFrame, periods: Mapping[str, Sequence[int]], day: str = DAY) -> DataFrame:
+    """Rows of a fact on any of the periods' days."""
+    return fact.where(on_days(sorted({i for ids in periods.values() for i in ids}), day))
 
 
 def to_date_buckets(
-    fact: DataFrame,
-    calendar: DataFrame,
-    as_of: date,
-    keys: Sequence[str],
-    measures: Mapping[str, str | Column],
-    periods: Sequence[str] = ("week", "month", "quarter", "year"),
-    lag_days: int = 7,
-    cutoff: date | None = None,
-    day: str = DAY,
+    fact: DataFrame, periods: Mapping[str, Sequence[int]], keys: Sequence[str],
+    measures: Mapping[str, str | Column], day: str = DAY,
 ) -> DataFrame:
     """Week-, month-, quarter- and year-to-date sums for this year and last.
 
-    One pass: every calendar day carries flags saying which buckets its facts
-    fall into, so the fact is scanned and shuffled once whatever the number of
-    buckets. Keys seen only last year are kept. Columns: ``<measure>_<period>``
-    and ``<measure>_<period>_ly``; null where no row of the bucket exists.
+    ``periods`` comes from :func:`period_days`. The fact is scanned and shuffled
+    once whatever the number of periods, and not joined to the calendar at all.
+    Keys seen only last year are kept. Columns: ``<measure>_<period>`` and
+    ``<measure>_<period>_ly``; null where no row of the period exists.
     """
-    days = bucket_days(calendar, as_of, periods, lag_days, cutoff, day)
-    sums = []
-    for name, measure in measures.items():
-        for p in periods:
-            sums.append(F.sum(F.when(F.col(f"_ty_{p}"), col(measure))).alias(f"{name}_{p}"))
-            sums.append(F.sum(F.when(F.col(f"_ly_{p}"), col(measure))).alias(f"{name}_{p}_ly"))
-    return fact.join(days, day).groupBy(*keys).agg(*sums)
+    flagged = within(fact, periods, day)
+    for p, ids in periods.items():
+        flagged = flagged.withColumn(f"_in_{p}", on_days(ids, day))
+    return flagged.groupBy(*keys).agg(
+        *[
+            F.sum(F.when(F.col(f"_in_{p}"), col(measure))).alias(f"{name}_{p}")
+            for name, measure in measures.items()
+            for p in periods
+        ]
+    )
 
 
 def fiscal_weeks(calendar: DataFrame) -> DataFrame:
@@ -145,7 +164,12 @@ def between_days(df: DataFrame, ts: str, first: date, last: date) -> DataFrame:
 
     A half-open range on the raw column, so the filter reaches the scan.
     """
-    return df.where((F.col(ts) >= F.lit(first)) & (F.col(ts) < F.lit(last + timedelta(days=1))))
+    return df.where(in_dates(ts, first, last))
+
+
+def in_dates(ts: str, first: date, last: date) -> Column:
+    """The same range as a condition."""
+    return (F.col(ts) >= F.lit(first)) & (F.col(ts) < F.lit(last + timedelta(days=1)))
 
 
 def on_day(df: DataFrame, ts: str, as_of: date, offset: int = -1) -> DataFrame:

@@ -16,21 +16,25 @@ from ..functions.ordered import ordered_scan
 
 
 def with_group_values(
-    df: DataFrame, by: Sequence[str], values: Mapping[str, Column], bounded: bool = False
+    df: DataFrame, by: Sequence[str], values: Mapping[str, Column], bounded: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Put aggregates of each row's group beside the row.
 
     Unbounded groups are aggregated on their own (partial sums first) and
-    joined back, so a group holding much of the data is never gathered.
+    joined back, so a group holding much of the data is never gathered. That
+    reads ``df`` twice; ``source`` may name a cheaper place with the same rows,
+    such as a written copy, to aggregate from.
     """
     if bounded:
         window = Window.partitionBy(*by)
         return df.select("*", *[value.over(window).alias(name) for name, value in values.items()])
+    source = df if source is None else source
     if not by:
-        totals = df.agg(F.struct(*[value.alias(name) for name, value in values.items()]).alias("_all"))
+        totals = source.agg(F.struct(*[value.alias(name) for name, value in values.items()]).alias("_all"))
         scalar = totals.scalar()
         return df.withColumn("_all", scalar).select("*", *[F.col(f"_all.{name}").alias(name) for name in values]).drop("_all")
-    totals = df.groupBy(*by).agg(*[value.alias(name) for name, value in values.items()])
+    totals = source.groupBy(*by).agg(*[value.alias(name) for name, value in values.items()])
     same = F.lit(True)
     for name in by:
         same = same & F.col(f"d.{name}").eqNullSafe(F.col(f"t.{name}"))
@@ -39,10 +43,10 @@ def with_group_values(
 
 def share_of(
     df: DataFrame, measure: str, by: Sequence[str] = (), share: str = "share", total: str = "total",
-    bounded: bool = False,
+    bounded: bool = False, source: DataFrame | None = None,
 ) -> DataFrame:
     """Part of the group or grand total; null when the total is zero."""
-    return with_group_values(df, by, {total: F.sum(measure)}, bounded).withColumn(share, ratio(measure, total))
+    return with_group_values(df, by, {total: F.sum(measure)}, bounded, source).withColumn(share, ratio(measure, total))
 
 
 def ranks(
@@ -136,11 +140,11 @@ def top_flag(rank: str | Column, n: int) -> Column:
 
 def group_stat(
     df: DataFrame, measure: str, by: Sequence[str], stat: str = "avg", name: str = "group_value",
-    bounded: bool = False,
+    bounded: bool = False, source: DataFrame | None = None,
 ) -> DataFrame:
     """Mean, minimum, maximum, sum or count of the group beside each row."""
     if stat == "avg":
         # An exact sum over a count; Spark's decimal mean would be rounded early.
-        parts = with_group_values(df, by, {"_sum": F.sum(measure), "_count": F.count(measure)}, bounded)
+        parts = with_group_values(df, by, {"_sum": F.sum(measure), "_count": F.count(measure)}, bounded, source)
         return parts.withColumn(name, ratio("_sum", "_count")).drop("_sum", "_count")
-    return with_group_values(df, by, {name: getattr(F, stat)(measure)}, bounded)
+    return with_group_values(df, by, {name: getattr(F, stat)(measure)}, bounded, source)

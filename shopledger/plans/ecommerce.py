@@ -91,12 +91,10 @@ def sales_by_price_type(
 
     The week is resolved to days first, so both facts are limited at the scan.
     """
-    days = t["calendar"].where(F.col("fiscal_week_id") == fiscal_week).select("date_analytics_id")
-    sales = net.attributed_sales(t["delivered_sales"].join(days, "date_analytics_id", "left_semi"), t["sales_line"])
-    returns = net.attributed_returns(
-        t["delivered_returns"].join(days, "date_analytics_id", "left_semi"), t["sales_line"], t["sales_header"]
-    )
-    history = t["product_price_history"].join(days, "date_analytics_id", "left_semi")
+    in_week = time.on_days(time.day_ids(t["calendar"].where(F.col("fiscal_week_id") == fiscal_week)))
+    sales = net.attributed_sales(t["delivered_sales"].where(in_week), t["sales_line"])
+    returns = net.attributed_returns(t["delivered_returns"].where(in_week), t["sales_line"], t["sales_header"])
+    history = t["product_price_history"].where(in_week)
     grain = ["product_analytics_id", "price_type", "attribution_location_analytics_id"]
     margin = F.col("merchandise") - F.coalesce("fair_market_value", F.lit(0))
     netted = net.net_of(

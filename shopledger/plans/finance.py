@@ -7,9 +7,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import first_match, ratio, zero_if_null
+from ..functions.columns import ratio, zero_if_null
 from ..functions.ordered import ordered_scan
-from ..operators import finance, keys, kpis, net, shaping, windows
+from ..operators import finance, kpis, net, shaping, time, windows
 from ..sources.catalog import RetailTables
 from .ecommerce import percent
 from .parameters import PLAN_COLUMNS, demand_class_rules
@@ -23,10 +23,10 @@ def card_refunds_for_classes(
         t["sfcc_order"], t["sales_header"], t["sales_line"], t["sfcc_order_item"], t["sfcc_payment_instrument"],
         t["culinary_products"], card, product_type, first, last,
     ).withColumnRenamed("sub_total", "line_revenue")
-    with_card = windows.with_group_values(lines, ["last_4"], {"card_last4_total_revenue": F.sum("line_revenue")})
     ranked = ordered_scan(
-        with_card, [("line_revenue", "desc")], ["order_line_analytics_id"], ["sfcc_order_number"], {"order": "line_revenue"}
+        lines, [("line_revenue", "desc")], ["order_line_analytics_id"], ["sfcc_order_number"], {"order": "line_revenue"}
     )
+    ranked = windows.with_group_values(ranked, ["last_4"], {"card_last4_total_revenue": F.sum("line_revenue")})
     total = F.col("total_order")
     return ranked.withColumn(
         "pct_of_order_revenue", F.when(total == 0, F.lit(0)).otherwise(percent("line_revenue", "total_order"))
@@ -69,11 +69,11 @@ def direct_daily_kpis(
             F.col("last_year_date_analytics_id").alias("date_analytics_id"), "gregorian_date", F.lit("last year").alias("period")
         )
     )
-    written = t["written_sales"].join(days.select("date_analytics_id"), "date_analytics_id", "left_semi")
+    wanted = time.on_days(time.day_ids(days))
+    written = t["written_sales"].where(wanted)
     demand = kpis.demand_classes(demand_lines(t, written), demand_class_rules())
     sheet = kpis.demand_vs_plan(
-        calendar.join(days.select("date_analytics_id"), "date_analytics_id", "left_semi"),
-        t["direct_forecast_sales_budget"], demand, plan_columns,
+        calendar.where(wanted), t["direct_forecast_sales_budget"].where(wanted), demand, plan_columns,
     ).drop("gregorian_date").join(days, "date_analytics_id")
     today, chosen = F.col("gregorian_date") == F.lit(as_of), F.col("class_id") == class_id
     planned = chosen & (F.col("period") == "this year")
@@ -117,16 +117,14 @@ def store_daily_kpis(
 
     All facts are limited to the two days by id first; stores of any fact are kept.
     """
-    days = t["calendar"].where(
-        F.col("gregorian_date").between(F.lit(as_of - timedelta(days=1)), F.lit(as_of))
-    ).select("date_analytics_id", F.col("gregorian_date").alias("day"))
+    either_day = time.on_days(time.days_between(t["calendar"], as_of - timedelta(days=1), as_of))
     store = "location_analytics_id"
     products = t["product_to_merchandising_taxonomy"].where(F.col("level_3_analytics_id").isin(*departments)).select(
         "product_analytics_id"
     )
 
     def two_days(df: DataFrame) -> DataFrame:
-        return df.join(days.select("date_analytics_id"), "date_analytics_id", "left_semi")
+        return df.where(either_day)
 
     def in_departments(df: DataFrame) -> DataFrame:
         return df.join(products, "product_analytics_id", "left_semi")

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio, zero_if_null
-from ..functions.ordered import ordered_scan
+from ..functions.ordered import cut_lineage, ordered_scan
 from ..operators import inventory, net, pricing, shaping, time, windows
 from ..sources.catalog import RetailTables
 
@@ -32,45 +32,42 @@ def market_basket(t: RetailTables, first: date, last: date) -> DataFrame:
     An order placed in the range brings all its lines; only products sold in
     the range get the full list of channels.
     """
-    days = t["calendar"].where(F.col("gregorian_date").between(F.lit(first), F.lit(last))).select(
-        "date_analytics_id", F.lit(True).alias("_in_range")
-    )
-    in_range = t["written_sales"].join(days.select("date_analytics_id"), "date_analytics_id", "left_semi")
-    orders = in_range.select("order_analytics_id").distinct()
+    in_range = time.on_days(time.days_between(t["calendar"], first, last))
+    orders = t["written_sales"].where(in_range).select("order_analytics_id").distinct()
     written = (
         t["written_sales"].join(orders, "order_analytics_id", "left_semi")
-        .join(days, "date_analytics_id", "left")
-        .withColumn("_in_range", F.coalesce("_in_range", F.lit(False)))
+        .withColumn("_in_range", F.coalesce(in_range, F.lit(False)))
     )
     cells = shaping.basket_lines(written, t["sales_line"], t["locations"])
     channels = t["channels"].select(F.col("channel_analytics_id").alias("channel"), "channel_code")
-    grid = shaping.dense_grid(
-        cells, ["order_analytics_id", "product_analytics_id"], "channel", channels, ["merchandise", "quantity"], only="_in_range"
+    # Written once, then read for the channel totals and for the rows.
+    grid = cut_lineage(
+        shaping.dense_grid(
+            cells, ["order_analytics_id", "product_analytics_id"], "channel", channels, ["merchandise", "quantity"], only="_in_range"
+        ).join(channels, "channel")
+    )
+    totals = windows.with_group_values(grid, ["product_analytics_id", "channel"], {"_channel_total": F.sum("merchandise")})
+    ranked = ordered_scan(
+        totals, [("_channel_total", "desc")], ["channel_code", "order_analytics_id"], ["product_analytics_id"], {"sku": "merchandise"}
     )
     agents = shaping.agent_orders(
         t["store_agents"], t["sales_line"].join(orders, "order_analytics_id", "left_semi")
     )
-    named = (
-        grid.join(channels, "channel")
-        .join(t["product_to_merchandising_taxonomy"].select("product_analytics_id", "level_3_analytics_id"), "product_analytics_id")
+    shared = (
+        ranked.join(t["product_to_merchandising_taxonomy"].select("product_analytics_id", "level_3_analytics_id"), "product_analytics_id")
         .join(departments_named(t), "level_3_analytics_id")
         .join(t["products"].select("product_analytics_id", "product_name"), "product_analytics_id")
         .join(t["sales_header"].select("order_analytics_id", "order_number"), "order_analytics_id", "left")
         .join(agents, "order_analytics_id", "left")
         .withColumn("agent_orders", zero_if_null("agent_orders"))
-    )
-    ranked = windows.rank_by_group_total(
-        named, ["product_analytics_id"], ["channel"], "merchandise", ["channel_code", "order_analytics_id"]
-    )
-    shared = windows.share_of(
-        ranked, "merchandise", ["product_analytics_id"], "channel_sales_share_for_sku", "total_sales_per_sku"
+        .withColumn("channel_sales_share_for_sku", ratio("merchandise", "total_sku"))
     )
     return shared.select(
         "channel", "channel_code", F.col("order_analytics_id").alias("original_order_analytics_id"),
         F.col("order_number").alias("original_order_number"), "level_3_analytics_id", "level_3_name", "taxonomy_code",
         "product_analytics_id", "product_name", F.col("merchandise").alias("written_gross_sales"),
         F.col("quantity").alias("written_gross_units"), F.col("agent_orders").alias("primary_product_identifier"),
-        F.col("in_grid").alias("order_presence_flag"), "total_sales_per_sku", "channel_sales_share_for_sku",
+        F.col("in_grid").alias("order_presence_flag"), F.col("total_sku").alias("total_sales_per_sku"), "channel_sales_share_for_sku",
         F.col("row_number").alias("sku_channel_rank_within_sku"),
     )
 
@@ -151,13 +148,19 @@ def open_purchase_orders(t: RetailTables, as_of: date, departments: Sequence[int
         .join(collections, "product_analytics_id")
         .join(departments_named(t), "level_3_analytics_id")
     )
-    fact = windows.group_stat(fact, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days_per_product")
-    fact = windows.share_of(fact, "open_vendor_cost", ["level_3_analytics_id"], "pct_open_cost_within_dept", "_department")
+    # Written once; positions, product means and department totals all read the copy.
+    fact = cut_lineage(fact)
     ranked = ordered_scan(
-        fact.drop("_department"), [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"],
+        fact, [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"],
         ["vendor_analytics_id"], {"open_units": "open_units"},
     )
-    return ranked.drop("rank", "dense_rank", "group_rows", "running_open_units", "stale_days").withColumnsRenamed(
+    ranked = windows.group_stat(
+        ranked, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days_per_product", source=fact
+    )
+    ranked = windows.share_of(
+        ranked, "open_vendor_cost", ["level_3_analytics_id"], "pct_open_cost_within_dept", "_department", source=fact
+    )
+    return ranked.drop("rank", "dense_rank", "group_rows", "running_open_units", "stale_days", "_department").withColumnsRenamed(
         {"row_number": "vendor_po_recency_rank", "total_open_units": "total_open_units_by_vendor"}
     )
 
@@ -183,14 +186,14 @@ def planning_dashboard(
 
     in_week = F.col("gregorian_date").between(F.lit(week_start), F.lit(week_end))
     weeks = calendar.where(in_week).select("fiscal_week_id").distinct()
-    this_year = calendar.join(weeks, "fiscal_week_id", "left_semi").select("date_analytics_id")
-    last_year = calendar.where(in_week).select(F.col("last_year_date_analytics_id").alias("date_analytics_id"))
+    this_year = time.day_ids(calendar.join(weeks, "fiscal_week_id", "left_semi"))
+    last_year = time.days_between(calendar, week_start, week_end, "last_year_date_analytics_id")
     line = t["sales_line"].where(F.col("attribution_location_analytics_id") != web_location).select(
         "order_line_analytics_id", "attribution_location_analytics_id"
     )
 
-    def stores(days: DataFrame, name: str) -> DataFrame:
-        sales = t["delivered_sales"].join(days, "date_analytics_id", "left_semi").join(line, "order_line_analytics_id")
+    def stores(days: Sequence[int], name: str) -> DataFrame:
+        sales = t["delivered_sales"].where(time.on_days(days)).join(line, "order_line_analytics_id")
         return inventory.active_stores(sales, sites, days, name).drop("date_analytics_id")
 
     # One row per channel from here on.
@@ -216,12 +219,10 @@ def sales_and_inventory(
     Facts are limited to the days of both years first; all periods are summed
     in one pass and keys seen in any of them are kept.
     """
-    days = time.bucket_days(t["calendar"], as_of, cutoff=cutoff).select("date_analytics_id")
-    sales = net.attributed_sales(t["delivered_sales"].join(days, "date_analytics_id", "left_semi"), t["sales_line"])
-    returns = net.attributed_returns(
-        t["delivered_returns"].join(days, "date_analytics_id", "left_semi"), t["sales_line"], t["sales_header"]
-    )
-    adjustments = t["cosa"].join(days, "date_analytics_id", "left_semi").withColumnRenamed(
+    periods = time.period_days(t["calendar"], as_of, cutoff=cutoff)
+    sales = net.attributed_sales(time.within(t["delivered_sales"], periods), t["sales_line"])
+    returns = net.attributed_returns(time.within(t["delivered_returns"], periods), t["sales_line"], t["sales_header"])
+    adjustments = time.within(t["cosa"], periods).withColumnRenamed(
         "location_analytics_id", "attribution_location_analytics_id"
     )
     netted = net.net_with_cost_adjustment(
@@ -245,12 +246,11 @@ def sales_and_inventory(
     )
     wide = time.to_date_buckets(
         netted.join(sites, "attribution_location_analytics_id").join(products, "product_analytics_id"),
-        t["calendar"], as_of, ["vendor_analytics_id", "has_comp", "level_5_analytics_id", "channel"],
+        periods, ["vendor_analytics_id", "has_comp", "level_5_analytics_id", "channel"],
         {
             "net_dollars": "net_dollars", "net_landed_gm": "net_landed_gm", "net_cosa_gm": "adjusted_margin",
             "net_units": "net_units",
         },
-        cutoff=cutoff,
     )
     ranked = ordered_scan(
         wide, [("net_dollars_year", "desc")], ["vendor_analytics_id", "has_comp"], ["level_5_analytics_id", "channel"],

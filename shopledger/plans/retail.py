@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import ratio, zero_if_null
-from ..functions.ordered import ordered_scan
-from ..operators import classes, finance, inventory, keys, net, pricing, shaping, time, windows
+from ..functions.ordered import cut_lineage, ordered_scan
+from ..operators import classes, inventory, keys, net, pricing, time, windows
 from ..sources.catalog import RetailTables
 from .parameters import DISTRICTS, FLAG_STORES, OTHER_REGION, REGIONS, WAREHOUSE_REGION
 
@@ -91,15 +91,14 @@ def class_fill_rate(t: RetailTables, first_start: datetime, last_start: datetime
     )
 
 
-def delivered_net(t: RetailTables, days: DataFrame | None = None) -> DataFrame:
+def delivered_net(t: RetailTables, days: Column | None = None) -> DataFrame:
     """Deliveries and returns with location, channel, department and vendor, netted per day.
 
     ``days`` limits both facts at the scan.
     """
     sold, returned = t["delivered_sales"], t["delivered_returns"]
     if days is not None:
-        day_ids = days.select("date_analytics_id")
-        sold, returned = (df.join(day_ids, "date_analytics_id", "left_semi") for df in (sold, returned))
+        sold, returned = sold.where(days), returned.where(days)
     sales = net.attributed_sales(sold, t["sales_line"])
     returns = net.attributed_returns(returned, t["sales_line"], t["sales_header"])
     cost = zero_if_null("fair_market_value")
@@ -127,10 +126,11 @@ def returns_by_store(t: RetailTables) -> DataFrame:
 
 def returns_by_store_to_date(t: RetailTables, as_of: date) -> DataFrame:
     """Returns and net sales per store, week to year to date, this year and last."""
-    days = time.bucket_days(t["calendar"], as_of, cutoff=as_of)
+    periods = time.period_days(t["calendar"], as_of, cutoff=as_of)
+    days = time.on_days(sorted({i for ids in periods.values() for i in ids}))
     return time.to_date_buckets(
-        delivered_net(t, days), t["calendar"], as_of, ["attribution_location_analytics_id"],
-        {"returns": "return_dollars", "net": "net_dollars"}, cutoff=as_of,
+        delivered_net(t, days), periods, ["attribution_location_analytics_id"],
+        {"returns": "return_dollars", "net": "net_dollars"},
     )
 
 
@@ -143,7 +143,7 @@ def sales_by_discount_code(
     ``attribution='once'`` counts a line under its first code only, ``'full'``
     under every one of its codes.
     """
-    days = time.bucket_days(t["calendar"], as_of, ["year"], cutoff=cutoff).select("date_analytics_id")
+    periods = time.period_days(t["calendar"], as_of, ["year"], cutoff=cutoff)
     sites = t["locations"].where(F.col("channel_analytics_id") == channel).select(
         F.col("location_analytics_id").alias("attribution_location_analytics_id")
     )
@@ -152,7 +152,7 @@ def sales_by_discount_code(
     )
 
     def relevant(df: DataFrame) -> DataFrame:
-        return df.join(days, "date_analytics_id", "left_semi").join(products, "product_analytics_id", "left_semi")
+        return time.within(df, periods).join(products, "product_analytics_id", "left_semi")
 
     columns = ["date_analytics_id", "product_analytics_id", "order_line_analytics_id", "attribution_location_analytics_id"]
     sales = net.attributed_sales(relevant(t["delivered_sales"]), t["sales_line"])
@@ -175,10 +175,10 @@ def sales_by_discount_code(
         F.coalesce("subdiscount_code", F.lit("No Sub-Code")).alias("subdiscount_code"),
     )
     years = time.to_date_buckets(
-        coded, t["calendar"], as_of, ["product_analytics_id", "discount_code", "subdiscount_code"],
-        {"net_dollars": "dollars"}, ["year"], cutoff=cutoff,
+        coded, periods, ["product_analytics_id", "discount_code", "subdiscount_code"], {"net_dollars": "dollars"}
     ).withColumnsRenamed({"net_dollars_year": "net_dollars_ty", "net_dollars_year_ly": "net_dollars_ly"})
-    named = (
+    # Written once, then read for the department totals and for the rows.
+    named = cut_lineage(
         years.join(products, "product_analytics_id")
         .join(t["products"].select("product_analytics_id", "product_name"), "product_analytics_id")
         .join(
@@ -204,15 +204,14 @@ def store_margin(
     counts everything, and stores of either are kept.
     """
     anchor = time.anchor_period(t["calendar"], as_of).select("fiscal_year")
-    week = (
-        t["calendar"].where(F.col("gregorian_date").between(F.lit(first), F.lit(last)))
-        .join(anchor, "fiscal_year", "left_semi").select("date_analytics_id")
-    )
-    sales = net.attributed_sales(t["delivered_sales"].join(week, "date_analytics_id", "left_semi"), t["sales_line"])
-    returns = net.attributed_returns(
-        t["delivered_returns"].join(week, "date_analytics_id", "left_semi"), t["sales_line"], t["sales_header"]
+    week = time.on_days(
+        time.day_ids(
+            t["calendar"].where(F.col("gregorian_date").between(F.lit(first), F.lit(last))).join(anchor, "fiscal_year", "left_semi")
+        )
     )
-    adjustments = t["cosa"].join(week, "date_analytics_id", "left_semi").withColumnRenamed(
+    sales = net.attributed_sales(t["delivered_sales"].where(week), t["sales_line"])
+    returns = net.attributed_returns(t["delivered_returns"].where(week), t["sales_line"], t["sales_header"])
+    adjustments = t["cosa"].where(week).withColumnRenamed(
         "location_analytics_id", "attribution_location_analytics_id"
     )
     margin = F.col("merchandise") - zero_if_null("fair_market_value")

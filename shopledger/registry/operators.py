@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -112,9 +112,9 @@ def _(t):
 
 @query("to_date_buckets")
 def _(t):
+    periods = time.period_days(t["calendar"], AS_OF, cutoff=AS_OF)
     return time.to_date_buckets(
-        moves(t, False), t["calendar"], AS_OF, ["vendor_analytics_id", "sales_channel"],
-        {"sales": "merchandise", "units": "quantity"}, cutoff=AS_OF,
+        moves(t, False), periods, ["vendor_analytics_id", "sales_channel"], {"sales": "merchandise", "units": "quantity"}
     )
 
 
@@ -562,9 +562,9 @@ def demand_lines(t: RetailTables) -> DataFrame:
 
 @query("day_two_day")
 def _(t):
-    daily = moves(t, False).withColumn("day", F.to_date("dt"))
     return kpis.day_and_two_day(
-        daily, ["attribution_location_analytics_id"], "day", AS_OF, {"sales": "merchandise", "units": "quantity"}
+        moves(t, False), ["attribution_location_analytics_id"], {"sales": "merchandise", "units": "quantity"},
+        time.in_dates("dt", AS_OF, AS_OF), time.in_dates("dt", AS_OF - timedelta(days=1), AS_OF),
     )
 
 
@@ -729,7 +729,7 @@ def _(t):
 @query("active_stores")
 def _(t):
     sales = t["line_facts"].where(F.col("is_return_line") == 0)
-    week = t["calendar"].where(F.col("gregorian_date").between(F.lit(date(2000, 6, 4)), F.lit(date(2000, 6, 10))))
+    week = time.days_between(t["calendar"], date(2000, 6, 4), date(2000, 6, 10))
     return inventory.active_stores(sales, t["locations"], week)
 
 
