@@ -29,7 +29,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _ascending_same(columns: Sequence[str], window) -> Column:
+def _same_as_previous_end(columns: Sequence[str], window) -> Column:
     same = F.lit(True)
     for name in columns:
         same = same & F.col(f"_first_{name}").eqNullSafe(F.lag(f"_last_{name}").over(window))
@@ -42,6 +42,7 @@ def ordered_scan(
     tie_break: Sequence[str],
     by: Sequence[str] = (),
     sums: Mapping[str, str | Column] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add positions and running sums per group without one task per group.
 
@@ -49,12 +50,13 @@ def ordered_scan(
     entry ``name: measure`` of ``sums``, ``running_<name>`` (rows up to and
     including this one) and ``total_<name>`` (whole group). ``rank`` and
     ``dense_rank`` follow ``order`` alone; ``tie_break`` must make rows unique
-    and decides the row order. Null measures count as zero.
+    and decides the row order. Null measures count as zero. ``buckets`` defaults
+    to the session's number of shuffle partitions.
     """
     by, sums = list(by), dict(sums or {})
     ties = order_names(order)
     sort = [*total_order(by), *total_order(order), *total_order(tie_break)]
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, measure in sums.items():
         df = df.withColumn(f"_m_{name}", F.coalesce(col(measure), F.lit(0)))
     # The bucket id is fixed by the written copy, so both uses below agree on it
@@ -90,7 +92,10 @@ def ordered_scan(
     in_order = Window.partitionBy(*by).orderBy("_bucket")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    summary = summary.withColumn("_continues", F.coalesce(_ascending_same(ties, in_order), F.lit(False)) & F.lag("_rows").over(in_order).isNotNull())
+    # A bucket continues a tie when its first value is the last one of the bucket before.
+    summary = summary.withColumn(
+        "_continues", _same_as_previous_end(ties, in_order) & F.lag("_rows").over(in_order).isNotNull()
+    )
     summary = summary.select(
         "*",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),

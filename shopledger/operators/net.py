@@ -35,11 +35,18 @@ def remap_return_location(
     return F.when((col(location) == warehouse) & listed, target).otherwise(col(location)).cast("bigint")
 
 
-def channel_lookup(headers: DataFrame, lines: DataFrame, source: str = "oroms") -> DataFrame:
-    """Largest channel per online order and product; unique on both."""
+def channel_lookup(
+    headers: DataFrame, lines: DataFrame, wanted: DataFrame, source: str = "oroms"
+) -> DataFrame:
+    """Largest channel per online order and product; unique on both.
+
+    Only the orders in ``wanted`` are looked at, so the returns of a week do
+    not make all lines ever sold go through a shuffle.
+    """
     online = headers.where(F.col("source") == source).select("order_analytics_id")
     return (
         lines.where(F.col("source") == source)
+        .join(wanted, "order_analytics_id", "left_semi")
         .groupBy("order_analytics_id", "product_analytics_id")
         .agg(F.max("sales_channel").alias("original_channel"))
         .join(online, "order_analytics_id", "left_semi")
@@ -47,13 +54,22 @@ def channel_lookup(headers: DataFrame, lines: DataFrame, source: str = "oroms")
 
 
 def original_channel(
-    returns: DataFrame, headers: DataFrame, lines: DataFrame, source: str = "oroms"
+    returns: DataFrame, headers: DataFrame, lines: DataFrame, source: str = "oroms",
+    originals: DataFrame | None = None,
 ) -> DataFrame:
     """Add the channel of the original online order to each return, null when there is none.
 
     Most returns name no original order; those rows are spread over all tasks.
+    ``originals`` may give a cheaper read of the original order ids than
+    ``returns`` itself.
     """
-    lookup = channel_lookup(headers, lines, source).withColumnRenamed(
+    originals = returns if originals is None else originals
+    wanted = (
+        originals.where(F.col("original_order_analytics_id").isNotNull())
+        .select(F.col("original_order_analytics_id").alias("order_analytics_id"))
+        .distinct()
+    )
+    lookup = channel_lookup(headers, lines, wanted, source).withColumnRenamed(
         "order_analytics_id", "original_order_analytics_id"
     )
     return spread_null_left_join(
@@ -84,7 +100,7 @@ def attributed_returns(
     joined = joined.withColumn(
         "original_order_analytics_id", F.when(in_store, F.col("original_order_analytics_id"))
     )
-    return original_channel(joined, headers, lines).select(
+    return original_channel(joined, headers, lines, originals=returns).select(
         *[c for c in returns.columns if c not in ("location_analytics_id", "original_order_analytics_id")],
         F.when(in_store, F.col("location_analytics_id"))
         .otherwise(remap_return_location("location_analytics_id", "line_channel", warehouse, target, channels))

@@ -19,13 +19,6 @@ def departments_named(t: RetailTables) -> DataFrame:
     )
 
 
-def product_departments(t: RetailTables) -> DataFrame:
-    """Department id, name and code per product."""
-    return t["product_to_merchandising_taxonomy"].select("product_analytics_id", "level_3_analytics_id").join(
-        departments_named(t), "level_3_analytics_id"
-    )
-
-
 def market_basket(t: RetailTables, first: date, last: date) -> DataFrame:
     """Orders of a date range by product and every channel, with product totals, shares and ranks.
 
@@ -79,33 +72,44 @@ def open_backorders(
     """Backorders, stock, open orders and prices per product, with department share and rank."""
     arrivals = inventory.next_arrival_at(inventory.next_arrivals(t["po_details"], 1, scope, main_site), main_site)
     vendors = t["vendors"].select("vendor_analytics_id", "vendor_name")
-    products = t["products"].select("product_analytics_id", "product_name", "vendor_analytics_id")
+    departments = t["product_to_merchandising_taxonomy"].select("product_analytics_id", "level_3_analytics_id")
+    # One narrow row per product: it is ranked first, so the wide rows never move for it.
+    # A department may hold most products: position and total come from one distributed scan.
+    backorders = cut_lineage(
+        t["products"].select("product_analytics_id")
+        .join(departments, "product_analytics_id")
+        .join(departments_named(t).select("level_3_analytics_id"), "level_3_analytics_id", "left_semi")
+        .join(inventory.open_backorders(t["sales_line"], as_of, first_order_day), "product_analytics_id", "left")
+    )
+    ranked = ordered_scan(
+        backorders.select(
+            "product_analytics_id", "level_3_analytics_id",
+            zero_if_null("open_backorder_dollars").alias("_dollars"), zero_if_null("open_backorder_units").alias("_units"),
+        ),
+        [("_dollars", "desc"), ("_units", "desc")], ["product_analytics_id"], ["level_3_analytics_id"], {"units": "_units"},
+    ).select(
+        "product_analytics_id", F.col("row_number").alias("bo_rank_in_dept"), F.col("total_units").alias("total_bo_units_in_dept"),
+        ratio("_units", "total_units").alias("bo_unit_share_in_dept"),
+    )
+    reported = backorders.where(
+        F.col("earliest_backorder_date").isNull() | (F.col("earliest_backorder_date") >= F.lit(first_reported_day))
+    )
     wide = (
-        products.join(vendors, "vendor_analytics_id", "left")
+        t["products"].select("product_analytics_id", "product_name", "vendor_analytics_id")
+        .join(vendors, "vendor_analytics_id", "left")
         .withColumn("vendor_analytics_id", zero_if_null("vendor_analytics_id"))
         .withColumn("vendor_name", F.coalesce("vendor_name", F.lit("Blank")))
-        .join(product_departments(t), "product_analytics_id")
-        .join(inventory.open_backorders(t["sales_line"], as_of, first_order_day), "product_analytics_id", "left")
+        .join(reported, "product_analytics_id")
+        .join(departments_named(t), "level_3_analytics_id")
         .join(inventory.on_hand(t["product_history"], t["calendar"], as_of, sites), "product_analytics_id", "left")
         .join(inventory.open_order_units(t["po_details"], main_site), "product_analytics_id", "left")
         .join(arrivals, "product_analytics_id", "left")
         .join(pricing.price_info(t["products"], t["product_price_history"], as_of), "product_analytics_id", "left")
+        .join(ranked, "product_analytics_id")
     )
-    covered = inventory.coverage(wide, f"on_hand_{main_site}", [f"on_hand_{site}" for site in sites])
-    units, dollars = zero_if_null("open_backorder_units"), zero_if_null("open_backorder_dollars")
-    # A department may hold most products: position and total come from one distributed scan.
-    ranked = ordered_scan(
-        covered.withColumn("_dollars", dollars).withColumn("_units", units),
-        [("_dollars", "desc"), ("_units", "desc")], ["product_analytics_id"], ["level_3_analytics_id"], {"units": "_units"},
-    )
-    return (
-        ranked.withColumn("bo_unit_share_in_dept", ratio("_units", "total_units"))
-        .where(F.col("earliest_backorder_date").isNull() | (F.col("earliest_backorder_date") >= F.lit(first_reported_day)))
-        .withColumnsRenamed(
-            {"total_units": "total_bo_units_in_dept", "row_number": "bo_rank_in_dept", "current_retail_price": "file_retail_price"}
-        )
-        .drop("_dollars", "_units", "rank", "dense_rank", "group_rows", "running_units", "earliest_backorder_age_days")
-    )
+    return inventory.coverage(wide, f"on_hand_{main_site}", [f"on_hand_{site}" for site in sites]).withColumnRenamed(
+        "current_retail_price", "file_retail_price"
+    ).drop("earliest_backorder_age_days")
 
 
 def open_purchase_orders(t: RetailTables, as_of: date, departments: Sequence[int] = net.DEPARTMENTS) -> DataFrame:
@@ -148,21 +152,23 @@ def open_purchase_orders(t: RetailTables, as_of: date, departments: Sequence[int
         .join(collections, "product_analytics_id")
         .join(departments_named(t), "level_3_analytics_id")
     )
-    # Written once; positions, product means and department totals all read the copy.
+    # The wide rows are written once; positions, product means and department
+    # totals are computed on narrow reads of that copy and joined to it.
     fact = cut_lineage(fact)
-    ranked = ordered_scan(
-        fact, [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"],
-        ["vendor_analytics_id"], {"open_units": "open_units"},
-    )
-    ranked = windows.group_stat(
-        ranked, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days_per_product", source=fact
-    )
-    ranked = windows.share_of(
-        ranked, "open_vendor_cost", ["level_3_analytics_id"], "pct_open_cost_within_dept", "_department", source=fact
-    )
-    return ranked.drop("rank", "dense_rank", "group_rows", "running_open_units", "stale_days", "_department").withColumnsRenamed(
-        {"row_number": "vendor_po_recency_rank", "total_open_units": "total_open_units_by_vendor"}
-    )
+    line_key = ["purchase_order_analytics_id", "po_line_number"]
+    placed = ordered_scan(
+        fact.select(*line_key, "vendor_analytics_id", "po_written_date", "open_units"), [("po_written_date", "desc")],
+        line_key, ["vendor_analytics_id"], {"open_units": "open_units"},
+    ).select(
+        *line_key, F.col("row_number").alias("vendor_po_recency_rank"), F.col("total_open_units").alias("total_open_units_by_vendor")
+    )
+    placed_fact = fact.join(placed, line_key)
+    with_mean = windows.group_stat(
+        placed_fact, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days_per_product", source=fact
+    )
+    return windows.share_of(
+        with_mean, "open_vendor_cost", ["level_3_analytics_id"], "pct_open_cost_within_dept", "_department", source=fact
+    ).drop("_department", "stale_days")
 
 
 def planning_dashboard(

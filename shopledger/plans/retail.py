@@ -91,27 +91,27 @@ def class_fill_rate(t: RetailTables, first_start: datetime, last_start: datetime
     )
 
 
-def delivered_net(t: RetailTables, days: Column | None = None) -> DataFrame:
-    """Deliveries and returns with location, channel, department and vendor, netted per day.
-
-    ``days`` limits both facts at the scan.
-    """
+def delivered_moves(t: RetailTables, days: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Deliveries and returns with the location and channel they count for; ``days`` limits both at the scan."""
     sold, returned = t["delivered_sales"], t["delivered_returns"]
     if days is not None:
         sold, returned = sold.where(days), returned.where(days)
-    sales = net.attributed_sales(sold, t["sales_line"])
-    returns = net.attributed_returns(returned, t["sales_line"], t["sales_header"])
+    return net.attributed_sales(sold, t["sales_line"]), net.attributed_returns(returned, t["sales_line"], t["sales_header"])
+
+
+def delivered_net(t: RetailTables) -> DataFrame:
+    """Deliveries and returns with department and vendor, netted per day, product, location and channel."""
+    sales, returns = delivered_moves(t)
     cost = zero_if_null("fair_market_value")
-    # Netting per product first leaves less to join to the product dimensions.
+    # Netting per product first evens out popular products before the product dimensions are joined.
     per_product = net.net_of(
         sales, returns, ["date_analytics_id", "product_analytics_id", "attribution_location_analytics_id", "sales_channel"],
         {"units": "quantity", "dollars": "merchandise", "cost": cost, "margin": F.col("merchandise") - cost},
     )
-    departments = t["product_to_merchandising_taxonomy"].select(
+    products = t["product_to_merchandising_taxonomy"].select(
         "product_analytics_id", F.col("level_3_analytics_id").alias("department_id")
-    )
-    vendors = t["products"].select("product_analytics_id", "vendor_analytics_id")
-    return per_product.join(departments, "product_analytics_id", "left").join(vendors, "product_analytics_id", "left")
+    ).join(t["products"].select("product_analytics_id", "vendor_analytics_id"), "product_analytics_id", "full_outer")
+    return per_product.join(products, "product_analytics_id", "left")
 
 
 NET_KEYS = ["date_analytics_id", "department_id", "vendor_analytics_id", "attribution_location_analytics_id", "sales_channel"]
@@ -128,9 +128,12 @@ def returns_by_store_to_date(t: RetailTables, as_of: date) -> DataFrame:
     """Returns and net sales per store, week to year to date, this year and last."""
     periods = time.period_days(t["calendar"], as_of, cutoff=as_of)
     days = time.on_days(sorted({i for ids in periods.values() for i in ids}))
+    sales, returns = delivered_moves(t, days)
+    netted = net.net_of(
+        sales, returns, ["date_analytics_id", "attribution_location_analytics_id"], {"dollars": "merchandise"}
+    )
     return time.to_date_buckets(
-        delivered_net(t, days), periods, ["attribution_location_analytics_id"],
-        {"returns": "return_dollars", "net": "net_dollars"},
+        netted, periods, ["attribution_location_analytics_id"], {"returns": "return_dollars", "net": "net_dollars"}
     )
 
 

@@ -16,13 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import RetailTables
 
-GIVEN_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Schemas of the given tables; stating them saves reading footers first.
+GIVEN_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 _VIEWS = """
 -- lines: one row per order line, the base of all line-level tables
 SELECT
-  concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-',
-         DAYNO(CAST(l_shipdate AS DATE))) AS order_line_analytics_id,
+  concat(l_orderkey * 8 + l_linenumber, '-', l_partkey, '-',
+         l_suppkey * 10000 + DAYNO(CAST(l_shipdate AS DATE))) AS order_line_analytics_id,
   l_orderkey AS order_analytics_id,
   CAST(l_orderkey AS STRING) AS order_number,
   CAST(l_linenumber AS BIGINT) AS line_id,
@@ -500,7 +513,7 @@ def from_driver(spark: SparkSession, folder: str) -> RetailTables:
 
     def load(name: str) -> DataFrame:
         if name in GIVEN_TABLES:
-            return spark.read.parquet(f"{folder}/{name}.parquet")
+            return spark.read.schema(GIVEN_TABLES[name]).parquet(f"{folder}/{name}.parquet")
         sql = VIEW_SQL[name].replace("DAYNO(", "unix_date(")
         return spark.sql(sql, **{ref: tables[ref] for ref in references(sql)})
 

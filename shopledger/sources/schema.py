@@ -30,7 +30,7 @@ RETAIL_TABLES = (
 
 _TYPE_RULES = (
     (r"^(channel_analytics_id|order_line_analytics_id)$", "string"),
-    (r"_analytics_id$|^target_key$|^fiscal_|^(level|party_id|cust_party_id)$", "bigint"),
+    (r"_analytics_id$|^target_key$|^fiscal_|^(level|party_id|cust_party_id|country_of_origin|payable_to_country)$", "bigint"),
     (r"^(rtl_loc_id|wkstn_id|trans_seq|rtrans_lineitm_seq|line_id|order_year)$", "bigint"),
     (r"^(maximum_seats|traffic_out_count|hasaddress|hasemail|week_in_quarter)$", "bigint"),
     (r"^(is_backorder|is_closed|is_foreign_vendor|void_flag|post_void_flag|contact_flag|email_valid_syntax)$", "int"),
