@@ -1,7 +1,7 @@
 """Time the headline queries at one scale and print a single JSON line.
 
 ``BENCH_SF_DIR`` is the folder of parquet tables, ``BENCH_CPUS`` the number of
-local cores, ``BENCH_REPEATS`` the number of timed runs (the median counts).
+local cores, ``BENCH_REPEATS`` the number of timed runs after one warm-up (the median counts).
 Results are forced with a no-op write, so nothing is collected.
 """
 
@@ -32,7 +32,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

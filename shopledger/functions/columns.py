@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,11 @@ def money(c: str | Column) -> Column:
     return col(c).cast(MONEY)
 
 
+def moment(at: datetime) -> Column:
+    """A wall-clock literal that does not depend on the session's time zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def zero_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(0))
 

@@ -7,7 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import ratio, zero_if_null
+from ..functions.columns import moment, ratio, zero_if_null
 from ..functions.ordered import cut_lineage, ordered_scan
 from ..operators import classes, inventory, keys, net, pricing, time, windows
 from ..sources.catalog import RetailTables
@@ -21,7 +21,7 @@ def cancelled_classes(t: RetailTables, first_start: datetime, placeholder: str)
     before they are joined, so sums count every line once.
     """
     sessions = t["culinary_products"].where(
-        (F.col("is_class_cancelled") == "TRUE") & (F.col("start_date") >= F.lit(first_start))
+        (F.col("is_class_cancelled") == "TRUE") & (F.col("start_date") >= moment(first_start))
     ).select("sku", "location_code", "is_class_cancelled", F.col("start_date").alias("class_start_date"))
     line_key = ["order_number", "order_line_analytics_id"]
     returned = t["written_returns"].groupBy(*line_key).agg(
@@ -64,7 +64,7 @@ def class_fill_rate(t: RetailTables, first_start: datetime, last_start: datetime
     """Seats sold, fill rate and revenue per class session, with district mean, total and rank."""
     sessions = (
         t["culinary_products"]
-        .where(~F.col("sku").like(skip_sku) & F.col("start_date").between(F.lit(first_start), F.lit(last_start)))
+        .where(~F.col("sku").like(skip_sku) & F.col("start_date").between(moment(first_start), moment(last_start)))
         .select("sku", "location_code", "start_date", "maximum_seats", "price", "instructor_name", "is_class_cancelled")
         .join(t["locations"].select("location_code", F.col("name").alias("store_name"), "district_code"), "location_code", "left")
         .join(t["products"].select("sku", F.col("short_description").alias("class_name")), "sku", "left")
