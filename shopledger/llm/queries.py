@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import mixing, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,61 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdict of every document; the trusted target is the documents labelled as good."""
     trusted = table(spark, folder, "labels").where("quality = 1")
     return quality_rules.judge(table(spark, folder, "documents"), trusted)
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, target and taken words of every document in the mix."""
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
+ORACLE["op7_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE source_no % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM sources),
+rising AS (
+  SELECT *, row_number() OVER up AS place,
+    CAST(sum(source_size) OVER () - sum(cap) OVER up + cap AS DOUBLE) / (sum(weight) OVER () - sum(weight) OVER up + weight)
+      AS level
+  FROM weighed
+  WINDOW up AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source_no)),
+opened AS (SELECT place, level FROM rising WHERE NOT weight * level > cap ORDER BY place LIMIT 1),
+targets AS (
+  SELECT source, source_no, CAST(source_size AS BIGINT) AS source_size,
+    CASE WHEN r.place < o.place THEN CAST(cap AS DOUBLE) ELSE weight * o.level END AS target
+  FROM rising r, opened o),
+planned AS (
+  SELECT *, least(3, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END) AS passes,
+    greatest(1, least(4096, CAST(ceil(source_size / 100000) AS BIGINT))) AS blocks
+  FROM targets),
+keyed AS (
+  SELECT d.doc_id, d.size, p.*, target - passes * source_size AS extra,
+    md5('mix:doc:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS key
+  FROM sized d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source),
+placed AS (SELECT *, CAST('0x' || left(key, 8) AS BIGINT) % blocks AS block FROM keyed),
+per_block AS (
+  SELECT source_no, block, sum(size) AS block_size, any_value(extra) AS extra FROM placed GROUP BY source_no, block),
+rooms AS (
+  SELECT *, extra - (sum(block_size) OVER (PARTITION BY source_no
+    ORDER BY md5('mix:block:' || source_no || ':' || block)) - block_size) AS room FROM per_block),
+ends AS (
+  SELECT p.*, r.room, r.room > 0 AND r.room < r.block_size AS part,
+    sum(p.size) OVER (PARTITION BY p.source_no, p.block ORDER BY p.key, p.doc_id, p.size ROWS UNBOUNDED PRECEDING) AS done
+  FROM placed p JOIN rooms r ON p.source_no = r.source_no AND p.block = r.block),
+gaps AS (
+  SELECT *, done <= room AS fits,
+    room - coalesce(max(CASE WHEN done <= room THEN done END) OVER (PARTITION BY source_no, block), 0) AS gap FROM ends),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source_no, block ORDER BY fits, abs(gap - size), key, doc_id, size) AS best
+  FROM gaps)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (passes + CASE WHEN part THEN CASE WHEN fits OR best = 1 AND abs(gap - size) < gap THEN 1 ELSE 0 END
+    WHEN room > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked
+"""
