@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ SELECT doc_id, size, source_size, target,
     WHEN room > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+
+@query
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, folder, "documents"))
