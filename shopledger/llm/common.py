@@ -61,6 +61,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def chunks(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[tuple[int, list]]:
+    """The texts of a batch in pieces of about ``size`` characters, with the row at which each begins."""
+    held, start, length = [], 0, 0
+    for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+        held.append(text)
+        length += len(text or "")
+        if length >= size:
+            yield start, held
+            held, start, length = [], i + 1, 0
+    if held:
+        yield start, held
+
+
 def grouped(df: DataFrame, keys: Sequence[str], function: Callable[[dict], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``function`` to each group's columns (name to Arrow array) by streaming over sorted partitions.
 

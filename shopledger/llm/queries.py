@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality_rules, secrets
+from . import bpe, mixing, quality_rules, secrets
 from .common import table
 
+#: Where the public vocabularies lie; see their README.
+TOKENIZERS = Path("/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -87,3 +91,15 @@ FROM ranked
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and hashes of the token ids of every document, and the hash of the text decoded from them."""
+    coded = bpe.encode(table(spark, folder, "documents"), str(TOKENIZERS / "word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import chunks
+
 #: Between texts; this byte never occurs in UTF-8.
 BREAK = 0xFF
 
@@ -278,19 +280,6 @@ def written_spans(spans: Sequence[tuple[int, int, int]], kinds: Sequence[str] =
     return ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def chunks(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[tuple[int, list]]:
-    """The texts of a batch in pieces of about ``size`` characters, with the row at which each begins."""
-    held, start, length = [], 0, 0
-    for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
-        held.append(text)
-        length += len(text or "")
-        if length >= size:
-            yield start, held
-            held, start, length = [], i + 1, 0
-    if held:
-        yield start, held
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of every row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``.
 
