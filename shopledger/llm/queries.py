@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality_rules, secrets
+from . import bpe, minhash, mixing, quality_rules, secrets
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -29,6 +29,37 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), trusted)
 
 
+@query
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents that share four-word shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=4)
+
+
+ORACLE["op2_minhash"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle
+  FROM worded WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common >= 80 * (p.n + q.n - common)),
+reach AS (
+  SELECT doc_id AS start, doc_id AS at FROM documents
+  UNION
+  SELECT r.start, CASE WHEN l.x = r.at THEN l.y ELSE l.x END FROM reach r JOIN links l ON r.at IN (l.x, l.y))
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.at) AS component_id, d.doc_id = min(r.at) AS kept
+FROM documents d JOIN reach r ON r.start = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id, s.n
+"""
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Size, target and taken words of every document in the mix."""
