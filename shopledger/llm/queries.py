@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, minhash, mixing, quality_rules, secrets
+from . import bpe, embeddings, minhash, mixing, quality_rules, secrets
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -134,3 +134,29 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors of equal labels with a cosine of 0.93 or more."""
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLE["op10_embeddings"] = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v)))
+    AND list_bool_or(list_transform(embedding, lambda v: v <> 0))),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS start, vec_id AS here FROM embeddings
+  UNION
+  SELECT r.start, l.y FROM reach r JOIN links l ON r.here = l.x),
+smallest AS (SELECT start, min(here) AS component_id FROM reach GROUP BY start),
+direct AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, s.component_id, e.vec_id = s.component_id AS kept
+FROM embeddings e JOIN smallest s ON s.start = e.vec_id LEFT JOIN direct d ON d.x = e.vec_id
+"""
