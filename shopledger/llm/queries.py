@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, minhash, mixing, quality_rules, secrets
+from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -60,6 +60,13 @@ GROUP BY d.doc_id, s.n
 """
 
 
+@query
+def op3_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out fold."""
+    documents = table(spark, folder, "documents")
+    return classifier.score(documents, classifier.fit(documents, table(spark, folder, "labels")))
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Size, target and taken words of every document in the mix."""
