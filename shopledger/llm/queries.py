@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets
+from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, urls
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -67,6 +67,12 @@ def op3_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score(documents, classifier.fit(documents, table(spark, folder, "labels")))
 
 
+@query
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urls.judge(table(spark, folder, "pages"))
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Size, target and taken words of every document in the mix."""
