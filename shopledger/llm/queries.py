@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, urls
+from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, urls, warc
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -73,6 +73,23 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The WARC records of all pages, converted from ARC records, as read back from the files."""
+    found = warc.archived(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op6_warc"] = r"""
+WITH paid AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+sized AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes FROM paid),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Size, target and taken words of every document in the mix."""
