@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, urls, warc
+from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, token_files, urls, warc
 from .common import table
 
 #: Where the public vocabularies lie; see their README.
@@ -73,6 +73,15 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, number and checksum of the token ids of every document, as read back from the files."""
+    found = token_files.filed(table(spark, folder, "documents"), str(TOKENIZERS / "byte_bpe_50k.json"))
+    return found.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The WARC records of all pages, converted from ARC records, as read back from the files."""
