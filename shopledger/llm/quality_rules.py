@@ -82,19 +82,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoo
     ]
 
 
-def judge(
-    docs: DataFrame, trusted: DataFrame, threshold: float = -0.05, buckets: int = 1 << 14, min_words: int = 50,
-    max_repeat_percent: int = 50,
-) -> DataFrame:
-    """Base counts and the verdict for every row of ``docs`` (``doc_id``, ``text``; other columns are not used).
-
-    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_units,
-    n_grams``. ``kept`` is false for documents that fail the base rules; for the others it holds if the sum of log
-    ratios is at least ``threshold`` per n-gram, in whole numbers, so equal texts get equal verdicts on every run.
-
-    A null or empty text has no words and is rejected. Rows with equal ids are judged one by one; a null id is kept.
-    Without trusted documents every ratio is zero and only the base rules decide. An empty table gives no rows.
-    """
+def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """``docs`` with one more column ``_quality``: a struct of the base counts and the verdict of the row."""
     ratios = long_array(log_ratios(docs, trusted, buckets))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -111,16 +100,43 @@ def judge(
             ).alias("llr_units"),
         ),
     )
-    counted = docs.select(
-        "doc_id",
-        by_words.alias("w"),
-        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-    ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.llr_units")
-    n_grams = F.greatest(2 * F.col("n_words") - 1, zero)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("llr_units") >= F.lit(round(threshold * UNIT)) * n_grams)).alias("kept"),
-        "llr_units", n_grams.alias("n_grams"),
+    failed = lambda w: (w["n_words"] < min_words) | (100 * w["n_repeat_words"] > max_repeat_percent * w["n_words"])
+    likely = lambda w: w["llr_units"] >= F.lit(round(threshold * UNIT)) * F.greatest(2 * w["n_words"] - 1, zero)
+    quality = let(
+        by_words,
+        lambda w: F.struct(
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            w["n_repeat_words"].alias("n_repeat_words"), failed(w).alias("base_failed"),
+            (~failed(w) & likely(w)).alias("kept"), w["llr_units"].alias("llr_units"),
+            F.greatest(2 * w["n_words"] - 1, zero).alias("n_grams"),
+        ),
     )
+    return docs.withColumn("_quality", quality)
+
+
+def judge(
+    docs: DataFrame, trusted: DataFrame, threshold: float = -0.05, buckets: int = 1 << 14, min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
+    """Base counts and the verdict for every row of ``docs`` (``doc_id``, ``text``; other columns are not used).
+
+    Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_units,
+    n_grams``. ``kept`` is false for documents that fail the base rules; for the others it holds if the sum of log
+    ratios is at least ``threshold`` per n-gram, in whole numbers, so equal texts get equal verdicts on every run.
+
+    A null or empty text has no words and is rejected. Rows with equal ids are judged one by one, and so are null
+    ids. Without trusted documents every ratio is zero and only the base rules decide. An empty table gives no rows.
+    """
+    judged = verdicts(docs.select("doc_id", "text"), trusted, threshold, buckets, min_words, max_repeat_percent)
+    return judged.select("doc_id", "_quality.*")
+
+
+def accepted(
+    docs: DataFrame, trusted: DataFrame, threshold: float = -0.05, buckets: int = 1 << 14, min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, without moving a text."""
+    judged = verdicts(docs, trusted, threshold, buckets, min_words, max_repeat_percent)
+    return judged.where("_quality.kept").drop("_quality")
