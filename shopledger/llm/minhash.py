@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, grouped, written
+from .common import components, fresh, grouped, written
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,10 +266,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; of rows with equal ids only one stays. Null ids stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    numbered = left.withColumn("_spread", spread).withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id", "_spread").orderBy("text"))
-    )
-    return numbered.where("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone_id, spread, row = (fresh(name, docs) for name in ("_gone", "_spread", "_row"))
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    left = left.withColumn(spread, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    first = F.row_number().over(Window.partitionBy("doc_id", spread).orderBy("text"))
+    return left.withColumn(row, first).where(F.col(row) == 1).drop(spread, row)

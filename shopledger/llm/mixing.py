@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, let, small, written
+from .common import WORD, fresh, let, small, written
 
 
 def hashed(seed: str, *parts: Column) -> Column:
@@ -241,9 +241,10 @@ def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
     Rows are matched to their copies by ``doc_id``; of rows with equal ids one plan of copies counts for all.
     """
     plan = exploded(mix(docs, **options), options.get("seed", "mix"))
+    key, shard, order = (fresh(name, docs) for name in ("_key", "_shard", "_order"))
     per_doc = plan.dropDuplicates(["doc_id", "copy"]).select(
-        F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("order_key").alias("_order")
+        F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("order_key").alias(order)
     )
-    out = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
-    placed = out.repartition("_shard", F.substring("_order", 1, 1)).sortWithinPartitions("_shard", "_order")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col(key)))
+    placed = out.repartition(shard, F.substring(order, 1, 1)).sortWithinPartitions(shard, order)
+    return placed.drop(key, shard, order)

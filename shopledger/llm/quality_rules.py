@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, long_array, small, words
+from .common import fresh, let, long_array, small, words
 
 SYMBOLS = "#*$%&|<>"
 #: Log ratios are kept as whole numbers of this fraction, so sums do not depend on the order of rows.
@@ -83,7 +83,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoo
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int, min_words: int, max_repeat_percent: int) -> DataFrame:
-    """``docs`` with one more column ``_quality``: a struct of the base counts and the verdict of the row."""
+    """``docs`` with one more column, the last: a struct of the base counts and the verdict of the row."""
     ratios = long_array(log_ratios(docs, trusted, buckets))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -113,7 +113,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int
             F.greatest(2 * w["n_words"] - 1, zero).alias("n_grams"),
         ),
     )
-    return docs.withColumn("_quality", quality)
+    return docs.withColumn(fresh("_quality", docs), quality)
 
 
 def judge(
@@ -139,4 +139,5 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns, without moving a text."""
     judged = verdicts(docs, trusted, threshold, buckets, min_words, max_repeat_percent)
-    return judged.where("_quality.kept").drop("_quality")
+    name = judged.columns[-1]
+    return judged.where(F.col(name)["kept"]).drop(name)
