@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-NULL_SLOTS = 256
-
 
 def spread_null_left_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str]
@@ -16,12 +14,13 @@ def spread_null_left_join(
 
     A null key never matches, yet a shuffle join would send all those rows to
     one task. A second key, zero wherever a match is possible and a hash of
-    ``spread_by`` elsewhere, spreads them.
+    ``spread_by`` elsewhere, spreads them over as many slots as there are shuffle partitions.
     """
+    slots = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     null_key = F.lit(False)
     for name in on:
         null_key = null_key | F.col(name).isNull()
-    slot = F.when(null_key, F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SLOTS))).otherwise(F.lit(0).cast("bigint"))
+    slot = F.when(null_key, F.pmod(F.xxhash64(*spread_by), F.lit(slots))).otherwise(F.lit(0).cast("bigint"))
     always_zero = F.pmod(F.xxhash64(*on), F.lit(1))
     return (
         left.withColumn("_slot", slot)

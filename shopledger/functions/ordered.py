@@ -1,9 +1,11 @@
 """Ranks and running sums over data of any size.
 
 A window without a partition, or with one very large partition, runs in one
-task. Here the rows are range-sorted once, so a large group spans as many
-partitions as it needs; each partition computes its own ranks and running
-sums, and a small table of per-partition totals supplies what came before.
+task. Here the rows are cut into ranges of the sort order, so a large group
+spans as many ranges as it needs; each range computes its own ranks and running
+sums, and a small table of per-range totals supplies what came before. The
+bounds of the ranges come from the rows with the smallest hashes, so every use
+of them agrees, and nothing runs or is written before the result is asked for.
 """
 
 from __future__ import annotations
@@ -42,6 +44,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at_or_after(bound: Column, order: Sequence[str | tuple[str, str]]) -> Column:
+    """Whether the row lies at or after ``bound``, a struct of the sort columns; nulls come last."""
+    result = F.lit(True)
+    for item in reversed(order):
+        name, direction = (item, "asc") if isinstance(item, str) else item
+        mine, other = F.col(name), bound[name]
+        after = mine < other if direction == "desc" else mine > other
+        after = F.coalesce(after, mine.isNull() & other.isNotNull())
+        result = after | (mine.eqNullSafe(other) & result)
+    return bound.isNotNull() & result
+
+
+def with_range(df: DataFrame, order: Sequence[str | tuple[str, str]], ranges: int, name: str = "_bucket", sample: int = 16) -> DataFrame:
+    """Add the number of the range of the sort order in which each row lies, 0 to ``ranges - 1``.
+
+    The bounds are every ``sample``-th of the sorted ``sample * ranges`` rows with the smallest hashes of their sort
+    columns: a bounded number, found in one pass, and the same whenever it is repeated.
+    """
+    keys = list(dict.fromkeys(order_names(order)))
+    few = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(sample * ranges)
+    place = F.row_number().over(Window.orderBy(*total_order(order)))
+    every = few.withColumn("_place", place).where(F.col("_place") % sample == 0)
+    bounds = every.agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*keys).alias("key")))).alias("bounds"))
+    steps = [1 << i for i in reversed(range(max(1, ranges.bit_length())))]
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(_at_or_after(F.get("_bounds", at + step - 1)["key"], order), at + step).otherwise(at)
+
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+    return df.withColumn("_bounds", bounds.scalar()).withColumn(name, found).drop("_bounds")
+
+
 def _same_as_previous_end(columns: Sequence[str], window) -> Column:
     same = F.lit(True)
     for name in columns:
@@ -68,15 +102,10 @@ def ordered_scan(
     """
     by, sums = list(by), dict(sums or {})
     ties = order_names(order)
-    sort = [*total_order(by), *total_order(order), *total_order(tie_break)]
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, measure in sums.items():
         df = df.withColumn(f"_m_{name}", F.coalesce(col(measure), F.lit(0)))
-    # The bucket id is fixed by the written copy, so both uses below agree on it
-    # even when executors are lost.
-    placed = cut_lineage(
-        df.repartitionByRange(buckets, *sort).withColumn("_bucket", F.spark_partition_id())
-    )
+    placed = with_range(df, [*by, *order, *tie_break], buckets)
 
     rows = Window.partitionBy(*by, "_bucket").orderBy(*total_order(order), *total_order(tie_break))
     peers = Window.partitionBy(*by, "_bucket").orderBy(*total_order(order))

@@ -163,7 +163,8 @@ def open_vs_received(lines: DataFrame, receipts: DataFrame) -> DataFrame:
         F.col("recieved_quantity").alias("received_units"),
     )
     keys = ["location_analytics_id", "po_line_number", "purchase_order_analytics_id", "current_arrival_date_analytics_id"]
-    received = receipt.join(lines.select(*dict.fromkeys([*keys, *PO_LINE_KEYS])), keys).select(*PO_LINE_KEYS, "received_units")
+    known = lines.select(*dict.fromkeys([*keys, *PO_LINE_KEYS])).distinct()
+    received = receipt.join(known, keys).select(*PO_LINE_KEYS, "received_units")
     measures = ["open_landed_cost", "open_vendor_cost", "open_units", "ordered_units", "received_units"]
     return (
         opened.unionByName(received, allowMissingColumns=True)

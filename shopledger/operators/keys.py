@@ -10,9 +10,10 @@ from ..functions.columns import ratio, total_order
 
 
 def latest_per_key(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], tie_break: Sequence[str] = ()
+    df: DataFrame, key: Sequence[str], order: Sequence[str], tie_break: Sequence[str]
 ) -> DataFrame:
-    """The row with the largest ``order`` per key; a null order loses, ties go to the largest ``tie_break``.
+    """The row with the largest ``order`` per key; a null order loses, ties go to the largest ``tie_break``,
+    which must tell rows apart.
 
     An aggregate rather than a window: each task keeps one row per key before
     the shuffle, so a key with many rows costs no more than any other.

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, zero_if_null
 
-GRID_LIMIT = 1000
-
 
 def with_total(
     df: DataFrame, keys: Sequence[str], totalled: str, label: str, aggregates: Sequence[Column]
@@ -40,41 +38,28 @@ def dense_grid(
     facts: DataFrame, keys: Sequence[str], dimension: str, values: DataFrame, measures: Sequence[str],
     only: str | None = None,
 ) -> DataFrame:
-    """Every key with every value of a small dimension; missing combinations are zero.
+    """Every key with every value of a dimension; missing combinations are zero.
 
     ``in_grid`` is 1 where the value is in the dimension and null for facts
-    outside it, which are kept. Facts are summed per key and value first; then
-    each key holds at most one entry per value and the missing ones are added
-    in place, without a cross join. The dimension is limited to ``GRID_LIMIT``
-    values and the query fails beyond that. With ``only``, keys that have no
-    row where that column is true get no grid.
+    outside it, which are kept. The distinct keys meet the values by chunk
+    numbers, as many as there are shuffle partitions, so the grid is spread
+    evenly whatever the length of the dimension; its cells go into one union
+    and one group-by with the facts. With ``only``, keys that have no row where
+    that column is true get no grid.
     """
-    wanted = values.where(F.col(dimension).isNotNull()).agg(F.collect_set(dimension).alias("v")).scalar()
-    in_scope = F.bool_or(only) if only else F.bool_or(F.lit(True))
-    summed = facts.groupBy(*keys, dimension).agg(*[F.sum(m).alias(m) for m in measures], in_scope.alias("_scope"))
-    per_key = summed.groupBy(*keys).agg(
-        F.collect_list(F.struct(dimension, *measures)).alias("_have"), F.bool_or("_scope").alias("_scope")
-    )
-    per_key = per_key.withColumn("_wanted", wanted)
-    checked = (
-        F.when(F.size("_wanted") > GRID_LIMIT, F.raise_error(F.lit("the grid dimension has too many values")))
-        .when(F.col("_scope"), F.col("_wanted"))
-        .otherwise(F.slice("_wanted", 1, 0))
-    )
-    entry = summed.select(F.struct(dimension, *measures).alias("e")).schema["e"].dataType
-    missing = F.transform(
-        F.array_except("_wanted_checked", F.transform("_have", lambda e: e[dimension])),
-        lambda v: F.struct(v.alias(dimension), *[F.lit(None).alias(m) for m in measures]).cast(entry),
+    chunks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_scope = facts.where(F.col(only)) if only else facts
+    every = F.sequence(F.lit(0), F.lit(chunks - 1))
+    scope = in_scope.select(*keys).distinct().select(*keys, F.explode(every).alias("_chunk"))
+    wanted = values.select(dimension).where(F.col(dimension).isNotNull()).distinct()
+    wanted = wanted.withColumn("_chunk", F.pmod(F.xxhash64(dimension), F.lit(chunks)).cast("int"))
+    cells = scope.join(wanted, "_chunk").select(
+        *keys, dimension, *[F.lit(None).cast(facts.schema[m].dataType).alias(m) for m in measures],
+        F.lit(1).cast("bigint").alias("in_grid"),
     )
-    exploded = (
-        per_key.withColumn("_wanted_checked", checked)
-        .withColumn("_entry", F.explode(F.concat("_have", missing)))
-    )
-    return exploded.select(
-        *keys,
-        F.col(f"_entry.{dimension}").alias(dimension),
-        *[zero_if_null(f"_entry.{m}").alias(m) for m in measures],
-        F.when(F.array_contains("_wanted_checked", F.col(f"_entry.{dimension}")), F.lit(1).cast("bigint")).alias("in_grid"),
+    union = facts.select(*keys, dimension, *measures, F.lit(None).cast("bigint").alias("in_grid")).unionByName(cells)
+    return union.groupBy(*keys, dimension).agg(
+        *[zero_if_null(F.sum(m)).alias(m) for m in measures], F.max("in_grid").alias("in_grid")
     )
 
 
@@ -124,13 +109,15 @@ def all_keys(keys: Sequence[str], *dfs: DataFrame) -> DataFrame:
 
 
 def merge_wide(keys: Sequence[str], *dfs: DataFrame) -> DataFrame:
-    """Several results with one row per key as one wide row per key.
+    """Several results with one row per key as one wide row per key; a key twice in an input is an error.
 
     A union and one group-by: keys present in any input are kept, null keys
     match each other, and the shuffle happens once instead of once per input.
     """
-    measures = [c for df in dfs for c in df.columns if c not in keys]
-    union = dfs[0]
-    for df in dfs[1:]:
-        union = union.unionByName(df, allowMissingColumns=True)
-    return union.groupBy(*keys).agg(*[F.max(m).alias(m) for m in measures])
+    measures = {c: i for i, df in enumerate(dfs) for c in df.columns if c not in keys}
+    union = dfs[0].withColumn("_input", F.lit(0))
+    for i, df in enumerate(dfs[1:], 1):
+        union = union.unionByName(df.withColumn("_input", F.lit(i)), allowMissingColumns=True)
+    twice = lambda i: F.count_if(F.col("_input") == i) > 1
+    refuse = F.raise_error(F.lit("an input of a wide merge has a key twice"))
+    return union.groupBy(*keys).agg(*[F.when(twice(i), refuse).otherwise(F.max(m)).alias(m) for m, i in measures.items()])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col
 
 DAY = "date_analytics_id"
-MAX_DAYS = 20_000
+#: Up to so many runs of consecutive days are written as ranges, more as a set; both are exact.
+MOST_RANGES = 32
 
 # Calendar column that identifies each period.
 PERIOD_COLUMN = {
@@ -46,22 +49,32 @@ def align_last_year(fact: DataFrame, calendar: DataFrame, day: str = DAY) -> Dat
 def day_ids(days: DataFrame, column: str = DAY) -> list[int]:
     """Day ids of a calendar selection, brought to the driver so that they can filter scans.
 
-    A calendar has one row per day; more than ``MAX_DAYS`` ids is refused.
+    A calendar has one row per day whatever the size of the facts; the number of days is not limited.
     """
-    rows = days.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_DAYS + 1).collect()
-    if len(rows) > MAX_DAYS:
-        raise ValueError(f"more than {MAX_DAYS} days selected; the calendar must have one row per day")
+    rows = days.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in rows)
 
 
+def runs(ids: Sequence[int]) -> list[tuple[int, int]]:
+    """First and last id of every run of consecutive ids."""
+    found: list[tuple[int, int]] = []
+    for i in sorted(set(ids)):
+        if found and found[-1][1] == i - 1:
+            found[-1] = (found[-1][0], i)
+        else:
+            found.append((i, i))
+    return found
+
+
 def on_days(ids: Sequence[int], day: str = DAY) -> Column:
-    """Whether a row lies on one of the days; a plain range where the ids are consecutive."""
-    if not ids:
+    """Whether a row lies on one of the days, as ranges of consecutive ids that reach the scan."""
+    ranges = runs(ids)
+    if not ranges:
         return F.lit(False)
-    low, high = min(ids), max(ids)
-    if high - low + 1 == len(set(ids)):
-        return F.col(day).between(low, high)
-    return F.col(day).isin(*ids)
+    whole = F.col(day).between(ranges[0][0], ranges[-1][1])
+    if len(ranges) > MOST_RANGES:
+        return whole & F.col(day).isin(*ids)
+    return whole & reduce(or_, [F.col(day).between(*r) for r in ranges]) if len(ranges) > 1 else whole
 
 
 def days_between(calendar: DataFrame, first: date, last: date, column: str = DAY) -> list[int]:
@@ -81,9 +94,7 @@ def period_days(
         "fiscal_year",
     ).where(F.col("gregorian_date") <= F.lit(cutoff) if cutoff else F.lit(True))
     flags = [F.lit(True) if p == "year" else F.col(PERIOD_COLUMN[p]) == F.col(f"_at_{p}") for p in periods]
-    rows = days.select(DAY, "last_year_date_analytics_id", *flags).limit(MAX_DAYS + 1).collect()
-    if len(rows) > MAX_DAYS:
-        raise ValueError(f"more than {MAX_DAYS} days in a fiscal year; the calendar must have one row per day")
+    rows = days.select(DAY, "last_year_date_analytics_id", *flags).distinct().collect()
     result = {}
     for index, p in enumerate(periods, start=2):
         result[p] = sorted({row[0] for row in rows if row[index]})

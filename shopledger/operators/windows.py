@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import col, ratio, total_order
 from ..functions.ordered import ordered_scan
 
+#: Join keys that a group is split into when its totals are joined back; totals have one row per group.
+GROUP_SLOTS = 16
+
 
 def with_group_values(
     df: DataFrame, by: Sequence[str], values: Mapping[str, Column], bounded: bool = False,
@@ -22,7 +25,7 @@ def with_group_values(
     """Put aggregates of each row's group beside the row.
 
     Unbounded groups are aggregated on their own (partial sums first) and
-    joined back, so a group holding much of the data is never gathered. That
+    joined back over slots, so a group holding much of the data is never gathered. That
     reads ``df`` twice; ``source`` may name a cheaper place with the same rows,
     such as a written copy, to aggregate from.
     """
@@ -35,10 +38,14 @@ def with_group_values(
         scalar = totals.scalar()
         return df.withColumn("_all", scalar).select("*", *[F.col(f"_all.{name}").alias(name) for name in values]).drop("_all")
     totals = source.groupBy(*by).agg(*[value.alias(name) for name, value in values.items()])
-    same = F.lit(True)
+    # A row of totals goes to every slot, a row of data to one of them, so that a large group is many join keys.
+    totals = totals.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SLOTS - 1))))
+    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(GROUP_SLOTS)).cast("int"))
+    same = F.col("d._slot") == F.col("t._slot")
     for name in by:
         same = same & F.col(f"d.{name}").eqNullSafe(F.col(f"t.{name}"))
-    return df.alias("d").join(totals.alias("t"), same).select("d.*", *[F.col(f"t.{name}") for name in values])
+    joined = slotted.alias("d").join(totals.alias("t"), same)
+    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], *[F.col(f"t.{name}") for name in values])
 
 
 def share_of(

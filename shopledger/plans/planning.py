@@ -155,7 +155,11 @@ def open_purchase_orders(t: RetailTables, as_of: date, departments: Sequence[int
     # The wide rows are written once; positions, product means and department
     # totals are computed on narrow reads of that copy and joined to it.
     fact = cut_lineage(fact)
-    line_key = ["purchase_order_analytics_id", "po_line_number"]
+    # A line may lie at several locations or dates: only the whole key tells rows apart.
+    line_key = [
+        "purchase_order_analytics_id", "po_line_number", "vendor_po_name", "location_analytics_id",
+        "next_cost_effective_date", "cancel_date",
+    ]
     placed = ordered_scan(
         fact.select(*line_key, "vendor_analytics_id", "po_written_date", "open_units"), [("po_written_date", "desc")],
         line_key, ["vendor_analytics_id"], {"open_units": "open_units"},

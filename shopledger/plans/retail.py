@@ -121,7 +121,7 @@ NET_MEASURES = [f"{side}_{m}" for m in ("units", "dollars", "cost", "margin") fo
 def returns_by_store(t: RetailTables) -> DataFrame:
     """Sales, returns and net by day, department, vendor, store and channel."""
     netted = delivered_net(t).groupBy(*NET_KEYS).agg(*[F.sum(m).alias(m) for m in NET_MEASURES])
-    return netted.withColumn("gregorian_date", F.date_from_unix_date(F.col("date_analytics_id").cast("int")))
+    return netted.join(t["calendar"].select("date_analytics_id", "gregorian_date"), "date_analytics_id", "left")
 
 
 def returns_by_store_to_date(t: RetailTables, as_of: date) -> DataFrame:

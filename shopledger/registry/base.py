@@ -42,30 +42,34 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
     return presentable(QUERIES[name](from_driver(spark, folder)))
 
 
-def _oracle_texts() -> dict[str, str]:
+def _oracle_texts(kind: str = "key") -> dict[str, str]:
+    """The blocks of the oracle files: queries (``key``), or the views (``view``) that some of them share."""
     texts = {}
     for path in sorted((Path(__file__).parent / "oracle").glob("*.sql")):
-        for block in re.split(r"^-- key: ", path.read_text(), flags=re.M)[1:]:
-            name, sql = block.split("\n", 1)
-            texts[name.strip()] = sql.strip().rstrip(";")
+        blocks = re.split(r"^-- (key|view): (\w+)\n", path.read_text(), flags=re.M)[1:]
+        for of, name, sql in zip(blocks[::3], blocks[1::3], blocks[2::3]):
+            if of == kind:
+                texts[name] = sql.strip().rstrip(";")
     return texts
 
 
 def oracle_queries() -> dict[str, str]:
     """DuckDB text per query: the views it reads as leading CTEs, then the query itself."""
-    result = {}
+    result, shared = {}, _oracle_texts("view")
+    used = lambda sql: re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql, flags=re.I)
     for name, sql in _oracle_texts().items():
         needed: list[str] = []
 
         def need(view: str) -> None:
-            if view in VIEW_SQL and view not in needed:
-                for inner in references(VIEW_SQL[view]):
-                    need(inner)
-                needed.append(view)
+            if view in needed or view not in shared and view not in VIEW_SQL:
+                return
+            for inner in used(shared[view]) if view in shared else references(VIEW_SQL[view]):
+                need(inner)
+            needed.append(view)
 
-        for word in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql, flags=re.I):
+        for word in used(sql):
             need(word)
-        ctes = [f"{view} AS (\n{duckdb_view(view)}\n)" for view in needed]
+        ctes = [f"{view} AS (\n{shared[view] if view in shared else duckdb_view(view)}\n)" for view in needed]
         if not ctes:
             result[name] = sql
         elif re.match(r"WITH\b", sql, flags=re.I):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # The tables a warehouse has to provide.
 RETAIL_TABLES = (
@@ -53,5 +53,18 @@ def column_type(name: str) -> str:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Cast every column once, at load, to the type its name asks for."""
-    return df.select([F.col(c).cast(column_type(c)).alias(c) for c in df.columns])
+    """Cast every column once, at load, to the type its name asks for.
+
+    Flags that a warehouse keeps as booleans become the words TRUE and FALSE, which the reports compare with. A
+    nested column has no counterpart and is refused.
+    """
+    columns = []
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            raise TypeError(f"column {field.name} has the nested type {field.dataType.simpleString()}")
+        wanted = column_type(field.name)
+        column = F.col(f"`{field.name}`").cast(wanted)
+        if isinstance(field.dataType, T.BooleanType) and wanted == "string":
+            column = F.upper(column)
+        columns.append(column.alias(field.name))
+    return df.select(columns)

@@ -168,12 +168,18 @@ def test_to_date_buckets(make, calendar):
     ]
 
 
-def test_calendar_with_repeated_days_is_refused(make, calendar, monkeypatch):
-    monkeypatch.setattr(time, "MAX_DAYS", 10)
-    with pytest.raises(ValueError):
-        time.period_days(calendar, date(2023, 3, 15))
-    with pytest.raises(ValueError):
-        time.day_ids(calendar)
+def test_any_number_of_days(spark):
+    days = spark.range(60_000).select(F.col("id").alias("date_analytics_id"))
+    every, odd = time.day_ids(days), time.day_ids(days.where("date_analytics_id % 2 = 1"))
+    assert len(every) == 60_000 and len(odd) == 30_000
+    assert time.runs(every) == [(0, 59_999)] and time.runs([5, 1, 2, 9, 5]) == [(1, 2), (5, 5), (9, 9)]
+    assert days.where(time.on_days(every[1000:])).count() == 59_000
+    assert days.where(time.on_days(odd)).count() == 30_000
+
+
+def test_repeated_calendar_days_count_once(calendar):
+    periods = time.period_days(calendar.union(calendar), date(2023, 3, 1))
+    assert periods == time.period_days(calendar, date(2023, 3, 1))
 
 
 def test_on_days(make):

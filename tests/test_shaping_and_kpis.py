@@ -30,11 +30,18 @@ def test_dense_grid(make):
     ]
 
 
-def test_dense_grid_refuses_a_long_dimension(make, spark):
-    facts = make("o int, c int, v int", (1, 1, 5))
-    values = spark.range(shaping.GRID_LIMIT + 1).select(F.col("id").cast("int").alias("c"))
-    with pytest.raises(Exception, match="too many values"):
-        shaping.dense_grid(facts, ["o"], "c", values, ["v"]).collect()
+def test_dense_grid_with_a_long_dimension(make, spark):
+    facts = make("o int, c int, v int", (1, 1, 5), (None, 2, 1), (2, -7, 3))
+    values = spark.range(1001).select(F.col("id").cast("int").alias("c"))
+    got = shaping.dense_grid(facts, ["o"], "c", values, ["v"])
+    assert got.count() == 3 * 1001 + 1
+    assert rows(got.where("v > 0")) == [(None, 2, 1, 1), (1, 1, 5, 1), (2, -7, 3, None)]
+
+
+def test_merge_wide_refuses_a_key_twice(make):
+    a, b = make("k string, a int", ("x", 1), ("x", 2)), make("k string, b int", ("x", 2))
+    with pytest.raises(Exception, match="key twice"):
+        shaping.merge_wide(["k"], a, b).collect()
 
 
 def test_merge_wide_keeps_keys_of_every_input(make):
