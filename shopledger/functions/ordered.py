@@ -65,7 +65,7 @@ def with_range(df: DataFrame, order: Sequence[str | tuple[str, str]], ranges: in
     keys = list(dict.fromkeys(order_names(order)))
     few = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(sample * ranges)
     place = F.row_number().over(Window.orderBy(*total_order(order)))
-    every = few.withColumn("_place", place).where(F.col("_place") % sample == 0)
+    every = few.withColumn("_place", place).where((F.col("_place") % sample == 0) & (F.col("_place") < sample * ranges))
     bounds = every.agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*keys).alias("key")))).alias("bounds"))
     steps = [1 << i for i in reversed(range(max(1, ranges.bit_length())))]
 

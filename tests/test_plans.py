@@ -6,9 +6,14 @@ import re
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from shopledger.operators import time
-from shopledger.registry import run
+from shopledger.functions.ordered import ordered_scan, with_range
+from shopledger.operators import inventory, time, windows
+from shopledger.plans import planning, retail
+from shopledger.registry import QUERIES, run
+from shopledger.sources.catalog import RetailTables
+from shopledger.sources.driver_views import from_driver
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,9 +22,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(
-    "name", ["net_sales", "original_channel", "share_of_total", "market_basket", "store_margin", "dense_grid", "lifecycle_rolling"]
-)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_nested_loops_when_nothing_may_be_broadcast(name, spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -62,3 +65,68 @@ def test_ranked_customers_are_not_gathered_in_one_task(spark):
     plan = plan_of(run("pareto", spark, FOLDER))
     for at in [m.start() for m in re.finditer("SinglePartition", plan)]:
         assert "_bucket" in plan[at : at + 600] and "HashAggregate" in plan[at : at + 600]
+
+
+def test_ordered_scans_write_nothing_and_run_nothing_before_an_action(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("scan", "planning only")
+    try:
+        scanned = ordered_scan(df, [("v", "desc")], ["k"], [], {"v": "v"})
+        plan = plan_of(scanned)
+        assert not tracker.getJobIdsForGroup("scan") and "InsertIntoHadoop" not in plan and "FileScan" not in plan
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert scanned.count() == 1000
+
+
+def test_ranges_are_even_whatever_the_keys(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id")
+    sizes = [r["count"] for r in with_range(df, ["g", ("id", "desc")], 20).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 4 * 2000
+
+
+def test_a_hot_group_is_many_join_keys(spark):
+    """No task holds the group when its total is joined back without broadcasting or re-planning."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for key, value in zip(before, ("-1", "false", "64")):
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("rest").alias("g"), F.col("id").alias("v"))
+        placed = windows.with_group_values(df, ["g"], {"total": F.sum("v")}).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in placed.groupBy("task").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 5000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def overlaid(spark, **frames):
+    """The given tables with some of them replaced."""
+    base = from_driver(spark, FOLDER)
+    return RetailTables(spark, lambda name: frames[name] if name in frames else base[name])
+
+
+def test_dates_of_returns_come_from_the_calendar(spark):
+    """Also where day ids are not day numbers."""
+    base = from_driver(spark, FOLDER)
+    packed = {}
+    for name in ("calendar", "delivered_sales", "delivered_returns"):
+        days = [c for c in base[name].columns if c in ("date_analytics_id", "last_year_date_analytics_id")]
+        packed[name] = base[name].withColumns({c: F.col(c) * 3 + 1_000_000 for c in days})
+    plain = retail.returns_by_store(base).withColumn("date_analytics_id", F.col("date_analytics_id") * 3 + 1_000_000)
+    moved = retail.returns_by_store(overlaid(spark, **packed))
+    columns = plain.columns
+    assert plain.select(columns).exceptAll(moved.select(columns)).count() == moved.select(columns).exceptAll(plain.select(columns)).count() == 0
+    assert moved.where("gregorian_date is null").count() == 0
+
+
+def test_purchase_order_lines_at_two_locations_stay_apart(spark):
+    base = from_driver(spark, FOLDER)
+    first, second = (r.location_analytics_id for r in base["locations"].orderBy("location_analytics_id").limit(2).collect())
+    details = base["po_details"].withColumn("location_analytics_id", F.lit(first).cast("bigint"))
+    both = details.union(details.withColumn("location_analytics_id", F.lit(second).cast("bigint")))
+    one, two = (planning.open_purchase_orders(overlaid(spark, po_details=d), date(2000, 6, 15)) for d in (details, both))
+    grain = ["vendor_analytics_id", *inventory.PO_LINE_KEYS]
+    assert two.count() == two.select(*grain).distinct().count() == 2 * one.count()
+    assert two.select("vendor_analytics_id", "vendor_po_recency_rank").distinct().count() == two.count()

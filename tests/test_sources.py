@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pytest
+
 from conftest import rows
 from shopledger.operators import customers
 from shopledger.plans import crm
 from shopledger.registry.base import presentable
 from shopledger.sources.catalog import from_frames, from_parquet
 from shopledger.sources.driver_views import VIEW_SQL, from_driver
-from shopledger.sources.schema import RETAIL_TABLES, column_type
+from shopledger.sources.schema import RETAIL_TABLES, column_type, conform
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,3 +49,10 @@ def test_types_are_cast_at_load(spark, tmp_path):
         ("target_key", "bigint"), ("cancel_quantity", "decimal(18,4)"), ("order_date", "timestamp_ntz"), ("purchase_order", "string"),
     ]
     assert loaded.where(customers.tenure_by_year("order_date", 2022) == "New").count() == 1
+
+
+def test_boolean_flags_become_words(spark):
+    found = conform(spark.createDataFrame([(True, 1), (False, 2), (None, 3)], "is_canceled boolean, line_id int"))
+    assert [r.is_canceled for r in found.orderBy("line_id").collect()] == ["TRUE", "FALSE", None]
+    with pytest.raises(TypeError, match="tags"):
+        conform(spark.createDataFrame([(["x"],)], "tags array<string>"))
