@@ -15,11 +15,12 @@ def fill_rate(sessions: DataFrame, lines: DataFrame, item_prices: DataFrame) ->
     """Paid seats, seats left, fill rate, actual and potential revenue per session.
 
     ``sessions`` has one row per sku, start and location. Lines count unless
-    returned or cancelled; they are summed per sku first, so a popular class is
-    one row when it meets its sessions. ``item_prices`` has one row per order
+    returned or cancelled; only those of the sessions' skus are read on, and they
+    are summed per sku first, so a popular class is one row when it meets its sessions. ``item_prices`` has one row per order
     number and sku.
     """
-    usable = lines.where(
+    wanted = sessions.select("sku").distinct()
+    usable = lines.join(wanted, "sku", "left_semi").where(
         (F.coalesce("is_return", F.lit("")) != "TRUE") & (F.coalesce("is_canceled", F.lit("")) != "TRUE")
     ).select("sku", "order_number", "quantity", "sub_total")
     priced = usable.join(item_prices, ["order_number", "sku"], "left")
@@ -68,5 +69,5 @@ def cancelled_lines(lines: DataFrame, class_keys: Sequence[str], rank_keys: Sequ
     ranked = ordered_scan(priced, [("sub_total", "desc")], key, rank_keys).drop("row_number", "dense_rank", "group_rows")
     return with_group_values(
         ranked.withColumnRenamed("rank", "rank_in_class"), class_keys,
-        {"class_revenue": F.sum("sub_total"), "class_net_quantity": F.sum("net_quantity")},
+        {"class_revenue": F.sum("sub_total"), "class_net_quantity": F.sum("net_quantity")}, source=priced,
     )

@@ -231,7 +231,7 @@ def stale_days(lines: DataFrame) -> DataFrame:
     placed = ordered_scan(
         lines, [("po_written_date", "desc")], ["purchase_order_analytics_id", "po_line_number"], ["vendor_analytics_id"]
     ).drop("rank", "dense_rank", "group_rows").withColumnRenamed("row_number", "vendor_recency")
-    return group_stat(placed, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days")
+    return group_stat(placed, "stale_days", ["product_analytics_id"], "avg", "avg_stale_days", source=lines)
 
 
 def region_map(

@@ -473,10 +473,13 @@ def top_customers(
     people = customers.contactable(t["target"], internal_patterns, excluded).select(
         "target_key", "first_name", "last_name", "email"
     )
-    ranked = windows.ranked_curve(eligible.join(people, "target_key"), "total_sales", ["target_key"])
-    return ranked.where(F.col("row_number") <= n).drop("row_number").withColumnsRenamed(
-        {
-            "rank": "sales_rank", "dense_rank": "sales_dense_rank", "share": "sales_share",
-            "cumulative_share": "cum_sales_share",
-        }
+    candidates = eligible.join(people, "target_key")
+    # Ranks and the curve of the first n need only these rows and one total over all.
+    total = eligible.join(people.select("target_key"), "target_key").agg(F.sum("total_sales")).scalar()
+    best = windows.top_n(candidates, "total_sales", n, ["target_key"]).withColumn("_total", total)
+    ranked = windows.pareto(windows.ranks(best, "total_sales", ["target_key"], bounded=True), "total_sales", ["target_key"], bounded=True)
+    return ranked.withColumn("sales_share", ratio("total_sales", "_total")).withColumn(
+        "cum_sales_share", ratio("running", "_total")
+    ).drop("row_number", "running", "total", "cumulative_share", "_total").withColumnsRenamed(
+        {"rank": "sales_rank", "dense_rank": "sales_dense_rank"}
     )

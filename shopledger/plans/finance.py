@@ -26,7 +26,7 @@ def card_refunds_for_classes(
     ranked = ordered_scan(
         lines, [("line_revenue", "desc")], ["order_line_analytics_id"], ["sfcc_order_number"], {"order": "line_revenue"}
     )
-    ranked = windows.with_group_values(ranked, ["last_4"], {"card_last4_total_revenue": F.sum("line_revenue")})
+    ranked = windows.with_group_values(ranked, ["last_4"], {"card_last4_total_revenue": F.sum("line_revenue")}, source=lines)
     total = F.col("total_order")
     return ranked.withColumn(
         "pct_of_order_revenue", F.when(total == 0, F.lit(0)).otherwise(percent("line_revenue", "total_order"))

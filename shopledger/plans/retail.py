@@ -24,16 +24,22 @@ def cancelled_classes(t: RetailTables, first_start: datetime, placeholder: str)
         (F.col("is_class_cancelled") == "TRUE") & (F.col("start_date") >= moment(first_start))
     ).select("sku", "location_code", "is_class_cancelled", F.col("start_date").alias("class_start_date"))
     line_key = ["order_number", "order_line_analytics_id"]
-    returned = t["written_returns"].groupBy(*line_key).agg(
+    # A few sessions are cancelled: the lines sold for them decide what is read of every other table.
+    sold = t["sales_line"].join(sessions.select("sku").distinct(), "sku", "left_semi")
+    chosen, orders = sold.select(*line_key), sold.select("order_number")
+    returned = t["written_returns"].join(chosen, line_key, "left_semi").groupBy(*line_key).agg(
         F.max("reason_code").alias("return_reason_code"), F.max("reason").alias("return_reason"), F.max("dt").alias("return_date")
     )
-    cancelled = t["canceled_sales"].groupBy(*line_key).agg(F.max("dt").alias("cancellation_date"))
-    headers = t["sales_header"].select("order_number", "email", F.col("ecom_order_number").alias("sfcc_order_number"))
-    names = t["sfcc_order"].select("sfcc_order_number", "customer_name").join(
+    cancelled = t["canceled_sales"].join(chosen, line_key, "left_semi").groupBy(*line_key).agg(F.max("dt").alias("cancellation_date"))
+    headers = t["sales_header"].join(orders, "order_number", "left_semi").select(
+        "order_number", "email", F.col("ecom_order_number").alias("sfcc_order_number")
+    )
+    web = headers.select("sfcc_order_number")
+    names = t["sfcc_order"].join(web, "sfcc_order_number", "left_semi").select("sfcc_order_number", "customer_name").join(
         t["sfcc_billing_address"].select("sfcc_order_number", "first_name", "last_name"), "sfcc_order_number", "left"
     )
     lines = (
-        t["sales_line"]
+        sold
         .join(sessions, "sku")
         .join(t["products"].select("sku", "short_description"), "sku", "left")
         .join(returned, line_key, "left")
@@ -71,7 +77,12 @@ def class_fill_rate(t: RetailTables, first_start: datetime, last_start: datetime
     )
     prices = (
         t["sales_header"].select("order_number", F.col("ecom_order_number").alias("sfcc_order_number"))
-        .join(t["sfcc_order_item"].select("sfcc_order_number", "sku", "unit_price"), "sfcc_order_number")
+        .join(
+            t["sfcc_order_item"].join(sessions.select("sku").distinct(), "sku", "left_semi").select(
+                "sfcc_order_number", "sku", "unit_price"
+            ),
+            "sfcc_order_number",
+        )
         .drop("sfcc_order_number")
     )
     filled = classes.fill_rate(sessions, t["sales_line"], prices)

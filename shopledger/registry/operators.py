@@ -177,7 +177,7 @@ def orders(t: RetailTables) -> DataFrame:
 @query("share_of_total")
 def _(t):
     in_channel = windows.share_of(orders(t), "net_amount", ["channel_code_desc"], "channel_share", "channel_total")
-    return windows.share_of(in_channel, "net_amount", share="overall_share", total="overall_total").select(
+    return windows.share_of(in_channel, "net_amount", share="overall_share", total="overall_total", source=orders(t)).select(
         "order_number", "channel_code_desc", "net_amount", "channel_total", "channel_share", "overall_total", "overall_share"
     )
 
