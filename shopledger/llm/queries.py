@@ -163,6 +163,33 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+#: Places follow from the lengths of matches and of what lies between them.
+ORACLE["op8_secret_scan"] = r"""
+WITH rules(k, kind, pattern, least) AS (VALUES
+  (0, 'assign', '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', 'AKIA[A-Z0-9]+', 20), (2, 'hex', '[0-9a-f]+', 24), (3, 'github', 'gh[pousr]_[A-Za-z0-9]+', 40),
+  (4, 'jwt', 'eyJ[A-Za-z0-9_-][A-Za-z0-9_.-]*', 30),
+  (5, 'pem', '(?s)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----(?:.*?-----END.*?-----)?', 0)),
+matched AS (
+  SELECT doc_id, k, kind, least, regexp_extract_all(coalesce(text, ''), pattern) AS hits, string_split_regex(coalesce(text, ''), pattern) AS gaps,
+    CASE k WHEN 0 THEN regexp_extract_all(coalesce(text, ''), pattern, 1) ELSE hits END AS contents
+  FROM documents, rules),
+single AS (
+  SELECT doc_id, k, kind, least, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap, unnest(contents) AS content, generate_subscripts(hits, 1) AS i FROM matched),
+placed AS (SELECT *, sum(len(gap) + len(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM single),
+spans AS (
+  SELECT doc_id, k, stop - len(hit) AS start, kind || ':' || (stop - len(hit)) || ':' || stop AS span FROM placed
+  WHERE len(content) >= least AND (k <> 4 OR len(hit) - len(replace(hit, '.', '')) = 2)),
+joined AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined USING (doc_id)
+"""
+
+
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Number and hashes of the token ids of every document, and the hash of the text decoded from them."""
