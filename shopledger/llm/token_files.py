@@ -16,10 +16,12 @@ Segments are rows of a Parquet table, which Spark can write to any store; ``part
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -37,12 +39,34 @@ UNITS = 1024
 NO_ID = -(1 << 63)
 #: Code space of order 0: the units of all groups, each spread over the 256 ids of its group.
 ORDER_0 = UNITS * 256
-#: Weight of an order by its rate of success in 64 steps: the odds, in parts of order 0.
-ODDS = np.array([min(15 * ORDER_0, max(64, int(ORDER_0 * (i + 0.5) / (63.5 - i)))) for i in range(64)], dtype=np.int64)
+LEVELS = 16
 WHOLE, LOW = 1 << 48, 1 << 32
 HEAD = struct.Struct("<4sHIIQ")
 
 
+def mixture() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the trust in orders 1 and 2 (0: no prediction): their space, that of order 2, and the bits of all space.
+
+    The whole space is a power of two, so the coder shifts instead of dividing.
+    """
+    mass, mass_2, bits = (np.zeros((LEVELS + 1) ** 2, np.int64) for _ in range(3))
+    for one in range(LEVELS + 1):
+        for two in range(LEVELS + 1):
+            p, q = one / (LEVELS + 1), two / (LEVELS + 1)
+            doubled = min(5, max(int(one + two > 0), round(-math.log2((1 - p) * (1 - q)))))
+            both = ((1 << doubled) - 1) * ORDER_0
+            at = one * (LEVELS + 1) + two
+            mass[at], bits[at] = both, doubled + ORDER_0.bit_length() - 1
+            if two:
+                mass_2[at] = both if not one else min(both - 1, max(1, int(both * q / (q + p * (1 - q)))))
+    return mass, mass_2, bits
+
+
+MASS, MASS_2, BITS = mixture()
+#: Trust after a step, by three times the trust plus 0: no prediction, 1: wrong, 2: right.
+TRUST = np.array([[t, max(1, t - max(1, t // 4)), min(LEVELS, t + 1)] for t in range(LEVELS + 1)], dtype=np.int64).ravel()
+
+
 class Predictor:
     """The mixed predictions of many blocks at once; coder and decoder drive it with the same ids."""
 
@@ -53,20 +77,19 @@ class Predictor:
         self.unit = np.arange(lanes, dtype=np.int64) * UNITS
         self.after_1 = np.full(lanes * SLOTS, -1, np.int32)
         self.after_2 = np.full(lanes * SLOTS, -1, np.int32)
-        self.rate_1 = np.full(lanes, 2048, np.int64)
-        self.rate_2 = np.full(lanes, 2048, np.int64)
+        self.trust_1 = np.full(lanes, LEVELS // 2, np.int64)
+        self.trust_2 = np.full(lanes, LEVELS // 2, np.int64)
         self.counts = np.zeros(lanes * 256, np.int64)
         self.last_1 = np.zeros(lanes, np.int64)
         self.last_2 = np.zeros(lanes, np.int64)
-        self.steps = 0
-        self.shares()
+        self.steps = self.counted = 0
+        self.share()
 
-    def shares(self) -> None:
+    def share(self) -> None:
         """Units of each group, at least one, from the counts so far; what rounding leaves goes to group 0."""
-        counts = self.counts.reshape(self.lanes, 256)
-        units = 1 + counts * (UNITS - 256) // max(1, self.steps)
+        units = 1 + self.counts.reshape(self.lanes, 256) * (UNITS - 256) // max(1, self.counted)
         units[:, 0] += UNITS - units.sum(axis=1)
-        self.first = (np.cumsum(units, axis=1) - units).ravel()
+        self.first = ((np.cumsum(units, axis=1) - units) << 8).ravel()
         self.units = units.ravel()
 
     def owners(self) -> np.ndarray:
@@ -74,35 +97,31 @@ class Predictor:
         return np.repeat(np.tile(np.arange(256, dtype=np.int16), self.lanes), self.units)
 
     def predict(self) -> None:
-        self.at_1 = self.slot + ((self.last_1 * 0x9E3779B1 >> 15) & (SLOTS - 1))
-        self.at_2 = self.slot + ((self.last_2 * 0x85EBCA6B + self.last_1 * 0x9E3779B1 >> 15) & (SLOTS - 1))
+        self.at_1 = self.slot + (self.last_1 & (SLOTS - 1))
+        self.at_2 = self.slot + (((self.last_2 << 3) ^ self.last_1) & (SLOTS - 1))
         self.id_1, self.id_2 = self.after_1.take(self.at_1), self.after_2.take(self.at_2)
         self.has_1, self.has_2 = self.id_1 >= 0, self.id_2 >= 0
-        weight_1 = ODDS.take(self.rate_1 >> 6) * self.has_1
-        weight_2 = ODDS.take(self.rate_2 >> 6) * self.has_2
-        # The space: first order 2, with order 1 if they agree, then order 1, then order 0.
-        agreed = weight_1 * (self.id_1 == self.id_2)
-        self.mass_2 = weight_2 + agreed
-        self.mass = weight_1 + weight_2
-        self.total = self.mass + ORDER_0
+        trust = self.trust_1 * self.has_1 * (LEVELS + 1) + self.trust_2 * self.has_2
+        # The space: first order 2, with that of order 1 if they agree, then order 1, then order 0.
+        self.mass, self.bits = MASS.take(trust), BITS.take(trust)
+        self.mass_2 = np.where(self.id_1 == self.id_2, self.mass, MASS_2.take(trust))
 
     def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the ids' part of the space."""
         self.hit_1, self.hit_2 = self.id_1 == ids, self.id_2 == ids
         group = self.group + (ids >> 8)
         units = self.units.take(group)
-        begin = self.mass + (self.first.take(group) << 8) + (ids & 255) * units
-        only_1 = self.hit_1 & ~self.hit_2
-        begin = np.where(self.hit_2, 0, np.where(only_1, self.mass_2, begin))
-        return begin, np.where(self.hit_2, self.mass_2, np.where(only_1, self.mass - self.mass_2, units))
+        begin = self.mass + self.first.take(group) + (ids & 255) * units
+        begin = np.where(self.hit_2, 0, np.where(self.hit_1, self.mass_2, begin))
+        return begin, np.where(self.hit_2, self.mass_2, np.where(self.hit_1, self.mass - self.mass_2, units))
 
     def find(self, value: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids at places of the space, and begin and size of their parts."""
         rest = np.maximum(value - self.mass, 0)
         group = owners.take(self.unit + (rest >> 8)).astype(np.int64)
         at = self.group + group
-        units, first = self.units.take(at), self.first.take(at) << 8
-        inside = (rest - first) // units
+        units, first = self.units.take(at), self.first.take(at)
+        inside = ((rest - first) / units).astype(np.int64)
         in_2, in_any = value < self.mass_2, value < self.mass
         ids = np.where(in_2, self.id_2, np.where(in_any, self.id_1, (group << 8) + inside))
         begin = np.where(in_2, 0, np.where(in_any, self.mass_2, self.mass + first + inside * units))
@@ -110,19 +129,21 @@ class Predictor:
         self.hit_1, self.hit_2 = self.id_1 == ids, self.id_2 == ids
         return ids, begin, size
 
-    def learn(self, ids: np.ndarray) -> bool:
-        """Take in the ids; true if the shares of order 0 were made anew."""
-        self.rate_1 += ((self.hit_1 * 4095 - self.rate_1) >> 4) * self.has_1
-        self.rate_2 += ((self.hit_2 * 4095 - self.rate_2) >> 4) * self.has_2
+    def learn(self, ids: np.ndarray, past: np.ndarray) -> bool:
+        """Take in the ids, the last row of ``past``; true if the shares of order 0 were made anew."""
+        self.trust_1 = TRUST.take(self.trust_1 * 3 + self.has_1 + self.hit_1)
+        self.trust_2 = TRUST.take(self.trust_2 * 3 + self.has_2 + self.hit_2)
         self.after_1[self.at_1] = ids
         self.after_2[self.at_2] = ids
-        self.counts[self.group + (ids >> 8)] += 1
         self.last_2, self.last_1 = self.last_1, ids
         self.steps += 1
-        if self.steps in (16, 64, 128) or self.steps % 256 == 0:
-            self.shares()
-            return True
-        return False
+        if self.steps not in (16, 64, 128) and self.steps % 256:
+            return False
+        new = (past[self.counted : self.steps] >> 8) + self.group
+        self.counts += np.bincount(new.ravel(), minlength=self.lanes * 256)
+        self.counted = self.steps
+        self.share()
+        return True
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -130,28 +151,28 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     lanes, steps = ids.shape
     model, columns = Predictor(lanes), np.ascontiguousarray(ids.T.astype(np.int64))
     low, span = np.zeros(lanes, np.int64), np.full(lanes, WHOLE, np.int64)
-    out, used = np.zeros((lanes, 2 * steps + 3), np.int32), np.zeros(lanes, np.int64)
+    width = 2 * steps + 4
+    out, at = np.zeros(lanes * width, np.int32), np.arange(lanes, dtype=np.int64) * width
+    begins = at.copy()
     for x in columns:
         model.predict()
         begin, size = model.place(x)
-        unit = span // model.total
+        unit = span >> model.bits
         low += unit * begin
         span = unit * size
-        while True:
-            short = np.flatnonzero(span <= LOW)
-            if not len(short):
-                break
-            # A carry makes a digit of more than 16 bits; it is passed on at the end.
-            part = low[short]
-            out[short, used[short]] = part >> 32
-            low[short] = (part & (LOW - 1)) << 16
-            span[short] <<= 16
-            used[short] += 1
-        model.learn(x)
-    rows = np.arange(lanes)
+        while (short := span <= LOW).any():
+            # A carry makes a digit of more than 16 bits; it is passed on at the end. A digit that is not due yet
+            # is written over.
+            out[at] = low >> 32
+            shift = short * 16
+            low = (low & np.where(short, LOW - 1, -1)) << shift
+            span <<= shift
+            at += short
+        model.learn(x, columns)
     for shift in (32, 16, 0):
-        out[rows, used] = low >> shift if shift == 32 else (low >> shift) & 0xFFFF
-        used += 1
+        out[at] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
+        at += 1
+    out, used = out.reshape(lanes, width), at - begins
     for i in range(int(used.max()) - 1, 0, -1):
         out[:, i - 1] += out[:, i] >> 16
     digits = out.astype("<u2")
@@ -162,28 +183,28 @@ def decode_blocks(coded: list[bytes], steps: int) -> np.ndarray:
     """The ids of blocks of ``steps`` ids each."""
     lanes = len(coded)
     lengths = np.array([len(c) // 2 for c in coded])
-    digits = np.zeros((lanes, int(lengths.max()) + 2), np.int64)
+    width = int(lengths.max()) + 2
+    digits = np.zeros((lanes, width), np.int32)
     for i, c in enumerate(coded):
         digits[i, : lengths[i]] = np.frombuffer(c, "<u2")
-    code = (digits[:, 0] << 32) | (digits[:, 1] << 16) | digits[:, 2]
-    used, span = np.full(lanes, 3, np.int64), np.full(lanes, WHOLE, np.int64)
+    code = (digits[:, 0].astype(np.int64) << 32) | (digits[:, 1].astype(np.int64) << 16) | digits[:, 2]
+    digits, at, span = digits.ravel(), np.arange(lanes, dtype=np.int64) * width + 3, np.full(lanes, WHOLE, np.int64)
     model, out = Predictor(lanes), np.empty((steps, lanes), np.int64)
     owners = model.owners()
     for step in range(steps):
         model.predict()
-        unit = span // model.total
-        x, begin, size = model.find(np.minimum(code // unit, model.total - 1), owners)
+        unit = span >> model.bits
+        # Exact: the quotient and its distance from the next whole number fit a double.
+        x, begin, size = model.find((code / unit).astype(np.int64), owners)
         code -= unit * begin
         span = unit * size
-        while True:
-            short = np.flatnonzero(span <= LOW)
-            if not len(short):
-                break
-            code[short] = (code[short] << 16) | digits[short, used[short]]
-            span[short] <<= 16
-            used[short] += 1
+        while (short := span <= LOW).any():
+            shift = short * 16
+            code = (code << shift) | (digits.take(at) * short)
+            span <<= shift
+            at += short
         out[step] = x
-        if model.learn(x):
+        if model.learn(x, out):
             owners = model.owners()
     return out.T
 
@@ -227,12 +248,56 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if d == NO_ID else d for d in doc_ids.tolist()], lengths, flat
 
 
-@lru_cache(maxsize=2)
-def tokenizer(text: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-    from tokenizers import Tokenizer
+class Tokens(dict):
+    """Ids of pieces of text from the tokenizers library, as little-endian 32-bit numbers, kept up to a bound.
+
+    A text is cut before every blank that has a visible character on either side. The vocabulary's own split cuts
+    there too, so equal pieces have equal ids wherever they are, and most are looked up.
+    """
 
-    return Tokenizer.from_str(text)
+    def __init__(self, text: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        from tokenizers import Tokenizer
+
+        self.library, self.most = Tokenizer.from_str(text), most
+        split = json.loads(text)["pre_tokenizer"]
+        self.cuts = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: Sequence[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.encode(texts)
+        if len(self) > self.most:
+            self.clear()
+        get, pieces, new = self.get, [], set()
+        for text in texts:
+            # Cut before blanks: a control character that no text here has marks the places.
+            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+            found = list(map(get, parts)) if parts else [None]
+            if parts and None in found:
+                new.update([p for p, f in zip(parts, found) if f is None])
+            pieces.append((parts, found))
+        # Pieces that begin or end with white space but for the blank belong to a run of it: their texts go whole.
+        apart = [p for p in new if p and not p[-1].isspace() and not p[1:2].isspace()]
+        self.update(zip(apart, self.encode(apart)))
+        result, whole = [], []
+        for i, (parts, found) in enumerate(pieces):
+            if parts and None in found:
+                found = list(map(get, parts))
+            result.append(None if None in found else b"".join(found))
+            if result[-1] is None:
+                whole.append(i)
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
+            result[i] = ids
+        return result
+
+
+@lru_cache(maxsize=2)
+def tokens(text: str) -> Tokens:
+    return Tokens(text)
 
 
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_ids: int = BLOCK * LANES) -> None:
@@ -244,8 +309,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text("utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = tokenizer(content.value), TaskContext.get().partitionId(), 0
+        encoder, part, number = tokens(content.value), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, held = [], [], [], 0
+        end = struct.pack("<I", end_id)
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, ids, held
@@ -257,9 +323,9 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
-                coded = encoder.encode_batch_fast([t or "" for t in rows.column(1).to_pylist()], add_special_tokens=False)
+                coded = encoder.of([t or "" for t in rows.column(1).to_pylist()])
                 for doc_id, found in zip(rows.column(0).to_pylist(), coded):
-                    own = np.array([*found.ids, end_id], np.int64)
+                    own = np.frombuffer(found + end, "<u4")
                     doc_ids.append(doc_id)
                     lengths.append(len(own))
                     ids.append(own)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,8 @@ from shopledger.llm import token_files
 from shopledger.llm.queries import TOKENIZERS
 
 PATH = str(TOKENIZERS / "byte_bpe_50k.json")
+TOKENS = token_files.Tokens(Path(PATH).read_text("utf-8"), most=300)
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,6 +51,20 @@ def test_damage_is_found():
         token_files.pack([1], [1], np.array([1 << 16]))
 
 
+PIECES = [
+    "a", "\0", "the", " ", "  ", "\n", "\t", "'s", "é", "<|endoftext|>", "<|endo", "1", "!!", "日本", "𝒳", "\x1c", "\x85", "　", "\xa0",
+    " x", "x ", "\r\n", "I'm", ".",
+]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=40).map("".join) | st.text(max_size=30), max_size=8))
+def test_ids_of_pieces_are_those_of_whole_texts(texts):
+    found = TOKENS.of(texts)
+    assert found == TOKENS.encode(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
 def expected(rows):
     """Documents in id order, null first, then by text, with the place of their ids."""
     library, found, at = Tokenizer.from_file(PATH), [], 0
