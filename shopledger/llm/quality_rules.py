@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh, let, long_array, small, words
@@ -11,6 +12,10 @@ from .common import fresh, let, long_array, small, words
 SYMBOLS = "#*$%&|<>"
 #: Log ratios are kept as whole numbers of this fraction, so sums do not depend on the order of rows.
 UNIT = 1 << 20
+#: Parts of the corpus, by the hash of the text. A document is judged by the counts of the parts that it is not in.
+FOLDS = 16
+#: N-grams of a document that count as evidence; those of a longer one weigh less, as they are no independent finds.
+DOCUMENT_GRAMS = 100
 
 
 def repeated_words(found: Column) -> Column:
@@ -54,63 +59,131 @@ def following_hashes(found: Column, buckets: int) -> Column:
     return F.transform(first, lambda x, i: bucket(buckets, x, F.get(found, i + 1)))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoothing: float = 1.0, broadcast_rows: int = 2_000_000) -> list[int]:
-    """Per bucket, the log of target probability over corpus probability, in units of ``1 / UNIT``.
+def fold(text: Column) -> Column:
+    """The part of the corpus that a text belongs to; equal texts share one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS))
 
-    Counts cover every document; the target is the documents whose id is in ``trusted`` (ids that are null or not
-    in ``docs`` count for nothing). ``buckets`` is a power of two. All zero if there are no trusted documents. The result has ``buckets`` entries
-    whatever the size of the corpus.
+
+def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int, broadcast_rows: int = 2_000_000) -> np.ndarray:
+    """Counts of n-grams as an array ``[4, FOLDS, buckets]``: all, those of the target, and both again with each
+    document weighing as ``DOCUMENT_GRAMS`` n-grams at most, in units of ``1 / UNIT``.
+
+    The target is the documents whose id is in ``trusted`` (ids that are null or not in ``docs`` count for nothing).
     """
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
     marked = docs.select("doc_id", "text").join(small(ids, broadcast_rows), F.col("doc_id") == F.col("_trusted"), "left")
     following = F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(None).cast("string")))
-    pairs = marked.select(F.col("_trusted").isNotNull().cast("bigint").alias("target"), words(F.col("text")).alias("w"))
-    pairs = pairs.select("target", F.inline(F.arrays_zip("w", following.alias("next"))))
+    pairs = marked.select(
+        F.col("_trusted").isNotNull().cast("bigint").alias("target"), (fold(F.col("text")) * buckets).alias("first"),
+        words(F.col("text")).alias("w"),
+    )
+    weight = (F.lit(UNIT * DOCUMENT_GRAMS) / F.greatest(2 * F.size("w") - 1, F.lit(DOCUMENT_GRAMS))).cast("bigint")
+    pairs = pairs.select("target", "first", weight.alias("weight"), F.inline(F.arrays_zip("w", following.alias("next"))))
     of_pair = F.when(F.col("next").isNotNull(), bucket(buckets, F.col("w"), F.col("next")))
-    grams = pairs.select("target", F.explode(F.array(bucket(buckets, F.col("w")), of_pair)).alias("bucket"))
-    grams = grams.where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target")).collect()
-    raw = {row.bucket: row.raw for row in counts}
-    target = {row.bucket: row.target for row in counts}
-    all_raw, all_target = sum(raw.values()), sum(target.values())
+    grams = pairs.select("target", "first", "weight", F.explode(F.array(bucket(buckets, F.col("w")), of_pair)).alias("bucket"))
+    grams = grams.where("bucket is not null").groupBy((F.col("first") + F.col("bucket")).alias("cell"))
+    of_target = F.col("weight") * F.col("target")
+    rows = grams.agg(F.count(F.lit(1)), F.sum("target"), F.sum("weight"), F.sum(of_target)).toArrow()
+    found = np.zeros((4, FOLDS * buckets), np.int64)
+    if rows.num_rows:
+        cell, *values = (c.to_numpy() for c in rows.columns)
+        found[:, cell] = values
+    return found.reshape(4, FOLDS, buckets)
+
+
+def plain_ratios(counts: np.ndarray, smoothing: float = 1.0) -> list[int]:
+    """Ratios of the counts as they are, every document's own included."""
+    raw, target = counts[:2].sum(axis=1).tolist()
+    buckets, all_raw, all_target = len(raw), sum(raw), sum(target)
     if not all_target:
         return [0] * buckets
     from_raw, from_target = all_raw + smoothing * buckets, all_target + smoothing * buckets
     return [
-        round(UNIT * (math.log((target.get(b, 0) + smoothing) / from_target) - math.log((raw.get(b, 0) + smoothing) / from_raw)))
+        round(UNIT * (math.log((target[b] + smoothing) / from_target) - math.log((raw[b] + smoothing) / from_raw)))
         for b in range(buckets)
     ]
 
 
+def fold_ratios(counts: np.ndarray, smoothing: float = 1.0) -> list[list[int]]:
+    """Ratios from the weighed counts: of all folds, then of all but each of the folds in turn.
+
+    A bucket's ratio is of what the target holds to its share of what the corpus holds, each plus ``smoothing``, so
+    a bucket that the corpus hardly has says nothing.
+    """
+    raw, target = (np.concatenate([x.sum(axis=0)[None], x.sum(axis=0) - x]) for x in counts[2:])
+    share = target.sum(axis=1) / np.maximum(raw.sum(axis=1), 1)
+    least = smoothing * UNIT
+    return np.rint(UNIT * np.log((target + least) / (raw * share[:, None] + least))).astype(np.int64).tolist()
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoothing: float = 1.0, broadcast_rows: int = 2_000_000) -> list[int]:
+    """Per bucket, the log of target probability over corpus probability, in units of ``1 / UNIT``.
+
+    Counts cover every document; the target is the documents whose id is in ``trusted`` (ids that are null or not
+    in ``docs`` count for nothing). ``buckets`` is a power of two. All zero if there are no trusted documents. The result has ``buckets`` entries
+    whatever the size of the corpus.
+    """
+    return plain_ratios(gram_counts(docs, trusted, buckets, broadcast_rows), smoothing)
+
+
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int, min_words: int, max_repeat_percent: int) -> DataFrame:
     """``docs`` with one more column, the last: a struct of the base counts and the verdict of the row."""
-    ratios = long_array(log_ratios(docs, trusted, buckets))
+    counts = gram_counts(docs, trusted, buckets)
+    ratios, of_all, *of_others = (long_array(r) for r in [plain_ratios(counts), *fold_ratios(counts)])
+    own = fold(F.col("text")).cast("int")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     zero = F.lit(0).cast("bigint")
-    by_words = let(
+    grams = lambda w: F.concat(F.transform(w, lambda x: bucket(buckets, x)), following_hashes(w, buckets))
+    total = lambda g, table: F.aggregate(g, zero, lambda a, b: a + F.get(table, b))
+    # What leaving out one of the other folds changes, squared and summed: the jackknife's error of the sum.
+    squared = lambda x: x.cast("double") * x.cast("double")
+    changes = lambda g, every, tables: F.transform(
+        tables, lambda t, i: F.when(i == own, 0.0).otherwise(let(total(g, t) - every, squared))
+    )
+    error = lambda g, tables: F.ceil(F.sqrt(
+        let(total(g, of_all), lambda every: F.aggregate(changes(g, every, tables), F.lit(0.0), lambda a, x: a + x))
+    )).cast("bigint")
+
+    def evidence(g: Column, passed: Column) -> Column:
+        below = lambda x: x < F.lit(round(threshold * UNIT)) * F.size(g).cast("bigint")
+        return let(
+            F.array(*of_others),
+            lambda tables: let(
+                let(F.get(tables, own), lambda t: total(g, t)),
+                lambda x: F.struct(
+                    total(g, ratios).alias("llr_units"), x.alias("held_out_units"),
+                    F.when(passed & below(x), error(g, tables)).alias("error_units"),
+                ),
+            ),
+        )
+
+    failed = lambda n, repeated: (n < min_words) | (100 * repeated > max_repeat_percent * n)
+    measured = let(
         words(F.col("text")),
-        lambda w: F.struct(
-            F.size(w).cast("bigint").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            repeated_words(w).alias("n_repeat_words"),
-            (
-                F.aggregate(w, zero, lambda a, x: a + F.get(ratios, bucket(buckets, x)))
-                + F.aggregate(following_hashes(w, buckets), zero, lambda a, b: a + F.get(ratios, b))
-            ).alias("llr_units"),
+        lambda w: let(
+            repeated_words(w),
+            lambda repeated: F.struct(
+                F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+                repeated.alias("n_repeat_words"), failed(F.size(w).cast("bigint"), repeated).alias("base_failed"),
+                F.greatest(2 * F.size(w).cast("bigint") - 1, zero).alias("n_grams"),
+                let(grams(w), lambda g: evidence(g, ~failed(F.size(w).cast("bigint"), repeated))).alias("sums"),
+            ),
         ),
     )
-    failed = lambda w: (w["n_words"] < min_words) | (100 * w["n_repeat_words"] > max_repeat_percent * w["n_words"])
-    likely = lambda w: w["llr_units"] >= F.lit(round(threshold * UNIT)) * F.greatest(2 * w["n_words"] - 1, zero)
+    reached = lambda m: (
+        m["sums"]["held_out_units"] + F.coalesce(m["sums"]["error_units"], zero) >= F.lit(round(threshold * UNIT)) * m["n_grams"]
+    )
     quality = let(
-        by_words,
-        lambda w: F.struct(
-            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"),
+        measured,
+        lambda m: F.struct(
+            m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"),
             F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-            w["n_repeat_words"].alias("n_repeat_words"), failed(w).alias("base_failed"),
-            (~failed(w) & likely(w)).alias("kept"), w["llr_units"].alias("llr_units"),
-            F.greatest(2 * w["n_words"] - 1, zero).alias("n_grams"),
+            m["n_repeat_words"].alias("n_repeat_words"), m["base_failed"].alias("base_failed"),
+            (~m["base_failed"] & reached(m)).alias("kept"), m["sums"]["llr_units"].alias("llr_units"),
+            m["n_grams"].alias("n_grams"), m["sums"]["held_out_units"].alias("held_out_units"),
+            m["sums"]["error_units"].alias("error_units"),
         ),
     )
     return docs.withColumn(fresh("_quality", docs), quality)
@@ -123,8 +196,11 @@ def judge(
     """Base counts and the verdict for every row of ``docs`` (``doc_id``, ``text``; other columns are not used).
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_units,
-    n_grams``. ``kept`` is false for documents that fail the base rules; for the others it holds if the sum of log
-    ratios is at least ``threshold`` per n-gram, in whole numbers, so equal texts get equal verdicts on every run.
+    n_grams, held_out_units, error_units``. ``kept`` is false for documents that fail the base rules. For the others
+    it is false only if the sum of log ratios, from documents of the other folds (``held_out_units``, so a text's own
+    counts and those of its copies have no part in it), lies below ``threshold`` per n-gram by more than its standard
+    error (``error_units``, a jackknife over the folds; null where it can't matter): thin counts reject nothing. Sums are whole numbers and folds
+    follow from the text, so equal texts get equal verdicts on every run. ``llr_units`` is the sum over all counts.
 
     A null or empty text has no words and is rejected. Rows with equal ids are judged one by one, and so are null
     ids. Without trusted documents every ratio is zero and only the base rules decide. An empty table gives no rows.

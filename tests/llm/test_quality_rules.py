@@ -107,3 +107,23 @@ def test_without_trusted_documents_only_the_base_rules_decide(spark):
     docs = documents(spark, [(1, " ".join(f"w{i}" for i in range(60))), (2, "short")])
     got = by_id(quality_rules.judge(docs, docs.limit(0)), "kept")
     assert got == {1: (True,), 2: (False,)}
+
+
+def test_clean_documents_without_a_label_stay(spark):
+    """Good documents that are kept out of the trusted ones are judged as those are, at several shares of labels."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("quality = 1").selectExpr("doc_id", "pmod(xxhash64(doc_id, 'held'), 10) as part")
+    for tenths in (8, 5, 2):
+        judged = quality_rules.judge(docs, held.where(f"part < {tenths}")).where("not base_failed")
+        out = [r.kept for r in judged.join(held.where(f"part >= {tenths}"), "doc_id").collect()]
+        bad = [r.kept for r in judged.join(labels.where("quality = 0"), "doc_id").collect()]
+        assert sum(out) > 0.95 * len(out) and sum(bad) < 0.1 * len(bad)
+
+
+def test_equal_texts_get_equal_verdicts(spark):
+    words = [f"w{i}" for i in range(90)]
+    texts = [(i, " ".join(words[(i * 7 + j * j) % 90] for j in range(80 + i // 2))) for i in range(40)]
+    docs = documents(spark, texts + [(100 + i, t) for i, t in texts])
+    got = by_id(quality_rules.judge(docs, docs.where("doc_id < 5").select("doc_id")), "kept", "held_out_units", "error_units")
+    assert all(got[i] == got[100 + i] for i, _ in texts)
