@@ -146,12 +146,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
 def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, shards: int = 16, block_words: int = 100_000,
-    blocks_per_source: int = 4096, seed: str = "mix",
+    blocks_per_source: int = 4096, seed: str = "mix", carried: Sequence[str] = (),
 ) -> DataFrame:
     """Copies of every document in the mixed corpus.
 
     Reads ``doc_id, source, text``; returns one row per row of ``docs``: ``doc_id, source, size`` (words),
-    ``source_size, target, shards`` (the output shard of each copy, empty if the mix leaves the document out).
+    ``source_size, target``, the columns named in ``carried``, and ``shards`` (the output shard of each copy, empty if
+    the mix leaves the document out).
     ``exploded`` turns this into the mixed corpus. Each source's copies add up to its target but for the rest
     that no single document of the last block fills; no document has more than ``cap`` copies.
 
@@ -160,7 +161,7 @@ def mix(
     ``blocks_per_source`` blocks, or the documents of one block.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    sized = written(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sized = written(docs.select("doc_id", "source", size.alias("size"), *carried), "sizes")
     sources = source_targets(sized, weights, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     blocks = F.least(F.lit(blocks_per_source), F.ceil(F.col("source_size") / block_words))
@@ -208,17 +209,17 @@ def mix(
     joined = placed.join(plan, ["source_no", "block"])
 
     all_of = F.coalesce(F.col("unit_shards"), none)
-    kept = ["doc_id", "source", "size", "source_size", "target"]
+    kept = ["doc_id", "source", "size", "source_size", "target", *carried]
     full = joined.where("not part").select(*kept, all_of.alias("shards"))
     # In that block: documents in hash order while they fit, then the one other that fills the rest best.
     in_block = Window.partitionBy("source_no", "block")
-    ordered = in_block.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = in_block.orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = joined.where("part").withColumn("end", F.sum("size").over(ordered))
     cut = cut.withColumn("fits", F.col("end") <= F.col("room"))
     filled = F.coalesce(F.max(F.when(F.col("fits"), F.col("end"))).over(in_block), F.lit(0))
     cut = cut.withColumn("gap", F.col("room") - filled)
     off = F.abs(F.col("gap") - F.col("size"))
-    best = F.row_number().over(in_block.orderBy("fits", off, "key", "doc_id", "size"))
+    best = F.row_number().over(in_block.orderBy("fits", off, "key", "doc_id", "size", *carried))
     cut = cut.withColumn("filler", ~F.col("fits") & (best == 1) & (off < F.col("gap")))
     cut = cut.select(
         *kept,
@@ -238,13 +239,21 @@ def exploded(mixed: DataFrame, seed: str = "mix") -> DataFrame:
 def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has it: each row once per copy, rows grouped by shard and shuffled within it by a hash.
 
-    Rows are matched to their copies by ``doc_id``; of rows with equal ids one plan of copies counts for all.
+    Rows are matched to their copies by hashes of id, source and text, so rows with equal or null ids get each its own.
+    Rows that agree in all three are interchangeable and share out the copies that the mix has for them.
     """
-    plan = exploded(mix(docs, **options), options.get("seed", "mix"))
-    key, shard, order = (fresh(name, docs) for name in ("_key", "_shard", "_order"))
-    per_doc = plan.dropDuplicates(["doc_id", "copy"]).select(
-        F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("order_key").alias(order)
+    one, two, number, lists, copy, shard, order = (
+        fresh(name, docs) for name in ("_one", "_two", "_number", "_lists", "_copy", "_shard", "_order")
     )
-    out = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col(key)))
+    parts = [F.col(c) for c in ("doc_id", "source", "text")]
+    parts += [p.isNull() for p in parts]
+    marked = docs.withColumn(one, F.xxhash64(*parts)).withColumn(two, F.xxhash64(F.lit(two), *parts))
+    plan = mix(marked, **options, carried=(one, two)).where(F.size("shards") > 0)
+    per_row = plan.groupBy(one, two).agg(F.sort_array(F.collect_list("shards"), asc=False).alias(lists))
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "source", "text") and "map<" not in kind and "variant" not in kind]
+    same = Window.partitionBy(one, two).orderBy(one, *[f"`{c}`" for c in others])
+    out = marked.join(per_row, [one, two]).withColumn(number, F.row_number().over(same))
+    out = out.select("*", F.posexplode(F.get(lists, F.col(number) - 1)).alias(copy, shard))
+    out = out.withColumn(order, hashed(options.get("seed", "mix"), F.lit("order"), F.col(shard), F.col(copy), F.col("doc_id")))
     placed = out.repartition(shard, F.substring(order, 1, 1)).sortWithinPartitions(shard, order)
-    return placed.drop(key, shard, order)
+    return placed.select(*[f"`{c}`" for c in docs.columns])

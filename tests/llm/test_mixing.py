@@ -113,3 +113,14 @@ def test_hypergeometric_draws(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(documents(spark, [(1, "a b", "s")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_rows_with_null_and_repeated_ids_get_their_own_copies(spark):
+    rows = [(None, f"n{i} " * (1 + i % 9), "abcd"[i % 4]) for i in range(120)]
+    rows += [(i % 10, f"w{i} " * (1 + i % 7), "abcd"[i * i % 4]) for i in range(120)] + [(None, "same text", "b")] * 5
+    docs = documents(spark, rows)
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").collect()}
+    taken = Counter()
+    for r in mixing.mixed_corpus(docs).select("source", "text").collect():
+        taken[r.source] += size(r.text)
+    assert {s: abs(taken[s] - t) <= 10 for s, t in target.items()} == dict.fromkeys("abcd", True)
