@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -21,16 +20,3 @@ def spark():
 def make(spark):
     """DataFrame from rows and a schema text."""
     return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
-
-
-def plain(value):
-    if isinstance(value, Decimal):
-        return float(value)
-    return round(value, 6) if isinstance(value, float) else value
-
-
-def rows(df, *columns):
-    """Sorted rows of the named columns, with decimals as floats and nulls first."""
-    picked = df.select(*columns) if columns else df
-    found = [tuple(plain(v) for v in row) for row in picked.collect()]
-    return sorted(found, key=lambda row: [(v is not None, v) for v in row])

@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from found import rows
 from shopledger.operators import customers, lifecycle
 from shopledger.plans.parameters import FULL_PRICES, SPEND_EDGES, SPEND_LABELS
 

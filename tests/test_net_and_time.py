@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from found import rows
 from shopledger.operators import net, time
 from shopledger.sources.calendar import fiscal_calendar
 from shopledger.sources.driver_views import from_driver

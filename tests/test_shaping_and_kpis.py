@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from found import rows
 from shopledger.operators import classes, finance, inventory, kpis, pricing, shaping
 from shopledger.plans.parameters import DISTRICTS, OTHER_REGION, REGIONS, WAREHOUSE_REGION
 

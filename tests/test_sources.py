@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import rows
+from found import rows
 from shopledger.operators import customers
 from shopledger.plans import crm
 from shopledger.registry.base import presentable

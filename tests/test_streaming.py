@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from found import rows
 from shopledger.functions.columns import money
 from shopledger.operators import time
 from shopledger.streaming.incremental import daily_totals_stream, hourly_demand_stream

@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from found import rows
 from shopledger.functions.joins import spread_null_left_join
 from shopledger.functions.ordered import ordered_scan
 from shopledger.operators import keys, windows
