@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, embeddings, minhash, mixing, quality_rules, secrets, token_files, urls, warc
+from . import alignment, bpe, classifier, conversations, decontamination, embeddings, minhash, mixing, quality_rules, secrets, token_files, urls, warc
 from .common import table
 
-#: Where the public vocabularies lie; see their README.
-TOKENIZERS = Path("/opt/tokenizers")
+#: Where the public vocabularies lie.
+TOKENIZERS = Path(public_tokenizers.path("byte_bpe_50k.json")).parent
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -226,3 +227,106 @@ direct AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, s.component_id, e.vec_id = s.component_id AS kept
 FROM embeddings e JOIN smallest s ON s.start = e.vec_id LEFT JOIN direct d ON d.x = e.vec_id
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and items of the benchmark in every document."""
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLE["op11_decontamination"] = r"""
+WITH split AS (
+  SELECT 0 AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL
+  SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+worded AS (
+  SELECT side, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split),
+lengths AS (SELECT DISTINCT least(len(w), 10) AS n FROM worded WHERE side = 1 AND len(w) > 0),
+windows AS (
+  SELECT side, r, id, n, unnest(range(1, len(w) - n + 2)) AS begins, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS passage
+  FROM worded, lengths WHERE len(w) >= n AND (side = 0 OR n = least(len(w), 10))),
+items AS (SELECT DISTINCT coalesce(CAST(id AS VARCHAR), 'null') AS item, n, passage FROM windows WHERE side = 1),
+places AS (
+  SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(range(begins, begins + n)) AS place FROM windows w WHERE side = 0 AND passage IN (SELECT passage FROM items))
+  GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found
+  FROM (SELECT DISTINCT r, item FROM windows w JOIN items i ON w.passage = i.passage WHERE side = 0) GROUP BY r)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(found, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM worded LEFT JOIN places USING (r) LEFT JOIN named USING (r) WHERE side = 0
+"""
+
+
+@query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and the cheapest repair of every conversation after damage."""
+    return conversations.digests(conversations.repaired(conversations.damaged(table(spark, folder, "conversations")), "present"))
+
+
+#: A step of the recursion takes one turn: at most two inserts, then delete, keep or change it; of equal states the least stays.
+ORACLE["op12_conversations"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+kinds AS (
+  SELECT row_number() OVER () AS nr, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+      list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind
+  FROM conversations, crc),
+rows AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, nr, conv_id, turn, kind, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds),
+copied AS (SELECT *, 0 AS copy FROM rows WHERE kind <> 0 UNION ALL SELECT *, 1 FROM rows WHERE kind = 3),
+placed AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS previous,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, nr, copy) > 1 AS again,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM copied WINDOW w AS (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, nr, copy)),
+turns AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM turns GROUP BY c),
+inserts(q, edits, q1, body) AS (VALUES
+  (0, '', 0, []), (0, 'I', 2, ['user:']), (0, 'II', 3, ['user:', 'assistant:']), (1, '', 1, []), (1, 'I', 2, ['user:']), (1, 'II', 3, ['user:', 'assistant:']),
+  (2, '', 2, []), (2, 'I', 3, ['assistant:']), (2, 'II', 2, ['assistant:', 'user:']), (3, '', 3, []), (3, 'I', 2, ['user:']), (3, 'II', 3, ['user:', 'assistant:'])),
+moves(q1, edit, initial, q2, wanted) AS (
+  SELECT q, 'D', CAST(NULL AS VARCHAR), q, CAST(NULL AS VARCHAR) FROM range(4) r(q) UNION ALL
+  VALUES (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL), (3, 'K', 'u', 2, NULL),
+    (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant'), (3, 'R', NULL, 2, 'user')),
+steps AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS body FROM rows
+  UNION ALL
+  SELECT s.c, t.i, CAST(m.q2 AS BIGINT),
+    CAST(s.cost + 3 * len(n.edits) + CASE m.edit WHEN 'D' THEN 4 ELSE CASE m.edit WHEN 'R' THEN 3 ELSE 0 END + CASE t.fault WHEN 'truncated' THEN 3 ELSE 0 END END AS BIGINT) AS paid,
+    s.audit || n.edits || m.edit AS letters,
+    list_concat(s.body, CAST(n.body AS VARCHAR[]), CASE m.edit WHEN 'D' THEN [] ELSE [coalesce(m.wanted, t.role) || ':' || t.text] END)
+  FROM steps s JOIN turns t ON t.c = s.c AND t.i = s.i + 1 JOIN inserts n ON n.q = s.q JOIN moves m ON m.q1 = n.q1
+  WHERE (m.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (m.edit <> 'K' OR m.initial = t.initial)
+  QUALIFY row_number() OVER (PARTITION BY s.c, m.q2 ORDER BY paid, letters) = 1),
+ended AS (
+  SELECT s.c, s.cost + 3 * len(n.edits) AS cost, s.audit || n.edits AS audit, list_concat(s.body, CAST(n.body AS VARCHAR[])) AS body,
+    row_number() OVER (PARTITION BY s.c ORDER BY s.cost + 3 * len(n.edits), s.audit || n.edits) AS best
+  FROM steps s LEFT JOIN counted k ON k.c = s.c JOIN inserts n ON n.q = s.q
+  WHERE s.i = coalesce(k.n, 0) AND n.q1 IN (0, 3))
+SELECT r.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated,
+  coalesce(k.illegal, 0) AS illegal, e.cost, e.audit, sha256(array_to_string(e.body, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM rows) r JOIN ended e ON e.c = r.c AND e.best = 1 LEFT JOIN counted k ON k.c = r.c
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How two tokenizers' ids of every document align, and how common the linked pairs are."""
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned(table(spark, folder, "documents"), byte_level, pieces).drop("groups")
