@@ -44,14 +44,11 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(BLANK, " ").encode()
 
 
-def sliced(a: Sequence[int], b: Sequence[int], ends_a: Sequence[int], ends_b: Sequence[int]) -> Iterator[tuple[Sequence[int], Sequence[int]]]:
-    """The groups of two id lists by the ends that both have."""
-    index_a, index_b = dict(zip(ends_a, range(1, len(a) + 1))), dict(zip(ends_b, range(1, len(b) + 1)))
-    at_a = at_b = 0
-    for end in sorted(index_a.keys() & index_b.keys()):
-        to_a, to_b = index_a[end], index_b[end]
-        yield a[at_a:to_a], b[at_b:to_b]
-        at_a, at_b = to_a, to_b
+def cuts(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """The ends that both id lists have, and how many ids of each list lie before them."""
+    index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    common = sorted(index_a.keys() & index_b.keys())
+    return common, list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
 
 
 class Aligner(dict):
@@ -69,27 +66,67 @@ class Aligner(dict):
         self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for i, t in names}
         vocabulary = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [piece_bytes(p) for p in vocabulary]
+        self.sizes_a, self.sizes_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        self.most_id = max(*self.bytes_a, len(vocabulary)) + 1
+        self.signed = [f"{i}{sign}" for sign in ",|;" for i in range(self.most_id)]
         split = json.loads(byte_level)["pre_tokenizer"]
         cuts_a = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         # No piece goes on with a blank, so no merge crosses the place before one.
         self.cuts = cuts_a and not any(BLANK in p.lstrip(BLANK) for p in vocabulary)
 
     def align(self, texts: Sequence[str]) -> list[tuple | None]:
-        """One alignment per text that begins with a blank; none where the tokens' bytes differ from the text's."""
-        found = []
-        ids_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        for text, a, b in zip(texts, ids_a, self.b.encode([t[1:] for t in texts], num_threads=1)):
-            a, data = a.ids, text.encode()
-            bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
-                found.append(None)
-                continue
-            groups = list(sliced(a, b, list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))))
-            pairs = tuple(x << 32 | y for own, other in groups for x in own for y in other)
-            written = ";".join(",".join(map(str, own)) + "|" + ",".join(map(str, other)) for own, other in groups)
-            found.append((len(a), len(b), len(groups), len(pairs), written, pairs))
+        """One alignment per text that begins with a blank; none where the tokens' bytes differ from the text's.
+
+        The texts are aligned as one long text: each ends where tokens of both end.
+        """
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        data = [t.encode() for t in texts]
+        kept = range(len(texts))
+        if not self.spelled(self.bytes_a, ids_a) == self.spelled(self.bytes_b, ids_b) == b"".join(data):
+            same = lambda i: self.spelled(self.bytes_a, [ids_a[i]]) == self.spelled(self.bytes_b, [ids_b[i]]) == data[i]
+            kept = [i for i in kept if same(i)]
+        found: list[tuple | None] = [None] * len(texts)
+        for i, alignment in zip(kept, self.grouped([ids_a[i] for i in kept], [ids_b[i] for i in kept], [len(data[i]) for i in kept])):
+            found[i] = alignment
         return found
 
+    @staticmethod
+    def spelled(spelling, ids: Sequence[Sequence[int]]) -> bytes:
+        return b"".join(map(spelling.__getitem__, chain.from_iterable(ids)))
+
+    def grouped(self, ids_a: Sequence[Sequence[int]], ids_b: Sequence[Sequence[int]], lengths: Sequence[int]) -> Iterator[tuple]:
+        """The alignments of texts of so many bytes from their ids."""
+        a, b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        if not a:
+            return
+        ends = [list(accumulate(map(s.__getitem__, ids))) for s, ids in ((self.sizes_a, a), (self.sizes_b, b))]
+        common, to_a, to_b = (np.array(x, np.int64) for x in cuts(*ends))
+        from_a, from_b = np.r_[0, to_a[:-1]], np.r_[0, to_b[:-1]]
+        n_a, n_b, a, b = to_a - from_a, to_b - from_b, np.array(a, np.int64), np.array(b, np.int64)
+
+        # Every id with the sign that follows it, group by group: first those of a, then those of b.
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[to_a - 1], sign_b[to_b - 1] = 1, 2
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(from_b, n_a)] = a + sign_a * self.most_id
+        order[np.arange(len(b)) + np.repeat(to_a, n_b)] = b + sign_b * self.most_id
+        signed = list(map(self.signed.__getitem__, order.tolist()))
+
+        links = n_a * n_b
+        group = np.repeat(np.arange(len(common)), links)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+        linked = a[from_a[group] + place // n_b[group]] << 32 | b[from_b[group] + place % n_b[group]]
+        pairs = linked.tolist()
+
+        groups_to = np.searchsorted(common, np.cumsum(lengths), "right")
+        totals = [np.r_[0, x[groups_to - 1]].tolist() for x in (to_a, to_b, np.arange(1, len(common) + 1), np.cumsum(links))]
+        last = [0, 0, 0, 0]
+        for now in zip(*(t[1:] for t in totals)):
+            text = "".join(signed[last[0] + last[1] : now[0] + now[1]])[:-1]
+            yield (*(n - m for n, m in zip(now, last)), text, tuple(pairs[last[3] : now[3]]))
+            last = now
+
     def of(self, texts: Sequence[str | None]) -> list[list[tuple] | None]:
         """The alignments of the pieces of each text; none for a text without tokens."""
         if len(self) > self.most:
