@@ -59,11 +59,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def long_array(values: Sequence[int]) -> Column:
-    """A constant array of longs, folded to one literal by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``rows`` rows; else left to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, let, long_array, small, words
+from .common import fresh, let, small, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Log ratios are kept as whole numbers of this fraction, so sums do not depend on the order of rows.
 UNIT = 1 << 20
 #: Parts of the corpus, by the hash of the text. A document is judged by the counts of the parts that it is not in.
 FOLDS = 16
-#: N-grams of a document that count as evidence; those of a longer one weigh less, as they are no independent finds.
+#: N-grams of a document that count as evidence for the verdict; those of a longer one weigh less, as they are no
+#: independent finds. What a document's own n-grams add up to is never weighed.
 DOCUMENT_GRAMS = 100
 
 
@@ -64,72 +62,82 @@ def fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS))
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int, broadcast_rows: int = 2_000_000) -> np.ndarray:
-    """Counts of n-grams as an array ``[4, FOLDS, buckets]``: all, those of the target, and both again with each
-    document weighing as ``DOCUMENT_GRAMS`` n-grams at most, in units of ``1 / UNIT``.
+def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``fold, bucket, raw, target, raw_weight, target_weight``: how often each fold's documents have n-grams of a bucket.
 
     The target is the documents whose id is in ``trusted`` (ids that are null or not in ``docs`` count for nothing).
+    The weights count each document as ``DOCUMENT_GRAMS`` n-grams at most, in units of ``1 / UNIT``.
     """
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
     marked = docs.select("doc_id", "text").join(small(ids, broadcast_rows), F.col("doc_id") == F.col("_trusted"), "left")
     following = F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(None).cast("string")))
     pairs = marked.select(
-        F.col("_trusted").isNotNull().cast("bigint").alias("target"), (fold(F.col("text")) * buckets).alias("first"),
-        words(F.col("text")).alias("w"),
+        F.col("_trusted").isNotNull().cast("bigint").alias("target"), fold(F.col("text")).alias("fold"), words(F.col("text")).alias("w"),
     )
     weight = (F.lit(UNIT * DOCUMENT_GRAMS) / F.greatest(2 * F.size("w") - 1, F.lit(DOCUMENT_GRAMS))).cast("bigint")
-    pairs = pairs.select("target", "first", weight.alias("weight"), F.inline(F.arrays_zip("w", following.alias("next"))))
+    pairs = pairs.select("target", "fold", weight.alias("weight"), F.inline(F.arrays_zip("w", following.alias("next"))))
     of_pair = F.when(F.col("next").isNotNull(), bucket(buckets, F.col("w"), F.col("next")))
-    grams = pairs.select("target", "first", "weight", F.explode(F.array(bucket(buckets, F.col("w")), of_pair)).alias("bucket"))
-    grams = grams.where("bucket is not null").groupBy((F.col("first") + F.col("bucket")).alias("cell"))
-    of_target = F.col("weight") * F.col("target")
-    rows = grams.agg(F.count(F.lit(1)), F.sum("target"), F.sum("weight"), F.sum(of_target)).toArrow()
-    found = np.zeros((4, FOLDS * buckets), np.int64)
-    if rows.num_rows:
-        cell, *values = (c.to_numpy() for c in rows.columns)
-        found[:, cell] = values
-    return found.reshape(4, FOLDS, buckets)
-
-
-def plain_ratios(counts: np.ndarray, smoothing: float = 1.0) -> list[int]:
-    """Ratios of the counts as they are, every document's own included."""
-    raw, target = counts[:2].sum(axis=1).tolist()
-    buckets, all_raw, all_target = len(raw), sum(raw), sum(target)
-    if not all_target:
-        return [0] * buckets
-    from_raw, from_target = all_raw + smoothing * buckets, all_target + smoothing * buckets
-    return [
-        round(UNIT * (math.log((target[b] + smoothing) / from_target) - math.log((raw[b] + smoothing) / from_raw)))
-        for b in range(buckets)
-    ]
-
-
-def fold_ratios(counts: np.ndarray, smoothing: float = 1.0) -> list[list[int]]:
-    """Ratios from the weighed counts: of all folds, then of all but each of the folds in turn.
-
-    A bucket's ratio is of what the target holds to its share of what the corpus holds, each plus ``smoothing``, so
-    a bucket that the corpus hardly has says nothing.
-    """
-    raw, target = (np.concatenate([x.sum(axis=0)[None], x.sum(axis=0) - x]) for x in counts[2:])
-    share = target.sum(axis=1) / np.maximum(raw.sum(axis=1), 1)
-    least = smoothing * UNIT
-    return np.rint(UNIT * np.log((target + least) / (raw * share[:, None] + least))).astype(np.int64).tolist()
+    grams = pairs.select("target", "fold", "weight", F.explode(F.array(bucket(buckets, F.col("w")), of_pair)).alias("bucket"))
+    return grams.where("bucket is not null").groupBy("fold", "bucket").agg(
+        F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"), F.sum("weight").alias("raw_weight"),
+        F.sum(F.col("weight") * F.col("target")).alias("target_weight"),
+    )
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoothing: float = 1.0, broadcast_rows: int = 2_000_000) -> list[int]:
-    """Per bucket, the log of target probability over corpus probability, in units of ``1 / UNIT``.
+def ratio_tables(counts: DataFrame, buckets: int, smoothing: float = 1.0) -> DataFrame:
+    """One row: per bucket the log of target probability over corpus probability, in units of ``1 / UNIT``.
 
-    Counts cover every document; the target is the documents whose id is in ``trusted`` (ids that are null or not
-    in ``docs`` count for nothing). ``buckets`` is a power of two. All zero if there are no trusted documents. The result has ``buckets`` entries
-    whatever the size of the corpus.
+    ``plain`` is from all counts, each plus ``smoothing``. In ``of_all`` and ``of_others`` (all folds but one, in turn),
+    from the weights, both multinomials give the same probability to what they have not seen: the target's counts are
+    raised by ``smoothing``, the corpus' by as much more as it is larger, so a bucket that the corpus hardly has says
+    nothing. All zero without a target. The row has ``buckets`` entries per array whatever the size of the corpus.
     """
-    return plain_ratios(gram_counts(docs, trusted, buckets, broadcast_rows), smoothing)
+    names = ["raw", "target", "raw_weight", "target_weight"]
+    none = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in names])
+    cell = F.struct("fold", F.struct(*names))
+    counts = written(counts, "gram-counts")
+    by_bucket = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    by_fold = counts.groupBy("fold").agg(*[F.sum(n).alias(n) for n in names])
+    totals = by_fold.agg(F.map_from_entries(F.collect_list(cell)).alias("totals"))
+
+    def over_all(cells: Column) -> Column:
+        add = lambda x, y: F.struct(*[(x[n] + y[n]).alias(n) for n in names])
+        return F.aggregate(F.coalesce(F.map_values(cells), F.array().cast(f"array<struct<{','.join(n + ':bigint' for n in names)}>>")), none, add)
+
+    dense = counts.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(by_bucket, "bucket", "left")
+    dense = dense.withColumn("totals", totals.scalar()).select(
+        "bucket", "cells", "totals", over_all(F.col("cells")).alias("here"), over_all(F.col("totals")).alias("all")
+    )
+    units = lambda value: F.rint(value * UNIT).cast("bigint")
+    share = lambda n: (F.col(f"here.{n}") + smoothing) / (F.col(f"all.{n}") + smoothing * buckets)
+    plain = F.when(F.col("all.target") > 0, units(F.log(share("target")) - F.log(share("raw")))).otherwise(0).cast("bigint")
+
+    def held_out(but: Column | None) -> Column:
+        left = lambda whole, parts, n: (
+            F.col(f"{whole}.{n}") - (F.coalesce(F.get(F.map_values(F.map_filter(parts, lambda k, _: k == but)), F.lit(0))[n], F.lit(0)) if but is not None else 0)
+        ).cast("double")
+        part = left("all", "totals", "target_weight") / F.greatest(left("all", "totals", "raw_weight"), F.lit(1.0))
+        raw, target = left("here", "cells", "raw_weight"), left("here", "cells", "target_weight")
+        return units(F.log((target + smoothing * UNIT) / (raw * part + smoothing * UNIT)))
+
+    folds = F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), held_out)
+    rows = dense.select(F.struct("bucket", plain.alias("plain"), held_out(None).alias("all"), folds.alias("others")).alias("e"))
+    arrays = rows.agg(F.sort_array(F.collect_list("e")).alias("e"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: F.transform("e", lambda x: F.get(x["others"], f)))
+    return arrays.select(F.col("e.plain").alias("plain"), F.col("e.all").alias("of_all"), others.alias("of_others"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 14, smoothing: float = 1.0, broadcast_rows: int = 2_000_000) -> list[int]:
+    """``plain`` of ``ratio_tables`` over every document. ``buckets`` is a power of two."""
+    return ratio_tables(gram_counts(docs, trusted, buckets, broadcast_rows), buckets, smoothing).first()["plain"]
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int, min_words: int, max_repeat_percent: int) -> DataFrame:
     """``docs`` with one more column, the last: a struct of the base counts and the verdict of the row."""
-    counts = gram_counts(docs, trusted, buckets)
-    ratios, of_all, *of_others = (long_array(r) for r in [plain_ratios(counts), *fold_ratios(counts)])
+    tables = written(ratio_tables(gram_counts(docs, trusted, buckets), buckets), "ratios")
+    names = [fresh(f"_{name}", docs) for name in tables.columns]
+    given, docs = docs, docs.withColumns({n: tables.select(c).scalar() for n, c in zip(names, tables.columns)})
+    ratios, of_all, of_others = map(F.col, names)
     own = fold(F.col("text")).cast("int")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -148,13 +156,10 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int
     def evidence(g: Column, passed: Column) -> Column:
         below = lambda x: x < F.lit(round(threshold * UNIT)) * F.size(g).cast("bigint")
         return let(
-            F.array(*of_others),
-            lambda tables: let(
-                let(F.get(tables, own), lambda t: total(g, t)),
-                lambda x: F.struct(
-                    total(g, ratios).alias("llr_units"), x.alias("held_out_units"),
-                    F.when(passed & below(x), error(g, tables)).alias("error_units"),
-                ),
+            let(F.get(of_others, own), lambda t: total(g, t)),
+            lambda x: F.struct(
+                total(g, ratios).alias("llr_units"), x.alias("held_out_units"),
+                F.when(passed & below(x), error(g, of_others)).alias("error_units"),
             ),
         )
 
@@ -186,7 +191,7 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int
             m["sums"]["error_units"].alias("error_units"),
         ),
     )
-    return docs.withColumn(fresh("_quality", docs), quality)
+    return docs.withColumn(fresh("_quality", given), quality).drop(*names)
 
 
 def judge(

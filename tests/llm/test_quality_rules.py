@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import xxhash
@@ -127,3 +128,49 @@ def test_equal_texts_get_equal_verdicts(spark):
     docs = documents(spark, texts + [(100 + i, t) for i, t in texts])
     got = by_id(quality_rules.judge(docs, docs.where("doc_id < 5").select("doc_id")), "kept", "held_out_units", "error_units")
     assert all(got[i] == got[100 + i] for i, _ in texts)
+
+
+def test_verdict_by_the_other_folds(spark):
+    """The sums and errors that decide, straight from their definitions."""
+    import math
+
+    n, unit = 1 << 8, quality_rules.UNIT
+    chance = random.Random(4)
+    draw = lambda i, w: " ".join(f"{w}{chance.randrange(60)}" for _ in range(55 + 20 * (i % 4)))
+    texts = [(i, draw(i, "good")) for i in range(40)] + [(i, draw(i, "bad")) for i in range(40, 60)]
+    texts += [(60 + i, draw(i, "good").replace("good1", "bad1")) for i in range(10)] + [(70, texts[0][1])]
+    good = {i for i in range(0, 40, 3)}
+    trusted = spark.createDataFrame([(i,) for i in good], "doc_id bigint")
+    cells, folds = Counter(), {}
+    for i, text in texts:
+        grams = buckets(text, n)
+        weight = int(unit * 100 / max(len(grams), 100))
+        folds[i] = signed(xxhash.xxh64_intdigest(text.encode(), 42)) % 16
+        for b in grams:
+            cells[folds[i], b, "raw"] += weight
+            cells[folds[i], b, "target"] += weight * (i in good)
+
+    def table(but):
+        kept = Counter()
+        for (f, b, kind), value in cells.items():
+            if f != but:
+                kept[b, kind] += value
+                kept[kind] += value
+        share = kept["target"] / max(kept["raw"], 1)
+        return [round(unit * math.log((kept[b, "target"] + unit) / (kept[b, "raw"] * share + unit))) for b in range(n)]
+
+    tables = {f: table(f) for f in [None, *range(16)]}
+    got = by_id(quality_rules.judge(documents(spark, texts), trusted, buckets=n), "held_out_units", "error_units", "base_failed", "kept")
+    verdicts = set()
+    for i, text in texts:
+        grams = buckets(text, n)
+        sums = {f: sum(t[b] for b in grams) for f, t in tables.items()}
+        held, failed, limit = sums[folds[i]], base(text)[-1], round(-0.05 * unit) * len(grams)
+        error = None
+        if not failed and held < limit:
+            error = math.ceil(math.sqrt(sum(float(sums[f] - sums[None]) ** 2 for f in range(16) if f != folds[i])))
+        kept = not failed and held + (error or 0) >= limit
+        assert abs(got[i][0] - held) <= len(grams) and got[i][2:] == (failed, kept)
+        assert got[i][1] == error or abs(got[i][1] - error) <= 64
+        verdicts.add((error is None, failed, kept))
+    assert (False, False, False) in verdicts and (True, False, True) in verdicts
