@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 
@@ -130,6 +130,63 @@ def to_date_buckets(
     )
 
 
+def to_date_every_day(
+    fact: DataFrame, calendar: DataFrame, keys: Sequence[str], measures: Mapping[str, str | Column],
+    first: date, last: date, periods: Sequence[str] = ("week", "month", "quarter", "year"), day: str = DAY,
+) -> DataFrame:
+    """``to_date_buckets`` of every day from ``first`` to ``last``, from one pass over the fact.
+
+    Sums per key and day are added up along the days of a key, and a period to date is the sum so far less the sum
+    before the period began. What a day points back to a year before is added up along the same days. One row per day
+    and key that has a row in the fiscal year to date or in the days it points back to: ``gregorian_date``, ``keys``,
+    ``<measure>_<period>`` and ``<measure>_<period>_ly``. A key has as many rows as days, so no window is large.
+    """
+    shown = F.col("gregorian_date").between(F.lit(first), F.lit(last))
+    years = calendar.where(shown).select("fiscal_year").distinct()
+    days = calendar.join(years, "fiscal_year", "left_semi").where(F.col("gregorian_date") <= F.lit(last))
+    days = days.select(DAY, "last_year_date_analytics_id", "gregorian_date", *[PERIOD_COLUMN[p] for p in periods])
+    rows = days.select(DAY, "last_year_date_analytics_id", "gregorian_date").collect()  # calendar rows
+    ids = sorted({r[0] for r in rows} | {r[1] for r in rows if r[1] is not None})
+    names = list(measures)
+    limited = fact.where(on_days(ids, day))
+    daily = limited.groupBy(*keys, F.col(day).alias("_day")).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(col(m)).alias(f"_s_{n}") for n, m in measures.items()], *[F.count(col(m)).alias(f"_c_{n}") for n, m in measures.items()],
+    )
+    # Each day's sums count on their own day, and on the days that point back to it.
+    points = days.select(F.col(DAY).alias("_day"), "gregorian_date", F.lit("").alias("_side")).unionByName(
+        days.where("last_year_date_analytics_id is not null").select(F.col("last_year_date_analytics_id").alias("_day"), "gregorian_date", F.lit("_ly").alias("_side"))
+    )
+    moved = daily.join(points, "_day")
+    sides = ("", "_ly")
+    sums = [f"_{kind}_{n}" for kind in "sc" for n in names]
+    placed = moved.select(
+        *keys, "gregorian_date", "_rows", *[F.when(F.col("_side") == s, F.col(c)).alias(f"{c}{s}") for c in sums for s in sides]
+    )
+    all_days = F.sequence(F.lit(min(r[2] for r in rows)), F.lit(max(r[2] for r in rows))) if rows else F.array().cast("array<date>")
+    grid = placed.select(*keys).distinct().select(*keys, F.explode(all_days).alias("gregorian_date"))
+    dense = placed.unionByName(grid, allowMissingColumns=True).groupBy(*keys, "gregorian_date").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["_rows", *[f"{c}{s}" for c in sums for s in sides]]]
+    ).join(days.drop(DAY, "last_year_date_analytics_id"), "gregorian_date")
+    along = Window.partitionBy(*keys).orderBy("gregorian_date")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ["_rows", *[f"{c}{s}" for c in sums for s in sides]]
+    summed = dense.select(
+        "*", *[F.sum(c).over(so_far).alias(f"{c}_all") for c in totals],
+        *[(F.lag(PERIOD_COLUMN[p]).over(along).eqNullSafe(F.col(PERIOD_COLUMN[p]))).alias(f"_same_{p}") for p in dict.fromkeys([*periods, "year"]) if p in periods],
+    )
+
+    def to_date(column: str, period: str) -> Column:
+        begun = F.when(~F.col(f"_same_{period}"), F.col(f"{column}_all") - F.col(column))
+        return F.col(f"{column}_all") - F.last(begun, ignorenulls=True).over(so_far)
+
+    out = [
+        F.when(to_date(f"_c_{n}{s}", p) > 0, to_date(f"_s_{n}{s}", p)).alias(f"{n}_{p}{s}") for n in names for p in periods for s in sides
+    ]
+    present = to_date("_rows", "year") > 0 if "year" in periods else F.col("_rows_all") > 0
+    return summed.select("gregorian_date", *keys, *out, present.alias("_present")).where(F.col("_present") & shown).drop("_present")
+
+
 def fiscal_weeks(calendar: DataFrame) -> DataFrame:
     """First and last day of every fiscal week."""
     return calendar.groupBy(

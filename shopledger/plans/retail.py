@@ -110,9 +110,9 @@ def delivered_moves(t: RetailTables, days: Column | None = None) -> tuple[DataFr
     return net.attributed_sales(sold, t["sales_line"]), net.attributed_returns(returned, t["sales_line"], t["sales_header"])
 
 
-def delivered_net(t: RetailTables) -> DataFrame:
+def delivered_net(t: RetailTables, days: Column | None = None) -> DataFrame:
     """Deliveries and returns with department and vendor, netted per day, product, location and channel."""
-    sales, returns = delivered_moves(t)
+    sales, returns = delivered_moves(t, days)
     cost = zero_if_null("fair_market_value")
     # Netting per product first evens out popular products before the product dimensions are joined.
     per_product = net.net_of(
@@ -129,9 +129,9 @@ NET_KEYS = ["date_analytics_id", "department_id", "vendor_analytics_id", "attrib
 NET_MEASURES = [f"{side}_{m}" for m in ("units", "dollars", "cost", "margin") for side in ("sales", "return", "net")]
 
 
-def returns_by_store(t: RetailTables) -> DataFrame:
-    """Sales, returns and net by day, department, vendor, store and channel."""
-    netted = delivered_net(t).groupBy(*NET_KEYS).agg(*[F.sum(m).alias(m) for m in NET_MEASURES])
+def returns_by_store(t: RetailTables, days: Column | None = None) -> DataFrame:
+    """Sales, returns and net by day, department, vendor, store and channel; ``days`` limits the facts at the scan."""
+    netted = delivered_net(t, days).groupBy(*NET_KEYS).agg(*[F.sum(m).alias(m) for m in NET_MEASURES])
     return netted.join(t["calendar"].select("date_analytics_id", "gregorian_date"), "date_analytics_id", "left")
 
 

@@ -1,4 +1,4 @@
-from . import operators, reports  # noqa: F401  (registering the queries)
+from . import kept, operators, reports  # noqa: F401  (registering the queries)
 from .base import QUERIES, oracle_queries, run
 
 __all__ = ["QUERIES", "oracle_queries", "run"]

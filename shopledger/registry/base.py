@@ -54,8 +54,9 @@ def _oracle_texts(kind: str = "key") -> dict[str, str]:
 
 
 def oracle_queries() -> dict[str, str]:
-    """DuckDB text per query: the views it reads as leading CTEs, then the query itself."""
+    """DuckDB text per query: the views it reads as leading CTEs, then the query itself. ``report_<key>`` is a view, too."""
     result, shared = {}, _oracle_texts("view")
+    shared |= {f"report_{name}": sql for name, sql in _oracle_texts().items()}
     used = lambda sql: re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql, flags=re.I)
     for name, sql in _oracle_texts().items():
         needed: list[str] = []

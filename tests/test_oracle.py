@@ -28,7 +28,7 @@ def test_every_query_has_a_text(oracle):
 SMALL_SUMMARIES = {
     "share_of_total", "pareto", "cohort_size", "surrogate_id", "new_customers", "dense_grid", "cooking_class_first_years",
     "customer_segmentation_channel_product_quarter", "merch_vs_culinary_customers", "new_customers_r52_weeks",
-    "online_cooking_class_buyers", "top_classes_customer_type", "top_customers", "sales_by_price_type", "planning_dashboard",
+    "online_cooking_class_buyers", "customers_by_grain", "top_classes_customer_type", "top_customers", "sales_by_price_type", "planning_dashboard",
 }
 
 
