@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -32,14 +33,41 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Copies made inside each open ``copies_deleted_after``, innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def copies_deleted_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside the block when it ends.
+
+    For a report that is built and written inside it; results that still read the copies must not leave the block.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def new_copy(spark: SparkSession) -> str:
+    """The path of a new intermediate table in the shared folder."""
+    path = f"{shared_folder(spark)}/shopledger-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from there.
 
     Unlike a checkpoint of rows, the copy is columnar: later steps read only the
-    columns they need, and the planner knows its size.
+    columns they need, and the planner knows its size. Two results can share it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/shopledger-{uuid.uuid4().hex}"
+    path = new_copy(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

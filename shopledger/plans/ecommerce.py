@@ -95,12 +95,10 @@ def sales_by_price_type(
     sales = net.attributed_sales(t["delivered_sales"].where(in_week), t["sales_line"])
     returns = net.attributed_returns(t["delivered_returns"].where(in_week), t["sales_line"], t["sales_header"])
     history = t["product_price_history"].where(in_week)
-    grain = ["product_analytics_id", "price_type", "attribution_location_analytics_id"]
+    grain = ["date_analytics_id", "product_analytics_id", "attribution_location_analytics_id"]
     margin = F.col("merchandise") - F.coalesce("fair_market_value", F.lit(0))
-    netted = net.net_of(
-        pricing.price_type_on_day(sales, history), pricing.price_type_on_day(returns, history), grain,
-        {"dollars": "merchandise", "margin": margin},
-    )
+    # Netting per day, product and store first evens out popular products before prices are joined.
+    netted = pricing.price_type_on_day(net.net_of(sales, returns, grain, {"dollars": "merchandise", "margin": margin}), history)
     sites = t["locations"].where(F.col("channel_analytics_id").isin(*channels)).select(
         F.col("location_analytics_id").alias("attribution_location_analytics_id"),
         F.col("channel_analytics_id").alias("channel"),

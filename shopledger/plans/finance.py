@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import ratio, zero_if_null
-from ..functions.ordered import ordered_scan
+from ..functions.ordered import cut_lineage, ordered_scan
 from ..operators import finance, kpis, net, shaping, time, windows
 from ..sources.catalog import RetailTables
 from .ecommerce import percent
@@ -130,13 +130,18 @@ def store_daily_kpis(
         return df.join(products, "product_analytics_id", "left_semi")
 
     line = t["sales_line"].select(
-        "order_line_analytics_id", "sales_channel", F.col("attribution_location_analytics_id").alias("line_location")
+        "order_line_analytics_id", "sales_channel", F.col("attribution_location_analytics_id").alias("line_location"), F.lit(True).alias("has_line")
     )
-    sales = in_departments(two_days(t["delivered_sales"])).join(line, "order_line_analytics_id").withColumn(store, F.col("line_location"))
+    # Both sides of the two days meet the lines, the largest table, once.
+    columns = ["order_line_analytics_id", "order_analytics_id", "product_analytics_id", "date_analytics_id", "merchandise", "quantity"]
+    sold = two_days(t["delivered_sales"]).select(*columns, F.lit(None).cast("bigint").alias(store), F.lit(False).alias("returned"))
+    back = two_days(t["delivered_returns"]).select(*columns, store, F.lit(True).alias("returned"))
+    moves = cut_lineage(sold.unionByName(back).join(line, "order_line_analytics_id", "left"))
+    counted = in_departments(moves.where("has_line"))
+    sales = counted.where("not returned").withColumn(store, F.col("line_location"))
     known_sites = t["locations"].select(F.col(store).alias("line_location"))
     returns = (
-        in_departments(two_days(t["delivered_returns"]))
-        .join(line, "order_line_analytics_id")
+        counted.where("returned")
         .join(known_sites, "line_location", "left_semi")
         .withColumn(store, net.remap_return_location(store, "sales_channel", channels=None))
     )
@@ -150,9 +155,7 @@ def store_daily_kpis(
         zero_if_null(F.sum("net")).alias("net"), zero_if_null(F.sum("forecast")).alias("forecast")
     )
     discounted = kpis.discount_net(
-        two_days(t["delivered_sales"]).join(line, "order_line_analytics_id", "left"),
-        two_days(t["delivered_returns"]).join(line, "order_line_analytics_id", "left"),
-        t["pos_discounts"], discount_prefix, ["date_analytics_id", "line_location"],
+        moves.where("not returned"), moves.where("returned"), t["pos_discounts"], discount_prefix, ["date_analytics_id", "line_location"],
     ).withColumnRenamed("line_location", store)
     sheet = kpis.store_kpis(
         {

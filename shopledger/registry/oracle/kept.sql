@@ -40,3 +40,16 @@ SELECT shown AS gregorian_date, sales_channel,
   (sum(units) FILTER (quarter AND now))::DOUBLE AS units_quarter, (sum(units) FILTER (quarter AND NOT now))::DOUBLE AS units_quarter_ly,
   (sum(units) FILTER (now))::DOUBLE AS units_year, (sum(units) FILTER (NOT now))::DOUBLE AS units_year_ly
 FROM placed GROUP BY 1, 2
+
+-- key: sales_by_overlapping_periods
+WITH spans AS (
+  SELECT 'week' AS kind, CAST(fiscal_week_id AS VARCHAR) AS id, min(date_analytics_id) AS first, max(date_analytics_id) AS last FROM calendar GROUP BY 2 UNION ALL
+  SELECT 'month', CAST(fiscal_month_id AS VARCHAR), min(date_analytics_id), max(date_analytics_id) FROM calendar GROUP BY 2 UNION ALL
+  SELECT 'quarter', CAST(fiscal_quarter_id AS VARCHAR), min(date_analytics_id), max(date_analytics_id) FROM calendar GROUP BY 2 UNION ALL
+  SELECT 'year', CAST(fiscal_year AS VARCHAR), min(date_analytics_id), max(date_analytics_id) FROM calendar GROUP BY 2)
+SELECT kind, id, sum(merchandise)::DOUBLE AS sales, count(*) AS lines
+FROM line_facts JOIN spans ON date_analytics_id BETWEEN first AND last WHERE is_return_line = 0 GROUP BY kind, id
+
+-- key: lifecycle_by_state
+SELECT email, sales_channel_type, month_analytics_id AS period, customer_type FROM report_lifecycle_rolling
+WHERE month_analytics_id = (SELECT max(month_analytics_id) FROM report_lifecycle_rolling)
