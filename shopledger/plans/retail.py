@@ -25,7 +25,7 @@ def cancelled_classes(t: RetailTables, first_start: datetime, placeholder: str)
     ).select("sku", "location_code", "is_class_cancelled", F.col("start_date").alias("class_start_date"))
     line_key = ["order_number", "order_line_analytics_id"]
     # A few sessions are cancelled: the lines sold for them decide what is read of every other table.
-    sold = t["sales_line"].join(sessions.select("sku").distinct(), "sku", "left_semi")
+    sold = cut_lineage(t["sales_line"].join(sessions.select("sku").distinct(), "sku", "left_semi"))
     chosen, orders = sold.select(*line_key), sold.select("order_number")
     returned = t["written_returns"].join(chosen, line_key, "left_semi").groupBy(*line_key).agg(
         F.max("reason_code").alias("return_reason_code"), F.max("reason").alias("return_reason"), F.max("dt").alias("return_date")
@@ -61,7 +61,7 @@ def cancelled_classes(t: RetailTables, first_start: datetime, placeholder: str)
         ],
     )
     return classes.cancelled_lines(
-        merged, ["location_code", "class_start_date", "sku"], ["location_code", "class_start_date"],
+        cut_lineage(merged), ["location_code", "class_start_date", "sku"], ["location_code", "class_start_date"],
         ["order_number", "sku", "date_ordered"],
     )
 
@@ -87,7 +87,7 @@ def class_fill_rate(t: RetailTables, first_start: datetime, last_start: datetime
     )
     filled = classes.fill_rate(sessions, t["sales_line"], prices)
     ranked = ordered_scan(
-        filled, [("fill_rate", "desc")], ["sku", "start_date", "location_code"], ["district_code"],
+        cut_lineage(filled), [("fill_rate", "desc")], ["sku", "start_date", "location_code"], ["district_code"],
         {"revenue": "actual_revenue", "fill": "fill_rate"},
     )
     return ranked.select(
