@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 from found import rows
-from shopledger.operators import customers
+from shopledger.operators import customers, net
 from shopledger.plans import crm
 from shopledger.registry.base import presentable
-from shopledger.sources.catalog import from_frames, from_parquet
+from shopledger.sources.bucketed import write_bucketed
+from shopledger.sources.catalog import from_catalog, from_frames, from_parquet
 from shopledger.sources.driver_views import VIEW_SQL, from_driver
 from shopledger.sources.schema import RETAIL_TABLES, column_type, conform
 
@@ -56,3 +57,24 @@ def test_boolean_flags_become_words(spark):
     assert [r.is_canceled for r in found.orderBy("line_id").collect()] == ["TRUE", "FALSE", None]
     with pytest.raises(TypeError, match="tags"):
         conform(spark.createDataFrame([(["x"],)], "tags array<string>"))
+
+
+def test_bucketed_lines_are_joined_without_a_shuffle(spark, tmp_path):
+    t = from_driver(spark, "/root/testdata/sf0.001")
+    spark.sql("CREATE DATABASE IF NOT EXISTS in_buckets")
+    names = ["sales_line", "delivered_sales", "delivered_returns"]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        write_bucketed(t, "in_buckets", 4, str(tmp_path), names)
+        stored = from_catalog(spark, "in_buckets")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for side in ("delivered_sales", "delivered_returns"):
+            facts = lambda x: x[side].select("order_line_analytics_id", "merchandise")  # noqa: E731, B023
+            found, plain = net.attributed_sales(facts(stored), stored["sales_line"]), net.attributed_sales(facts(t), t["sales_line"])
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            assert rows(found) == rows(plain)
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+        spark.sql("DROP DATABASE in_buckets CASCADE")
