@@ -15,7 +15,7 @@ import json
 import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -120,12 +120,11 @@ class Aligner(dict):
         pairs = linked.tolist()
 
         groups_to = np.searchsorted(common, np.cumsum(lengths), "right")
-        totals = [np.r_[0, x[groups_to - 1]].tolist() for x in (to_a, to_b, np.arange(1, len(common) + 1), np.cumsum(links))]
-        last = [0, 0, 0, 0]
-        for now in zip(*(t[1:] for t in totals)):
-            text = "".join(signed[last[0] + last[1] : now[0] + now[1]])[:-1]
-            yield (*(n - m for n, m in zip(now, last)), text, tuple(pairs[last[3] : now[3]]))
-            last = now
+        ids_to = [np.r_[0, x[groups_to - 1]] for x in (to_a, to_b, np.arange(1, len(common) + 1), np.cumsum(links))]
+        numbers = [np.diff(x).tolist() for x in ids_to]
+        text_to, pairs_to = (ids_to[0] + ids_to[1]).tolist(), ids_to[3].tolist()
+        texts = ["".join(signed[i:j])[:-1] for i, j in zip(text_to, text_to[1:])]
+        yield from zip(*numbers, texts, [tuple(pairs[i:j]) for i, j in zip(pairs_to, pairs_to[1:])])
 
     def of(self, texts: Sequence[str | None]) -> list[list[tuple] | None]:
         """The alignments of the pieces of each text; none for a text without tokens."""
@@ -136,24 +135,28 @@ class Aligner(dict):
         for text in texts:
             parts = f" {text}".replace(" ", "\0 ").split("\0")[1:] if text and self.cuts and "\0" not in text and BLANK not in text else None
             if parts:
-                missing = {p for p in parts if p not in self}
-                if all(len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in missing):
-                    new |= missing
+                missing = set(filterfalse(self.__contains__, parts))
+                for p in missing:
+                    if len(p) < 2 or p[1].isspace() or p[-1].isspace():
+                        parts = None  # a run of white space, which the tokenizers may join
+                        break
                 else:
-                    parts = None  # a run of white space, which the tokenizers may join
+                    new |= missing
             cut.append(parts)
         pieces = sorted(new)
-        fresh = dict(zip(pieces, self.align(pieces)))
+        self.update(zip(pieces, self.align(pieces)))
         result: list = []
         whole = []
         for i, (text, parts) in enumerate(zip(texts, cut)):
-            found = [self[p] if p in self else fresh[p] for p in parts] if parts else [None]
+            found = list(map(self.__getitem__, parts)) if parts else [None]
             result.append(None if None in found else found)
             if result[-1] is None and text:
                 whole.append(i)
         for i, alignment in zip(whole, self.align([f" {texts[i]}" for i in whole])):
             result[i] = None if alignment is None else [alignment]
-        self.update((p, alignment) for p, alignment in fresh.items() if alignment is not None and len(p) <= 100)
+        for p in pieces:
+            if len(p) > 100 or self[p] is None:
+                del self[p]
         return result
 
 
