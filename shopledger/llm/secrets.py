@@ -1,8 +1,9 @@
 """Secret scans by one deterministic automaton for all rules.
 
-The rules' triggers, the shortest prefixes after which a rule is sure to match, are compiled together: an automaton
-over byte classes by subset construction, made smallest by refining state classes, as one array of transitions. One
-pass over the bytes reports where a trigger ends and for which rules; the span around it is then read off the text.
+The rules are compiled together: an automaton over byte classes by subset construction, made smallest by refining
+state classes, as one array of transitions. One pass over the bytes reports for every rule where its trigger ends, the
+shortest prefix after which it is sure to match, and every byte on which the whole rule has matched; a match reaches
+from its trigger to the last of the bytes in a row. Only the starts of matches are read off the text.
 
 A batch of texts is cut into pieces that are scanned side by side, a byte of each per step. A piece starts in the
 start state; where the piece before ends in another state, it is scanned again from there until the states agree.
@@ -50,6 +51,9 @@ TRIGGERS = {
 }
 KINDS = tuple(TRIGGERS)
 BASE = KINDS[:3]
+#: Whole rules of the kinds that go on after their trigger, and the two parts of the end of ``pem``.
+WHOLE = {k: f"{TRIGGERS[k]}[{tail}]*" for k, tail in TAILS.items() if tail}
+CLOSING = ("-----END", "-----")
 TRIGGER_LENGTH = {"access": 5, "hex": 24, "github": 5, "jwt": 4}
 
 
@@ -173,6 +177,7 @@ class Automaton:
         self.accepting = int((self.rules == 0).sum()) * self.width
         table = [[place[refined[t]] * self.width for t in rows[first_of[g]]] for g in ranked]
         self.step = np.array(table, dtype=np.int32).ravel()
+        self.steps = self.step.tolist()
 
     def ends(self, data: np.ndarray, piece: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Places of the last bytes of all triggers in ``data`` (bytes), ascending, and the bits of their rules."""
@@ -187,15 +192,20 @@ class Automaton:
         for i in range(piece):
             now = np.add(now, columns[i], out=states[i])
             now = self.step.take(now, out=states[i])
-        step, start = self.step, 0
+        step, start = self.steps, 0
         for lane in range(lanes):
             if start:  # the piece was scanned from the start state: mend it until the states agree
                 at = start
-                for i in range(piece):
-                    at = int(step[at + columns[i, lane]])
-                    if at == states[i, lane]:
+                for top in range(0, piece, 256):
+                    mended = []
+                    for column, old in zip(columns[top : top + 256, lane].tolist(), states[top : top + 256, lane].tolist()):
+                        at = step[at + column]
+                        if at == old:
+                            break
+                        mended.append(at)
+                    states[top : top + len(mended), lane] = mended
+                    if len(mended) < min(256, piece - top):
                         break
-                    states[i, lane] = at
             start = int(states[-1, lane])
         places = states.T.ravel()
         hits = np.flatnonzero(places >= self.accepting)
@@ -205,10 +215,10 @@ class Automaton:
 
 @lru_cache(maxsize=4)
 def automaton(kinds: tuple[str, ...] = KINDS) -> Automaton:
-    return Automaton([TRIGGERS[k] for k in kinds])
+    """Bits: the triggers of ``kinds``, then the whole rules of those that have one, then the end of ``pem``."""
+    return Automaton([TRIGGERS[k] for k in kinds] + [WHOLE[k] for k in kinds if k in WHOLE] + list(CLOSING))
 
 
-RUNS = {k: re.compile(f"[{tail}]*".encode()) for k, tail in TAILS.items() if tail}
 KEYWORD_END = re.compile(("(?:" + "|".join(map(any_case, KEYWORDS)) + r")\Z").encode())
 
 
@@ -224,34 +234,50 @@ def assign_start(data: bytes, value: int, low: int) -> int:
         i -= 1
     if data[i - 1] in b"\"'":
         i -= 1
-    return low + KEYWORD_END.search(data[low:i][-8:]).start() + max(0, i - low - 8)
+    near = max(low, i - 8)
+    return near + KEYWORD_END.search(data[near:i]).start()
 
 
-def spans_of(data: bytes, low: int, high: int, hits: Sequence[tuple[int, int]], kinds: Sequence[str]) -> list[tuple[int, int, int]]:
-    """``(start, kind number, end)`` in bytes of ``data[low:high]``, from the ends of triggers in that text."""
+def following(places: np.ndarray, least: np.ndarray, none: int) -> np.ndarray:
+    """Per value of ``least`` the first of the ascending ``places`` not below it, ``none`` where there is none."""
+    return np.r_[places, none][np.searchsorted(places, least)]
+
+
+def ends_of(kind: str, at: np.ndarray, whole: np.ndarray, closing: tuple[np.ndarray, np.ndarray], high: np.ndarray) -> np.ndarray:
+    """Ends of the matches whose triggers end at ``at``, in texts that end at ``high``.
+
+    ``whole`` are the bytes on which the whole rule has matched, ``closing`` the last bytes of the two parts of ``pem``.
+    """
+    if kind == "pem":
+        beyond = int(high.max(initial=0))
+        close = following(closing[0], at + len(CLOSING[0]), beyond)
+        tail = following(closing[1], close + len(CLOSING[1]), beyond)
+        return np.where(tail < high, tail, at) + 1
+    last = whole[np.flatnonzero(np.r_[np.diff(whole) != 1, True])] if len(whole) else whole
+    return following(last, at, -1) + 1
+
+
+def spans_of(data: bytes, low: int, hits: Sequence[tuple[int, int, int]], kinds: Sequence[str]) -> list[tuple[int, int, int]]:
+    """``(start, kind number, end)`` in bytes of the text from ``low`` on, from ``(end of trigger, kind number, end)``."""
     found = []
     done = [low] * len(kinds)  # per kind, the end of the last match
-    for at, bits in hits:
-        for k, kind in enumerate(kinds):
-            if not bits >> k & 1 or at < done[k]:
+    for at, k, end in hits:
+        kind = kinds[k]
+        if at < done[k]:
+            continue
+        if kind == "assign":
+            start = assign_start(data, at, low)
+            if start < done[k]:
                 continue
-            if kind == "assign":
-                start = assign_start(data, at, low)
-                if start < done[k]:
-                    continue
-                end = RUNS[kind].match(data, at, high).end()
-                keep = end - at >= SHORTEST[kind]
-            elif kind == "pem":
-                start, end, keep = data.rindex(b"-----BEGIN", low, at), at + 1, True
-                close = data.find(b"-----END", end, high)
-                if close >= 0 and (tail := data.find(b"-----", close + 8, high)) >= 0:
-                    end = tail + 5
-            else:
-                start, end = at + 1 - TRIGGER_LENGTH[kind], RUNS[kind].match(data, at, high).end()
-                keep = end - start >= SHORTEST[kind] and (kind != "jwt" or data.count(b".", start, end) == 2)
-            done[k] = end
-            if keep:
-                found.append((start, k, end))
+            keep = end - at >= SHORTEST[kind]
+        elif kind == "pem":
+            start, keep = data.rindex(b"-----BEGIN", low, at), True
+        else:
+            start = at + 1 - TRIGGER_LENGTH[kind]
+            keep = end - start >= SHORTEST[kind] and (kind != "jwt" or data.count(b".", start, end) == 2)
+        done[k] = end
+        if keep:
+            found.append((start, k, end))
     return sorted(found)
 
 
@@ -263,16 +289,28 @@ def scan_texts(texts: Sequence[str | None], kinds: tuple[str, ...] = KINDS) -> l
     places, bits = automaton(kinds).ends(np.frombuffer(data, np.uint8))
     result: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     owner = np.searchsorted(bounds, places, side="right") - 1
-    cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1), len(owner)] if len(owner) else [0]
+    marked = lambda bit: places[(bits >> bit & 1).astype(bool)]
+    runs = [k for k in kinds if k in WHOLE]
+    closing = (marked(len(kinds) + len(runs)), marked(len(kinds) + len(runs) + 1))
+    found = []
+    for k, kind in enumerate(kinds):
+        here = np.flatnonzero(bits >> k & 1)
+        whole = marked(len(kinds) + runs.index(kind)) if kind in WHOLE else places[:0]
+        ends = ends_of(kind, places[here], whole, closing, bounds[owner[here] + 1] - 1)
+        found.append(np.stack([owner[here], places[here], np.full(len(here), k), ends]))
+    hits = np.concatenate(found, axis=1)
+    hits = hits[:, np.lexsort((hits[2], hits[1]))]
+    cuts = [0, *(np.flatnonzero(np.diff(hits[0])) + 1), hits.shape[1]] if hits.shape[1] else [0]
     for a, b in zip(cuts, cuts[1:]):
-        n = int(owner[a])
-        low, high = int(bounds[n]), int(bounds[n + 1]) - 1
-        spans = spans_of(data, low, high, list(zip(places[a:b].tolist(), bits[a:b].tolist())), kinds)
+        n = int(hits[0, a])
+        low = int(bounds[n])
+        spans = spans_of(data, low, list(zip(*hits[1:, a:b].tolist())), kinds)
         if len(texts[n]) == len(encoded[n]):
             result[n] = [(s - low, k, e - low) for s, k, e in spans]
-        else:
-            count = lambda upto: len(data[low:upto].decode("utf-8", "surrogatepass"))
-            result[n] = [(count(s), k, count(e)) for s, k, e in spans]
+        elif spans:
+            # Code points before each byte; only bytes 10xxxxxx do not begin one.
+            before = np.cumsum((np.frombuffer(encoded[n], np.uint8) & 0xC0) != 0x80)
+            result[n] = [(int(before[s - low]) - 1, k, int(before[e - low - 1])) for s, k, e in spans]
     return result
 
 

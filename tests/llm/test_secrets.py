@@ -93,3 +93,30 @@ def test_redacted_texts_hold_no_secret(spark):
         assert (texts[i][0] == text) == (not spans)
         for start, _, end in spans:
             assert text[start:end] not in texts[i][0]
+
+
+def test_private_keys_and_inner_assignments():
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    texts = [
+        begin + "a" + end + "b" + begin + "c", begin + begin + "x" + end, "é" + begin + "-----END", begin + "-----END----", end + begin,
+        "password: token: secret=abcdef", "token=token=token=abcdef",
+    ]
+    found = [[(secrets.KINDS[k], text[s:e]) for s, k, e in spans] for text, spans in zip(texts, secrets.scan_texts(texts))]
+    assert found == [
+        [("pem", begin + "a" + end), ("pem", begin)], [("pem", begin + begin + "x" + end)], [("pem", begin)], [("pem", begin)],
+        [("pem", begin)], [("assign", "secret=abcdef")], [("assign", "token=token=token=abcdef")],
+    ]
+
+
+def test_time_grows_with_the_text():
+    """No path reads the whole text again for each hit."""
+    import time
+
+    for piece in ("é token=abcdef\n", "-----BEGIN PRIVATE KEY----- x\n", "token=" + "a" * 50, "a1" * 20 + " "):
+        secrets.scan_texts([piece * 100])
+        seconds = []
+        for repeats in (4_000, 32_000):
+            text, start = piece * repeats, time.perf_counter()
+            secrets.scan_texts([text])
+            seconds.append(time.perf_counter() - start)
+        assert seconds[1] < 24 * max(seconds[0], 0.02), (piece, seconds)
