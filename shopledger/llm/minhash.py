@@ -90,7 +90,7 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """Per row: ``doc_id, n_shingles``, the fingerprint ``f1, f2`` of the shingle set, and its band keys."""
+    """Per row: ``doc_id, version`` (a hash of the text), ``n_shingles``, the fingerprint ``f1, f2`` of the shingle set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,14 +107,14 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, keys)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(counts, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                        part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys))),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys"],
+                    names=["doc_id", "version", "n_shingles", "f1", "f2", "keys"],
                 )
 
-    schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, version bigint, n_shingles bigint, f1 bigint, f2 bigint, keys array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -165,14 +165,15 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
     return links
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, size: int, percent: int, cell: int) -> DataFrame:
-    """Links ``a, b`` that connect all linked documents of each cluster ``(id, component)``.
+def confirmed_links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, size: int, percent: int, cell: int) -> DataFrame:
+    """Links ``a, b`` that connect all linked classes of each cluster ``(id, component)``.
 
+    ``classes`` names a row of ``docs`` for each class: ``node`` (its id in the links), ``rep, version, n_shingles``.
     A cluster of up to ``cell`` shingles is one cell. Larger ones are cut by set size into classes, of which only
     the same or the next can hold links, and classes into tiles of about ``cell`` shingles; every pair of tiles
     that may hold links is a cell.
     """
-    members = clusters.join(sizes, "id")
+    members = clusters.join(classes.select(F.col("node").alias("id"), "rep", "version", "n_shingles"), "id")
     totals = members.groupBy("component").agg(F.sum("n_shingles").alias("total"))
     members = members.join(totals, "component")
     base = 101.0 / percent
@@ -208,12 +209,13 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, size
         ),
     )
     every = F.concat(own, cells(F.col("above"), F.col("class"), True), cells(F.col("below"), F.col("class") - 1, False))
-    rows = placed.select("id", "component", F.explode(every).alias("c"))
+    rows = placed.select("id", "component", "rep", "version", F.explode(every).alias("c"))
     rows = rows.select(
-        "id", F.xxhash64("component", "c.class", "c.across", "c.i", "c.j").alias("cell"), F.col("c.side").alias("side")
+        "id", "rep", "version", F.xxhash64("component", "c.class", "c.across", "c.i", "c.j").alias("cell"),
+        F.col("c.side").alias("side"),
     )
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    rows = rows.join(texts, "id").select("cell", "id", "side", "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.xxhash64("text").alias("version"), "text")
+    rows = rows.join(texts, ["rep", "version"]).select("cell", "id", "side", "text")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         if table.num_rows < 2:
@@ -229,46 +231,71 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, size
     return grouped(rows, ["cell"], compare, "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 6, cell: int = 400_000
-) -> DataFrame:
+def judged(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 6, cell: int = 400_000) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, version, n_shingles, component_id`` and ``winner``.
+
+    The nodes of the links are classes of equal shingle sets, named by the first half of their fingerprint, so rows of
+    one id with different texts are different nodes. ``winner`` is the smallest ``(doc_id, version)`` of the group, null
+    for rows without a set or an id.
+    """
+    signed = written(signatures(docs, size, bands, rows), "signatures")
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    named = F.min(F.struct("doc_id", "version")).alias("first")
+    classes = filled.groupBy("f1", "f2").agg(named, F.max("n_shingles").alias("n_shingles"))
+    classes = classes.select(
+        "f1", "f2", F.col("f1").alias("node"), F.col("first.doc_id").alias("rep"), F.col("first.version").alias("version"), "n_shingles"
+    )
+    classes = written(classes, "classes")
+    chosen = classes.select("f1", "f2", "node", "rep", F.col("version").alias("chosen"))
+    first = filled.join(chosen, ["f1", "f2"]).where("doc_id = rep and version = chosen").select("node", F.explode("keys").alias("key"))
+    buckets = written(first.distinct(), "buckets")
+    centers = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other")
+    stars = buckets.join(centers.select("key", "center"), "key").where("node != center")
+    clusters = components(stars.select(F.col("node").alias("a"), F.col("center").alias("b")))
+    links = confirmed_links(docs, clusters, classes, size, percent, cell)
+    found = components(links).select(F.col("id").alias("node"), "component")
+    of = classes.join(found, "node", "left").select(
+        "f1", "f2", F.coalesce("component", "node").alias("component"), F.struct(F.col("rep").alias("doc_id"), "version").alias("first")
+    )
+    best = of.groupBy("component").agg(F.min("first").alias("winner"))
+    reached = of.join(best, "component").select("f1", "f2", "winner")
+    bare = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
+    joined = signed.select("doc_id", "version", "n_shingles", "f1", "f2", bare.alias("bare")).join(reached, ["f1", "f2"], "left")
+    winner = F.when(~F.col("bare"), F.col("winner"))
+    return joined.select(
+        "doc_id", "version", "n_shingles", F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("winner.doc_id")).alias("component_id"),
+        winner.alias("winner"),
+    )
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of ``size``-word shingles, on
     the full sets (as 64-bit hashes). ``component_id`` is the smallest ``doc_id`` reachable over links, itself
     included; ``kept`` marks it. With the default bands a pair at a similarity of 0.8 shares no bucket with a
-    probability of 4e-9.
+    probability of 4e-9. ``options`` are those of ``judged``.
 
     Null and empty texts have an empty set and no links. A null id is linked with nothing; its row is kept. Rows
-    with equal ids are judged by their own texts. An empty table gives no rows.
+    with equal ids are judged by their own texts, which may be in different groups. Classes of equal sets are told
+    apart by 64-bit hashes in the links. An empty table gives no rows.
     """
-    signed = written(signatures(docs, size, bands, rows), "signatures")
-    filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    first = filled.join(classes, ["f1", "f2"]).where("doc_id = rep").select("rep", F.explode("keys").alias("key"))
-    buckets = written(first.distinct(), "buckets")
-    centers = buckets.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("other")).where("center < other")
-    stars = buckets.join(centers.select("key", "center"), "key").where("rep != center")
-    clusters = components(stars.select(F.col("rep").alias("a"), F.col("center").alias("b")))
-    sizes = filled.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n_shingles"))
-    links = confirmed_links(docs, clusters, sizes, size, percent, cell)
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    reached = classes.join(found, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("reached"))
-    joined = signed.select(
-        "doc_id", "n_shingles", "f1", "f2", F.col("n_shingles").eqNullSafe(0).alias("bare")
-    ).join(reached, ["f1", "f2"], "left")
-    alone = F.col("bare") | F.col("doc_id").isNull()
-    joined = joined.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("reached")))
-    return joined.select(
+    return judged(docs, **options).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates; of rows with equal ids only one stays. Null ids stay."""
-    gone_id, spread, row = (fresh(name, docs) for name in ("_gone", "_spread", "_row"))
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    """``docs`` with one row of each group of near-duplicates, of its smallest ``doc_id``.
+
+    Rows of one id whose texts are in different groups stay apart. Of rows equal in id and text one stays; rows with
+    a null id all stay.
+    """
+    gone_id, gone, spread, row, version = (fresh(name, docs) for name in ("_gone_id", "_gone", "_spread", "_row", "_version"))
+    lost = judged(docs, **options).where("struct(doc_id, version) != winner")
+    lost = lost.select(F.col("doc_id").alias(gone_id), F.col("version").alias(gone)).distinct()
+    marked = docs.withColumn(version, F.xxhash64("text"))
+    left = marked.join(lost, (F.col("doc_id") == F.col(gone_id)) & (F.col(version) == F.col(gone)), "left_anti")
     left = left.withColumn(spread, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    first = F.row_number().over(Window.partitionBy("doc_id", spread).orderBy("text"))
-    return left.withColumn(row, first).where(F.col(row) == 1).drop(spread, row)
+    first = F.row_number().over(Window.partitionBy("doc_id", version, spread).orderBy("text"))
+    return left.withColumn(row, first).where(F.col(row) == 1).drop(spread, row, version)

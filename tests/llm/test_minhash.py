@@ -90,7 +90,31 @@ def test_null_and_equal_ids_and_long_texts(spark):
     ], key=str)
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == [(0, 0), (0, 11), (1, 11), (2, 15), (3, len(long))]
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == [
+        (0, 0), (0, 11), (1, 9), (1, 11), (2, 15), (3, len(long)),
+    ]
+
+
+def test_equal_ids_in_different_groups(spark):
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(5, "quite another text that resembles nothing at all"), (5, near + " x"), (3, near), (5, near + " x"), (9, near + " y")]
+    docs = documents(spark, rows, extra=True)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 4, 5, True), (5, 57, 3, False), (3, 56, 3, True), (5, 57, 3, False), (9, 57, 3, False)], key=str)
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect()) == [(3, near), (5, rows[0][1])]
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Every pair whose similarity is 0.8 or little more is found."""
+    texts, total = [], 100
+    for i in range(300):
+        words = [f"p{i}w{j}" for j in range(total)]
+        cut = 86 + i % 6
+        changed = words[: cut + 4] + [f"q{i}w{j}" for j in range(total - cut - 4)]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    got = by_id(minhash.near_duplicates(documents(spark, texts)), "n_shingles", "component_id", "kept")
+    expected = brute(texts, 5)
+    assert got == expected and sum(not v[2] for v in expected.values()) >= 100
 
 
 def test_empty_table(spark):
