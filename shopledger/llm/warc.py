@@ -2,8 +2,9 @@
 
 An ARC record is a header line, whose fields depend on the file's version, and as many bytes as the line declares.
 The converter reads them off, gives each record a WARC identifier, timestamp, type and digests that follow from its
-content alone, and records an equal large payload only once. WARC files are written by Spark's text writer, whose
-line separator is the end of a record, so they land in any store Spark can write to.
+content alone, and records an equal large payload only once; the version block of a file becomes a ``warcinfo``
+record. WARC files are written by Spark's text writer, one line of several records each, whose line separator is the
+end of a record, so they land in any store Spark can write to.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import new_path, small
@@ -44,7 +46,7 @@ def arc_date(text: str) -> str:
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
-    """The records of an ARC file after its version block, as the fields of their lines and ``block``."""
+    """The records of an ARC file, its version block first, as the fields of their lines and ``block``."""
     version, at = None, 0
     while at < len(content):
         if content[at : at + 1] in (b"\n", b"\r"):
@@ -66,7 +68,6 @@ def arc_records(content: bytes) -> Iterator[dict]:
             version = int(block.split(b" ", 1)[0])
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version}")
-            continue
         yield fields | {"block": block, "truncated": len(block) < size}
 
 
@@ -87,7 +88,7 @@ def arc_files(pages: DataFrame, file_bytes: int = 8 << 20) -> DataFrame:
 
     def file(number: int, parts: list[bytes], version: int) -> bytes:
         about = b"%d 0 pages\n%s\n" % (version, NAMES[version])
-        head = f"filedesc://pages-{number}.arc 0.0.0.0 {PAGE_DATE} text/plain"
+        head = f"filedesc://pages-{TaskContext.get().partitionId()}-{number}.arc 0.0.0.0 {PAGE_DATE} text/plain"
         head += " 200 - - 0 pages.arc" * (version == 2)
         return head.encode() + b" %d\n" % len(about) + about + b"\n" + b"".join(parts)
 
@@ -123,7 +124,8 @@ def arc_files(pages: DataFrame, file_bytes: int = 8 << 20) -> DataFrame:
 def converted(files: DataFrame) -> DataFrame:
     """The records of ARC files (binary ``content``), one row each, with what their WARC records need.
 
-    A block that begins as an HTTP message is a ``response`` of head and payload; anything else a ``resource``. A
+    The version block is a ``warcinfo``; a block that begins as an HTTP message is a ``response`` of head and payload;
+    anything else a ``resource``. A
     block shorter than declared is kept and marked truncated. An empty or null file has no records; a file that is
     no ARC file raises ``ValueError``.
     """
@@ -138,13 +140,13 @@ def converted(files: DataFrame) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for r in arc_records(content.as_py() or b""):
-                    http = r["block"].startswith(b"HTTP/")
+                for i, r in enumerate(arc_records(content.as_py() or b"")):
+                    http = i > 0 and r["block"].startswith(b"HTTP/")
                     head, _, payload = r["block"].partition(END) if http else (b"", b"", r["block"])
                     page = header_value(head, b"X-Page-Id")
                     rows.append((
                         int(page) if page else None, r["url"], r["ip"], arc_date(r["date"]), r["mime"],
-                        "response" if http else "resource", r["truncated"], head, payload, len(payload),
+                        "response" if http else "resource" if i else "warcinfo", r["truncated"], head, payload, len(payload),
                         hashlib.sha1(payload).hexdigest(),
                     ))
                     size += len(payload)
@@ -179,18 +181,29 @@ def record_id(page_id: int | None, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}' if page_id is not None else f'{url} {digest}')}>"
 
 
-def write(records: DataFrame, path: str, records_per_file: int = 5000) -> None:
-    """Write records as WARC files under ``path``; revisits carry the head of their message and no payload."""
+def write(records: DataFrame, path: str, file_bytes: int = 16 << 20) -> None:
+    """Write records as WARC files under ``path``; revisits carry the head of their message and no payload.
+
+    A file is closed before the record that would take it over ``file_bytes``; a larger record is a file by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            content = END.join(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["records"])
+
         for batch in batches:
-            made = []
             for r in batch.to_pylist():
                 http, again = r["record_type"] in ("response", "revisit"), r["record_type"] == "revisit"
+                about = r["record_type"] == "warcinfo"
                 block = (r["head"] + END if http else b"") + (b"" if again else r["payload"])
                 fields = [
                     ("WARC-Type", r["record_type"]), ("WARC-Record-ID", record_id(r["page_id"], r["url"], r["payload_digest"])),
-                    ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"]),
+                    ("WARC-Date", r["date"]),
+                    *([("WARC-Filename", r["url"])] if about else [("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"])]),
                     ("WARC-Block-Digest", "sha1:" + hashlib.sha1(block).hexdigest()),
                     ("WARC-Payload-Digest", "sha1:" + r["payload_digest"]),
                 ]
@@ -207,11 +220,17 @@ def write(records: DataFrame, path: str, records_per_file: int = 5000) -> None:
                     ("Content-Type", "application/http; msgtype=response" if http else r["mime"]), ("Content-Length", len(block)),
                 ]
                 head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
-                made.append(head.encode("utf-8", "surrogatepass") + block)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
+                record = head.encode("utf-8", "surrogatepass") + block
+                if held and size + len(record) > file_bytes:
+                    yield file()
+                    size = 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield file()
 
-    lines = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    files = records.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    files.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -233,7 +252,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files under ``path``: ``page_id, url, record_type, payload_bytes, payload_digest, refers_to``.
 
     Length and digest of a payload are taken from the bytes where the record has them; those of a revisit from its
-    headers. A digest that does not fit its payload raises ``ValueError``.
+    headers. The ``url`` of a ``warcinfo`` is its file's name. A digest that does not fit its payload raises ``ValueError``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +268,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"payload digest of {fields['WARC-Record-ID']}")
                     number = lambda name: int(fields[name]) if name in fields else None
                     rows.append((
-                        number("WARC-Page-ID"), fields["WARC-Target-URI"], fields["WARC-Type"], size, digest,
+                        number("WARC-Page-ID"), fields.get("WARC-Target-URI", fields.get("WARC-Filename")), fields["WARC-Type"], size, digest,
                         number("WARC-Refers-To-Page-ID"),
                     ))
                 if rows:
@@ -265,7 +284,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """``pages`` taken through ARC files, the converter and WARC files, as ``read`` finds them again.
+    """``pages`` taken through ARC files, the converter and WARC files, as ``read`` finds them again, ``warcinfo`` left out.
 
     Rows with equal ids are separate records; of equal payloads all rows with the largest id are responses. An empty
     table gives no rows.
@@ -273,4 +292,4 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write(revisits(converted(arc_files(pages))), path)
-    return read(spark, path)
+    return read(spark, path).where("record_type <> 'warcinfo'")

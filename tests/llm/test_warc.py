@@ -35,7 +35,9 @@ def test_pages_through_both_formats(spark, tmp_path):
     found = warc.archived(table(spark, PAGES), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert sorted((tuple(r) for r in found.collect()), key=str) == expected(PAGES)
     records = [r for f in spark.read.format("binaryFile").load(path).collect() for r in warc.warc_records(f.content)]
-    assert len(records) == len(PAGES)
+    infos = [(f, b) for f, b in records if f["WARC-Type"] == "warcinfo"]
+    assert infos and len({f["WARC-Filename"] for f, _ in infos}) == len(infos) and len(records) == len(PAGES) + len(infos)
+    assert all(b.split(b"\n")[1] in warc.NAMES.values() and "WARC-Target-URI" not in f for f, b in infos)
     ids = {f["WARC-Record-ID"]: f for f, _ in records}
     for fields, block in records:
         assert fields["WARC-Date"] == "2024-01-01T00:00:00Z" and len(block) == int(fields["Content-Length"])
@@ -52,6 +54,7 @@ def test_both_versions_and_many_files(spark):
     files = [r.content for r in warc.arc_files(table(spark, PAGES).coalesce(1), file_bytes=3000).collect()]
     assert {f.split(b"\n")[1][:1] for f in files} == {b"1", b"2"}
     records = [r for f in files for r in warc.arc_records(f)]
+    records = [r for r in records if not r["url"].startswith("filedesc://")]
     assert len(records) == len(PAGES) and {("checksum" in r) for r in records} == {True, False}
 
 
@@ -64,7 +67,21 @@ def test_foreign_archive(spark):
     got = {r.url: r for r in found.collect()}
     assert got["http://x/a b"].payload == b"hello" and got["http://x/a b"].date == "1996-09-23T14:00:00Z"
     assert (got["dns:x"].record_type, got["dns:x"].payload, got["dns:x"].date) == ("resource", b"1.2.3", "1996-09-23T14:21:04Z")
-    assert got["ftp://x"].truncated and got["ftp://x"].date == "1970-01-01T00:00:00Z" and len(got) == 3
+    assert got["ftp://x"].truncated and got["ftp://x"].date == "1970-01-01T00:00:00Z" and len(got) == 4
+    info = got["filedesc://old.arc"]
+    assert (info.record_type, info.payload, info.mime, info.page_id) == ("warcinfo", about, "text/plain", None)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Whatever the number and size of the records, a file holds one record or at most the bound."""
+    rows = [(i, f"http://a.com/{i}", str(i) * (40_000 if i % 50 == 0 else 300)) for i in range(100)]
+    records = warc.revisits(warc.converted(warc.arc_files(table(spark, rows).coalesce(2))))
+    warc.write(records, f"{tmp_path}/warc", file_bytes=20_000)
+    files = [r.content for r in spark.read.format("binaryFile").load(f"{tmp_path}/warc").collect()]
+    held = [list(warc.warc_records(f)) for f in files]
+    assert all(len(h) == 1 or len(f) <= 20_000 + 4 * len(h) for f, h in zip(files, held)) and max(map(len, held)) > 5
+    found = warc.read(spark, f"{tmp_path}/warc").where("page_id is not null")
+    assert sorted((r.page_id, r.payload_bytes) for r in found.collect()) == [(i, len(h)) for i, _, h in rows]
 
 
 def test_no_archive_and_empty_table(spark):
