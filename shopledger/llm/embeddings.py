@@ -120,24 +120,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = 512
     led = led.withColumn("slab", F.floor(F.get("lead", F.lit(0)) / (reach / 2)))
     counts = led.groupBy("space", "slab").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     led = led.join(counts, ["space", "slab"]).withColumn("tile", F.xxhash64("slab", F.pmod(F.xxhash64("id"), F.col("parts"))))
-    led = written(led.drop("slab", "parts"), "tiles")
+    led = written(led.drop("parts"), "tiles")
     lows = [F.min(F.get("lead", F.lit(i))).alias(f"low{i}") for i in range(boxed)]
     highs = [F.max(F.get("lead", F.lit(i))).alias(f"high{i}") for i in range(boxed)]
-    boxes = written(led.groupBy("space", "tile").agg(*lows, *highs), "boxes")
-    one, two = boxes.alias("p"), boxes.alias("q")
+    boxes = written(led.groupBy("space", "slab", "tile").agg(*lows, *highs), "boxes")
+    # A slab is half as wide as the reach, so links lie within a slab or between it and the next two.
+    ahead = F.explode(F.array(*[F.col("slab") + i for i in range(3)])).alias("at")
+    one, two = boxes.select("*", ahead).alias("p"), boxes.alias("q")
     gap = lambda i: F.coalesce(F.greatest(
         F.lit(0.0), F.col(f"p.low{i}") - F.col(f"q.high{i}"), F.col(f"q.low{i}") - F.col(f"p.high{i}")
     ), F.lit(0.0))
     apart = sum((gap(i) * gap(i) for i in range(boxed)), F.lit(0.0))
-    pairs = one.join(two, (F.col("p.space") == F.col("q.space")) & (F.col("p.tile") <= F.col("q.tile")))
-    pairs = pairs.where(apart <= reach * reach).select(
+    pairs = one.join(two, (F.col("p.space") == F.col("q.space")) & (F.col("p.at") == F.col("q.slab")))
+    pairs = pairs.where((F.col("p.slab") < F.col("q.slab")) | (F.col("p.tile") <= F.col("q.tile"))).where(apart <= reach * reach).select(
         F.col("p.space").alias("space"), F.col("p.tile").alias("p"), F.col("q.tile").alias("q")
     )
     cell = F.xxhash64("space", "p", "q").alias("cell")
     sides = pairs.select("space", F.col("p").alias("tile"), cell, F.lit(0).alias("side")).unionAll(
         pairs.where("p != q").select("space", F.col("q").alias("tile"), cell, F.lit(1).alias("side"))
     )
-    placed = sides.join(led, ["space", "tile"]).select("cell", "side", "id", "copies", "embedding")
+    placed = sides.join(led.drop("slab"), ["space", "tile"]).select("cell", "side", "id", "copies", "embedding")
 
     def compare(table: pa.Table) -> pa.RecordBatch | None:
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
