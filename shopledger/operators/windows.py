@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import col, ratio, total_order
 from ..functions.ordered import ordered_scan
 
-#: Join keys that a group is split into when its totals are joined back; totals have one row per group.
-GROUP_SLOTS = 16
+#: Rows of a group for which its totals get one more join key, the keys per shuffle partition at most, and the groups that
+#: may have more than one. A group that is not among these has less than one part in so many of all rows.
+ROWS_PER_KEY, KEYS_PER_TASK, LARGEST_GROUPS = 1000, 8, 256
 
 
 def with_group_values(
@@ -25,7 +26,8 @@ def with_group_values(
     """Put aggregates of each row's group beside the row.
 
     Unbounded groups are aggregated on their own (partial sums first) and
-    joined back over slots, so a group holding much of the data is never gathered. That
+    joined back, so a group holding much of the data is never gathered: by the measured rows of the largest groups
+    (``hot_groups``) each is split into join keys, up to several for every task; the totals of all others stay one row. That
     reads ``df`` twice; ``source`` may name a cheaper place with the same rows,
     such as a written copy, to aggregate from.
     """
@@ -37,17 +39,34 @@ def with_group_values(
         totals = source.agg(F.struct(*[value.alias(name) for name, value in values.items()]).alias("_all"))
         scalar = totals.scalar()
         return df.withColumn("_all", scalar).select("*", *[F.col(f"_all.{name}").alias(name) for name in values]).drop("_all")
-    totals = source.groupBy(*by).agg(*[value.alias(name) for name, value in values.items()])
-    # A row of totals goes to every slot, a row of data to one of them, so that a large group is many join keys.
-    totals = totals.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SLOTS - 1))))
-    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*df.columns), F.lit(GROUP_SLOTS)).cast("int"))
+    totals = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[value.alias(name) for name, value in values.items()])
+    hot = hot_groups(totals, by, list(values)).scalar()
+    place = F.array_position("_hot.group", F.xxhash64(*by))
+    keys = F.when(place > 0, F.get("_hot.keys", place.cast("int") - 1)).otherwise(1)
+    # No group is empty; the condition keeps the count here too, so that one aggregation serves both.
+    copies = totals.where("_rows > 0").withColumn("_hot", hot).withColumn("_slot", F.explode(F.sequence(F.lit(0), keys - 1)))
+    slotted = df.withColumn("_hot", hot).withColumn("_slot", F.pmod(F.xxhash64(*df.columns), keys).cast("int"))
     same = F.col("d._slot") == F.col("t._slot")
     for name in by:
         same = same & F.col(f"d.{name}").eqNullSafe(F.col(f"t.{name}"))
-    joined = slotted.alias("d").join(totals.alias("t"), same)
+    joined = slotted.drop("_hot").alias("d").join(copies.drop("_hot", "_rows").alias("t"), same)
     return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], *[F.col(f"t.{name}") for name in values])
 
 
+def hot_groups(totals: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row ``_hot`` of arrays: hashes of the largest groups of ``totals`` and the join keys of each.
+
+    ``totals`` has one row per group, its rows in ``_rows``. At most ``LARGEST_GROUPS`` groups of more than
+    ``ROWS_PER_KEY`` rows are listed, whatever the data. The ``values`` are kept beside them, so that this and the
+    totals share one aggregation.
+    """
+    most = KEYS_PER_TASK * int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    largest = totals.where(F.col("_rows") > ROWS_PER_KEY).orderBy(F.desc("_rows")).limit(LARGEST_GROUPS)
+    keys = F.least(F.lit(most), F.ceil(F.col("_rows") / ROWS_PER_KEY)).cast("int")
+    lists = {"group": F.xxhash64(*by), "keys": keys, "totals": F.struct(*values)}
+    return largest.agg(F.struct(*[F.collect_list(value).alias(name) for name, value in lists.items()]).alias("_hot"))
+
+
 def share_of(
     df: DataFrame, measure: str, by: Sequence[str] = (), share: str = "share", total: str = "total",
     bounded: bool = False, source: DataFrame | None = None,

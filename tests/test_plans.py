@@ -101,6 +101,30 @@ def test_a_hot_group_is_many_join_keys(spark):
             spark.conf.set(key, value)
 
 
+def test_join_keys_of_a_group_follow_its_measured_rows(spark):
+    """Half of the rows spread over all tasks, groups of few rows are not copied, and the input is read twice, not more."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        small = (F.col("id") % 5000).cast("string")
+        df = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, None).otherwise(small).alias("g"), F.col("id").alias("v"))
+        totals = df.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"), F.sum("v").alias("total"))
+        hot = windows.hot_groups(totals, ["g"], ["total"]).first()["_hot"]
+        assert list(hot["keys"]) == [128] and hot["totals"][0]["total"] == sum(range(0, 400_000, 2))
+        joined = windows.with_group_values(df, ["g"], {"total": F.sum("v")})
+        sizes = [r["count"] for r in joined.where("g is null").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 16 and sum(sizes) == 200_000 and max(sizes) < 3 * 200_000 / 16
+        plan = plan_of(joined)
+        assert plan.count("Range (") == 2 and "ReusedExchange" in plan and "SinglePartition" not in plan
+        wrong = joined.groupBy("g").agg(F.sum("v").alias("again"), F.min("total").alias("low"), F.max("total").alias("high"))
+        assert wrong.where("again != low or again != high").count() == 0 and joined.count() == 400_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def overlaid(spark, **frames):
     """The given tables with some of them replaced."""
     base = from_driver(spark, FOLDER)
