@@ -2,7 +2,8 @@
 
 The distinct new words of a batch lie one after another in one flat array of symbols. In each round every word merges
 its pair of lowest rank; ranks are found for all neighbouring pairs at once by binary search over the sorted pair
-keys. Words that have no pair left drop out. Encoded words are kept per worker up to a bound.
+keys. Words that have no pair left drop out. A long word also merges pairs that are the lowest within the length of a
+token. Encoded words are kept per worker up to a bound of words and of bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,17 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 NONE = np.iinfo(np.int64).max
 
 
+def least_before(ranks: np.ndarray, width: int) -> np.ndarray:
+    """The lowest of the ``width`` values before each; ``NONE`` where there is none."""
+    least, size = np.full(len(ranks), NONE), 1
+    least[1:] = ranks[:-1]
+    while size < width:
+        step = min(size, width - size)
+        least[step:] = np.minimum(least[step:], least[:-step])
+        size += step
+    return least
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from U+0100 on."""
     prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -41,7 +53,7 @@ class BPE:
     the byte-level pattern. Anything else raises ``ValueError``. Special tokens in a text are matched as such.
     """
 
-    def __init__(self, text: str, most_words: int = 400_000):
+    def __init__(self, text: str, most_words: int = 400_000, most_bytes: int = 200 << 20):
         config = json.loads(text)
         model = config["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
@@ -78,7 +90,8 @@ class BPE:
         for side in (self.keys // self.size, self.keys % self.size):
             np.minimum.at(lowest, side, self.ranks)
         self.safe = lowest[self.merged] > self.ranks
-        self.most_words = most_words
+        self.longest = max(map(len, self.vocab))
+        self.most_words, self.most_bytes, self.held = most_words, most_bytes, 0
         self.known: dict[str, tuple[int, ...]] = {}
 
     def read_normalizer(self, normalizer: dict | None) -> None:
@@ -151,7 +164,15 @@ class BPE:
             for i in np.flatnonzero(least == NONE):
                 results[word[starts[i]]] = symbols[starts[i] : starts[i] + counts[i]].tolist()
             lowest = np.repeat(least, counts)
-            chosen = np.flatnonzero((rank == lowest) & (rank != NONE))
+            pick = rank == lowest
+            if counts.max() > 4 * self.longest:
+                # What could take a symbol of a pair before its turn is a token that reaches it, made from pairs of
+                # lower ranks (of the same rank only on its left), of which the first is there now, no farther than a
+                # token is long. Where there is none, the turn comes sure and can be taken at once, if no pair of a
+                # lower rank arises from it.
+                before, after = least_before(rank, self.longest), least_before(rank[::-1], self.longest)[::-1]
+                pick |= (rank < before) & (rank <= after) & self.safe[at]
+            chosen = np.flatnonzero(pick & (rank != NONE))
             if not len(chosen):
                 break
             # Of overlapping pairs take every second one from the left; of pairs whose merge may open a pair of a
@@ -169,12 +190,15 @@ class BPE:
 
     def learn(self, words: set[str]) -> None:
         new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.most_words:
+        if len(self.known) + len(new) > self.most_words or self.held > self.most_bytes:
             self.known.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
         for start in range(0, len(new), 50_000):
             part = new[start : start + 50_000]
-            self.known.update(zip(part, map(tuple, self.merge(part))))
+            coded = list(map(tuple, self.merge(part)))
+            self.known.update(zip(part, coded))
+            # About what the objects of a word, its ids and its entry take.
+            self.held += 250 * len(part) + sum(map(len, part)) + 36 * sum(map(len, coded))
 
     def encode(self, texts: Sequence[str | None]) -> list[list[int]]:
         split: list[list] = []

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -49,6 +51,34 @@ def test_more_words_than_are_kept(both):
     small = bpe.BPE(mine.json, most_words=50)
     texts = [" ".join(f"w{i * j}" for i in range(40)) for j in range(20)]
     assert small.encode(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    small = bpe.BPE(mine.json, most_bytes=20_000)
+    for text in texts:
+        assert small.encode([text]) == [library.encode(text, add_special_tokens=False).ids]
+        assert small.held < 40_000
+
+
+def test_long_words(both):
+    """Equal to the library, and in about linear time."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "aab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "eéß日", "0123", "-=_") for n in (500, 3000, 9001)]
+    words += ["the" * 4000, "ab" * 5000 + "a", "a" * 7000, "ing" * 999 + "b" + "ing" * 999, "xy" * 300 + "z" * 300]
+    agree(both, words + [" ".join(words)])
+    mine, _ = both
+    cost = []
+    for n in (20_000, 160_000):
+        word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        start = time.process_time()
+        mine.merge([word])
+        cost.append(time.process_time() - start)
+    assert cost[1] < 16 * cost[0] + 1
+
+
+def test_least_before():
+    rng = random.Random(2)
+    for n, width in ((1, 1), (5, 1), (40, 7), (40, 8), (9, 50)):
+        ranks = [rng.randrange(50) for _ in range(n)]
+        expected = [min(ranks[max(0, i - width) : i], default=bpe.NONE) for i in range(n)]
+        assert bpe.least_before(np.array(ranks), width).tolist() == expected
 
 
 def test_ranks_that_can_fall():
@@ -72,6 +102,7 @@ def test_ranks_that_can_fall():
     assert not mine.safe.all()
     rng = random.Random(1)
     agree((mine, Tokenizer.from_str(json.dumps(file))), ["".join(rng.choice("abc") for _ in range(40)) for _ in range(500)])
+    agree((mine, Tokenizer.from_str(json.dumps(file))), ["".join(rng.choice(abc) for _ in range(400)) for abc in ("abc", "aabc", "abbcd") for _ in range(50)])
 
 
 def test_table(spark):
