@@ -137,7 +137,8 @@ def remainder(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """The model of ``labels.quality`` from at most ``sample`` rows whose fold is not 2.
 
-    The rows are those with the smallest hashes of their ids. Fold 1 is for the calibration, the others for the
+    The rows are those with the smallest hashes of their ids; of an id with several texts each is a row, in the order of
+    their features, as far as ``sample`` goes. Fold 1 is for the calibration, the others for the
     weights. Rows without a label or id are left out; an id labelled twice counts with its smallest label. With
     one class or none the score is that class's share for every text (0.5 without labels).
     """
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "quality", "found"])
 
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"))
-    got = rows.mapInArrow(extract, "doc_id bigint, quality int, found binary").withColumn("fold", remainder()).limit(sample).collect()
+    got = rows.mapInArrow(extract, "doc_id bigint, quality int, found binary").withColumn("fold", remainder())
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "found").limit(sample).collect()
     got.sort(key=lambda r: (r.doc_id, r.found))
     features = [np.frombuffer(r.found, np.int32) for r in got]
     target, fold = np.array([r.quality for r in got], int), np.array([r.fold for r in got], int)

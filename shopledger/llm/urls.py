@@ -13,6 +13,8 @@ from .common import let, small, written
 
 #: Verdict, host and path of each rule. A host stands for its subdomains too.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Parts of the hosts, for statistics of labels that leave a URL's own part out.
+PARTS = 8
 FEATURES = (
     "length", "host_length", "host_labels", "host_hyphens", "depth", "digit_ratio", "letter_entropy", "parameters",
     "parameter_length", "fragment", "suffix_share", "suffix_blocked",
@@ -64,11 +66,16 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sample: int = 20_000, trees: int = 20) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sample: int = 20_000, trees: int = 20,
+    learned: Column | None = None,
+) -> DataFrame:
     """Verdict on every row of ``pages`` (``page_id``, ``url``): ``page_id, host, path, rule, verdict, block_score``.
 
     URLs that a rule decides are the labelled ones: a bounded ``sample`` of them, those with the smallest hashes,
-    trains the trees; statistics of host suffixes are counted over all pages and all labelled URLs. The trees decide
+    trains the trees; statistics of host suffixes are counted over all pages and all labelled URLs, but those of a labelled
+    URL leave out the labels of its part of the hosts (one of ``PARTS``, by a hash), its own among them. ``learned`` (on ``page_id``, ``url``, ``host``, ``path``) names the labelled
+    URLs that may be learned from, all unless given; where it is not true, the label is as if unknown. The trees decide
     the URLs without a rule; ``block_score`` is their probability of a block for every URL. If the labelled URLs
     are of one kind the others get that verdict, ``allow`` if there are none.
 
@@ -79,19 +86,25 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sampl
     located = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, decided = rule_of(rules)
     ruled = written(lexical(located.select("*", rule.alias("rule"), decided.alias("decided"))), "urls")
-    block = (F.col("decided") == "block").cast("double")
+    taught = F.col("decided").isNotNull() & (F.lit(True) if learned is None else F.coalesce(learned, F.lit(False)))
+    block = F.when(taught, (F.col("decided") == "block").cast("double"))
     # Shares of all pages, and of blocks among labelled URLs, drawn towards one half where there are few.
+    of_part = lambda value: F.array(*[F.count(F.when(F.col("part") == k, value)) for k in range(PARTS)])
+    ruled = ruled.withColumn("own", block).withColumn("part", F.pmod(F.xxhash64("host"), F.lit(PARTS)).cast("int"))
     suffixes = ruled.groupBy("suffix").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("decided").alias("labelled"), F.coalesce(F.sum(block), F.lit(0.0)).alias("blocked")
+        F.count(F.lit(1)).alias("rows"), of_part(F.col("own")).alias("labelled"),
+        of_part(F.when(F.col("own") == 1, 1)).alias("blocked"),
     )
     rows = max(1, ruled.count())
     suffixes = written(suffixes, "suffixes").select(
-        F.col("suffix").alias("_suffix"), F.log(F.col("rows") / rows).alias("suffix_share"),
-        ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("suffix_blocked"),
+        F.col("suffix").alias("_suffix"), F.log(F.col("rows") / rows).alias("suffix_share"), "labelled", "blocked",
     )
     known = ruled.join(small(suffixes, 100_000), F.col("suffix") == F.col("_suffix"), "left")
+    every = lambda name: F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    others = lambda name: every(name) - F.when(F.col("own").isNotNull(), F.get(name, F.col("part"))).otherwise(0)
+    known = known.withColumn("suffix_blocked", (others("blocked") + 1) / (others("labelled") + 2))
     known = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
-    labelled = known.where("decided is not null").withColumn("label", block)
+    labelled = known.where("own is not null").withColumnRenamed("own", "label")
     # At most ``sample`` rows, in one order, so that the trees are the same on every run.
     train = written(labelled.orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(sample).select("features", "label"), "train")
     kinds = [r.label for r in train.select("label").distinct().collect()]

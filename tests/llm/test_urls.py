@@ -65,6 +65,32 @@ def test_trees_learn_the_rules_and_agree_with_themselves(spark):
         assert by_url.setdefault(url, (verdict, score)) == (verdict, score)
 
 
+def test_labels_that_are_held_out_are_not_learned(spark):
+    """Turned verdicts of held-out URLs change no score, and the trees find the verdicts of hosts they never saw."""
+    found = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    learned = F.pmod(F.xxhash64("host"), F.lit(4)) != 0
+    held = [r for r in urls.judge(found, learned=learned).where("rule is not null").where(~learned).collect()]
+    suffixes = Counter((r.host.split(".")[-2:][0], r.host.split(".")[-1], r.verdict) for r in held)
+    # The most that suffixes tell: rules also look at the language in the path, which is no feature.
+    best = sum(max(n for s, n in suffixes.items() if s[:2] == k) for k in {s[:2] for s in suffixes})
+    found = sum((r.verdict == "block") == (r.block_score >= 0.5) for r in held)
+    assert len({r.host for r in held}) > 10 and found > 0.95 * best
+    every = pages(spark, many() * 2)
+    one, two = (
+        {r.page_id: r.block_score for r in urls.judge(every, rules, trees=5, learned=~F.startswith("host", F.lit("blog."))).collect()}
+        for rules in (urls.RULES, tuple(r for r in urls.RULES) + (("allow", "blog.example.net", "/"), ("block", "blog.example.org", "/fr/")))
+    )
+    assert one == two
+
+
+def test_own_label_does_not_show_in_the_score(spark):
+    """URLs of one suffix and one form get one score, whatever the rule says of each."""
+    rules = [("block" if i % 3 else "allow", f"h{i}.example.org", "/") for i in range(40, 80)]
+    sites = [f"http://h{i}.example.org/a" for i in range(40, 80)] + [f"http://q{i}.other.{t}/a/b" for i in range(9) for t in ("net", "com")]
+    got = urls.judge(pages(spark, sites), rules + [("block", "net", "/"), ("allow", "com", "/")], trees=10).where("rule like 'h%'").collect()
+    assert sum((r.verdict == "block") == (r.block_score >= 0.5) for r in got) < 0.9 * len(got)
+
+
 def test_tables_without_both_verdicts(spark):
     assert urls.judge(pages(spark, [])).count() == 0
     assert {r.verdict for r in urls.judge(pages(spark, [None, "http://a.com/"])).collect()} == {"allow"}
