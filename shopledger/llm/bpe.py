@@ -3,14 +3,15 @@
 The distinct new words of a batch lie one after another in one flat array of symbols. In each round every word merges
 its pair of lowest rank; ranks are found for all neighbouring pairs at once by binary search over the sorted pair
 keys. Words that have no pair left drop out. A long word also merges pairs that are the lowest within the length of a
-token. Encoded words are kept per worker up to a bound of words and of bytes.
+token. Encoded words are kept per worker up to a bound of words and of bytes, those used of late longest.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -53,7 +54,7 @@ class BPE:
     the byte-level pattern. Anything else raises ``ValueError``. Special tokens in a text are matched as such.
     """
 
-    def __init__(self, text: str, most_words: int = 400_000, most_bytes: int = 200 << 20):
+    def __init__(self, text: str, most_words: int = 200_000, most_bytes: int = 64 << 20):
         config = json.loads(text)
         model = config["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
@@ -92,7 +93,10 @@ class BPE:
         self.safe = lowest[self.merged] > self.ranks
         self.longest = max(map(len, self.vocab))
         self.most_words, self.most_bytes, self.held = most_words, most_bytes, 0
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Ids of words as 32-bit numbers: words used since the last turn, and those from before it that may come again.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held_before = 0
 
     def read_normalizer(self, normalizer: dict | None) -> None:
         steps = [] if normalizer is None else normalizer.get("normalizers", [normalizer])
@@ -189,18 +193,25 @@ class BPE:
         return results
 
     def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.most_words or self.held > self.most_bytes:
-            self.known.clear()
-            self.held, new = 0, list(words)
-        for start in range(0, len(new), 50_000):
-            part = new[start : start + 50_000]
-            coded = list(map(tuple, self.merge(part)))
-            self.known.update(zip(part, coded))
-            # About what the objects of a word, its ids and its entry take.
-            self.held += 250 * len(part) + sum(map(len, part)) + 36 * sum(map(len, coded))
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > self.most_words // 2 or self.held - self.held_before > self.most_bytes // 2:
+            self.held -= self.held_before
+            self.before, self.held_before, self.known, new = self.known, self.held, {}, words
+        again = new & self.before.keys()
+        self.keep(again, map(self.before.__getitem__, again))
+        fresh = list(new - again)
+        for start in range(0, len(fresh), 10_000):
+            part = fresh[start : start + 10_000]
+            self.keep(part, [array("i", ids).tobytes() for ids in self.merge(part)])
 
-    def encode(self, texts: Sequence[str | None]) -> list[list[int]]:
+    def keep(self, words: Collection[str], coded: Iterable[bytes]) -> None:
+        held = dict(zip(words, coded))
+        self.known.update(held)
+        # About what the objects of a word, its ids and its entry take.
+        self.held += 190 * len(held) + sum(map(len, held)) + sum(map(len, held.values()))
+
+    def encoded(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The token ids of each text as 32-bit numbers."""
         split: list[list] = []
         for text in texts:
             parts = [text or ""]
@@ -208,16 +219,12 @@ class BPE:
                 parts = self.find_special.split(parts[0])
             split.append([p if i % 2 else self.split(p) for i, p in enumerate(parts)])
         self.learn({w for parts in split for p in parts if isinstance(p, list) for w in p})
-        known, result = self.known, []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                if isinstance(p, list):
-                    ids += [i for w in p for i in known[w]]
-                else:
-                    ids.append(self.special[p])
-            result.append(ids)
-        return result
+        of = self.known.__getitem__
+        special = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
+        return [b"".join([b"".join(map(of, p)) if isinstance(p, list) else special[p] for p in parts]) for parts in split]
+
+    def encode(self, texts: Sequence[str | None]) -> list[list[int]]:
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.encoded(texts)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of token ids, special ones included: tokens joined by blanks, or byte-level text if the file has that decoder."""
@@ -242,23 +249,23 @@ def encode(docs: DataFrame, vocabulary: str, decoded: bool = True) -> DataFrame:
     ``vocabulary`` is the path of a tokenizer file on the driver; its content is sent to the workers. Ids are those
     of the tokenizers library without special tokens of its own. Null and empty texts have no ids and decode to the
     empty text. Equal and null ``doc_id`` are kept row by row, other columns are not used, an empty table gives no
-    rows. A batch is encoded in pieces of a few million characters; a single longer text is one piece.
+    rows. A batch is encoded in pieces of a million characters; a single longer text is one piece.
     """
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text("utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(content.value)
         for batch in batches:
-            for start, texts in chunks(batch, "text"):
-                coded = tokenizer.encode(texts)
-                offsets = np.cumsum([0, *map(len, coded)])
-                flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(offsets[-1]))
+            for start, texts in chunks(batch, "text", 1 << 20):
+                coded = tokenizer.encoded(texts)
+                offsets = np.cumsum([0, *map(len, coded)]) // 4
+                flat = np.frombuffer(b"".join(coded), np.int32)
                 arrays = [
                     batch.column(0).slice(start, len(texts)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
                 ]
                 if decoded:
-                    arrays.append(pa.array([tokenizer.decode(ids) for ids in coded], pa.string()))
+                    arrays.append(pa.array([tokenizer.decode(np.frombuffer(ids, np.int32).tolist()) for ids in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"][: len(arrays)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -29,7 +29,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -57,6 +58,34 @@ def test_more_words_than_are_kept(both):
         assert small.held < 40_000
 
 
+def test_words_in_use_stay_known(both, monkeypatch):
+    """Words that keep coming are merged once, though others pass the bound many times over."""
+    mine, library = both
+    small = bpe.BPE(mine.json, most_words=200)
+    merged, merge = [], small.merge
+    monkeypatch.setattr(small, "merge", lambda words: merged.extend(words) or merge(words))
+    for j in range(40):
+        text = "of the day " + " ".join(f"w{i}" for i in range(j * 20, j * 20 + 20))
+        assert small.encode([text]) == [library.encode(text, add_special_tokens=False).ids]
+    assert len(merged) == len(set(merged))
+    assert len(small.known) + len(small.before) <= 200
+
+
+def test_kept_words_take_bounded_memory(both):
+    mine, _ = both
+    rng = random.Random(4)
+    words = list({"".join(rng.choices(("th", "on", "er", "an", "ti", "ou"), k=7)) for _ in range(200_000)})
+    assert len(words) > 100_000
+    mine.encode(["warm"])
+    mine.known.clear()
+    tracemalloc.start()
+    for start in range(0, len(words), 2000):
+        mine.encode([" ".join(words[start : start + 2000])])
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 260 * len(words)
+
+
 def test_long_words(both):
     """Equal to the library, and in about linear time."""
     rng = random.Random(9)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -155,3 +156,12 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {r.id: r.component for r in got.collect()} == {x: find(x) for x in root} and got.count() == len(root)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_kept_word_hashes_take_bounded_memory():
+    tracemalloc.start()
+    for start in range(0, 450_000, 5000):
+        minhash.shingles(" ".join(f"word{i}" for i in range(start, start + 5000)), 5)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 30 << 20
