@@ -5,11 +5,12 @@ sorted, slice the lists into groups, and each slice is expanded to its links. Ho
 is counted over the corpus and looked up for every document.
 
 Most of a corpus is repeated words, so texts are cut before every blank that has a visible character on either side,
-where both tokenizers end a token in any case, and each distinct piece is aligned once per worker.
+where both tokenizers end a token in any case, and each distinct piece is aligned once per worker while it is in use.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -52,7 +53,10 @@ def cuts(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], list[
 
 
 class Aligner(dict):
-    """Alignments of pieces of text, kept up to a bound: numbers of a, b, groups, links; groups as text; linked pairs."""
+    """Alignments of pieces of text, kept up to a bound: numbers of a, b, groups, links; groups as text; linked pairs.
+
+    Half of the bound are pieces used of late, ``before`` the half that was so until then; what comes again moves on.
+    """
 
     def __init__(self, byte_level: str, pieces: bytes, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -60,6 +64,7 @@ class Aligner(dict):
         from tokenizers import Tokenizer
 
         self.a, self.b, self.most = Tokenizer.from_str(byte_level), SentencePieceProcessor(model_proto=pieces), most
+        self.before: dict[str, tuple] = {}
         self.a.encode_special_tokens = True
         letters = byte_alphabet()
         names = sorted((i, t) for t, i in self.a.get_vocab(with_added_tokens=True).items())
@@ -74,15 +79,21 @@ class Aligner(dict):
         # No piece goes on with a blank, so no merge crosses the place before one.
         self.cuts = cuts_a and not any(BLANK in p.lstrip(BLANK) for p in vocabulary)
 
-    def align(self, texts: Sequence[str]) -> list[tuple | None]:
+    def align(self, texts: Sequence[str], together: int = 1) -> list[tuple | None]:
         """One alignment per text that begins with a blank; none where the tokens' bytes differ from the text's.
 
-        The texts are aligned as one long text: each ends where tokens of both end.
+        The texts are aligned as one long text: each ends where tokens of both end. So many ``together`` are one text
+        for A too, if A ends a token between them in any case.
         """
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = texts if together == 1 else ["".join(texts[i : i + together]) for i in range(0, len(texts), together)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         data = [t.encode() for t in texts]
         kept = range(len(texts))
+        if together > 1:
+            if not self.spelled(self.bytes_a, ids_a) == self.spelled(self.bytes_b, ids_b) == b"".join(data):
+                return self.align(texts)
+            return list(self.grouped(ids_a, ids_b, list(map(len, data))))
         if not self.spelled(self.bytes_a, ids_a) == self.spelled(self.bytes_b, ids_b) == b"".join(data):
             same = lambda i: self.spelled(self.bytes_a, [ids_a[i]]) == self.spelled(self.bytes_b, [ids_b[i]]) == data[i]
             kept = [i for i in kept if same(i)]
@@ -120,6 +131,8 @@ class Aligner(dict):
         pairs = linked.tolist()
 
         groups_to = np.searchsorted(common, np.cumsum(lengths), "right")
+        if (common[groups_to - 1] != np.cumsum(lengths)).any():
+            raise ValueError("a token goes beyond the end of its text")
         ids_to = [np.r_[0, x[groups_to - 1]] for x in (to_a, to_b, np.arange(1, len(common) + 1), np.cumsum(links))]
         numbers = [np.diff(x).tolist() for x in ids_to]
         text_to, pairs_to = (ids_to[0] + ids_to[1]).tolist(), ids_to[3].tolist()
@@ -128,14 +141,28 @@ class Aligner(dict):
 
     def of(self, texts: Sequence[str | None]) -> list[list[tuple] | None]:
         """The alignments of the pieces of each text; none for a text without tokens."""
-        if len(self) > self.most:
+        # Nothing here makes a cycle, but many small objects would have the kept ones searched for cycles again and again.
+        enabled = gc.isenabled()
+        gc.disable()
+        try:
+            return self.looked_up(texts)
+        finally:
+            if enabled:
+                gc.enable()
+
+    def looked_up(self, texts: Sequence[str | None]) -> list[list[tuple] | None]:
+        if len(self) > self.most // 2:
+            self.before = dict(self)
             self.clear()
+        before, new = self.before, set()
         cut: list[list[str] | None] = []
-        new = set()
         for text in texts:
             parts = f" {text}".replace(" ", "\0 ").split("\0")[1:] if text and self.cuts and "\0" not in text and BLANK not in text else None
             if parts:
                 missing = set(filterfalse(self.__contains__, parts))
+                if again := list(filter(before.__contains__, missing)):
+                    self.update(zip(again, map(before.__getitem__, again)))
+                    missing.difference_update(again)
                 for p in missing:
                     if len(p) < 2 or p[1].isspace() or p[-1].isspace():
                         parts = None  # a run of white space, which the tokenizers may join
@@ -143,8 +170,8 @@ class Aligner(dict):
                 else:
                     new |= missing
             cut.append(parts)
-        pieces = sorted(new)
-        self.update(zip(pieces, self.align(pieces)))
+        pieces = list(new)
+        self.update(zip(pieces, self.align(pieces, 1000)))
         result: list = []
         whole = []
         for i, (text, parts) in enumerate(zip(texts, cut)):
@@ -154,9 +181,8 @@ class Aligner(dict):
                 whole.append(i)
         for i, alignment in zip(whole, self.align([f" {texts[i]}" for i in whole])):
             result[i] = None if alignment is None else [alignment]
-        for p in pieces:
-            if len(p) > 100 or self[p] is None:
-                del self[p]
+        for p in [p for p in pieces if len(p) > 100 or self[p] is None]:
+            del self[p]
         return result
 
 

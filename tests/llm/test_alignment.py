@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from common_llm import documents
-from shopledger.llm.alignment import aligned
+from shopledger.llm.alignment import Aligner, aligned
 from shopledger.llm.common import table
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -94,3 +95,18 @@ def test_groups_and_empty_table(spark):
     rows = aligned(documents(spark, TEXTS), A, B, groups=True).collect()
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in rows if r.n_a)
     assert found(documents(spark, [])) == []
+
+
+def test_pieces_in_use_stay_known(monkeypatch):
+    """Pieces that keep coming are aligned once, though others pass the bound many times over."""
+    known = Aligner(Path(A).read_text("utf-8"), Path(B).read_bytes(), most=200)
+    made, grouped = [], known.grouped
+    monkeypatch.setattr(known, "grouped", lambda a, b, lengths: made.append(len(lengths)) or grouped(a, b, lengths))
+    texts = ["of the day it's " + " ".join(f"w{i}!" for i in range(j * 20, j * 20 + 20)) for j in range(40)]
+    found = [f for t in texts for f in known.of([t])]
+    assert sum(made) == 4 + 40 * 20
+    texts += ["x▁ and é <s> <|endoftext|> " * 3, "two  blanks", "\n"]
+    found += [f for t in texts[40:] for f in known.of([t])]
+    assert len(known) + len(known.before) <= 240
+    fresh = Aligner(Path(A).read_text("utf-8"), Path(B).read_bytes())
+    assert found == fresh.of(texts)
