@@ -252,7 +252,8 @@ class Tokens(dict):
     """Ids of pieces of text from the tokenizers library, as little-endian 32-bit numbers, kept up to a bound.
 
     A text is cut before every blank that has a visible character on either side. The vocabulary's own split cuts
-    there too, so equal pieces have equal ids wherever they are, and most are looked up.
+    there too, so equal pieces have equal ids wherever they are, and most are looked up. Half of the bound are pieces
+    used of late, ``before`` the half that was so until then; what comes again moves on.
     """
 
     def __init__(self, text: str, most: int = 400_000):
@@ -260,6 +261,13 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_str(text), most
+        self.before: dict[str, bytes] = {}
+        # A character of a byte-level token is a byte; other tokens are spelled as they are.
+        spelled = self.library.get_vocab(with_added_tokens=True).items()
+        self.sizes = np.zeros(max((i for _, i in spelled), default=-1) + 1, np.int64)
+        added = {t["content"] for t in json.loads(text)["added_tokens"]}
+        for token, i in spelled:
+            self.sizes[i] = len(token.encode()) if token in added else len(token)
         split = json.loads(text)["pre_tokenizer"]
         self.cuts = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
 
@@ -267,22 +275,47 @@ class Tokens(dict):
         """The ids of each text."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: Sequence[str], together: int = 1000) -> list[bytes]:
+        """The ids of pieces that begin with a blank and a visible character and end with one, many encoded as one text."""
+        coded: list[bytes] = []
+        starts = range(0, len(pieces), together)
+        found = self.library.encode_batch_fast(["".join(pieces[i : i + together]) for i in starts], add_special_tokens=False)
+        for i, e in zip(starts, found):
+            part = pieces[i : i + together]
+            ids = np.array(e.ids, "<u4")
+            at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])
+            to = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[to] == ends).all():
+                data, to = ids.tobytes(), [0, *((to + 1) * 4).tolist()]
+                coded += [data[a:b] for a, b in zip(to, to[1:])]
+            else:  # tokens do not spell the text byte by byte
+                coded += self.encode(part)
+        return coded
+
     def of(self, texts: Sequence[str]) -> list[bytes]:
         if not self.cuts:
             return self.encode(texts)
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.before = dict(self)
             self.clear()
+        before = self.before
         get, pieces, new = self.get, [], set()
         for text in texts:
             # Cut before blanks: a control character that no text here has marks the places.
             parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
             found = list(map(get, parts)) if parts else [None]
             if parts and None in found:
-                new.update([p for p, f in zip(parts, found) if f is None])
+                missing = {p for p, f in zip(parts, found) if f is None}
+                if again := list(filter(before.__contains__, missing)):
+                    self.update(zip(again, map(before.__getitem__, again)))
+                    missing.difference_update(again)
+                new |= missing
             pieces.append((parts, found))
         # Pieces that begin or end with white space but for the blank belong to a run of it: their texts go whole.
         apart = [p for p in new if p and not p[-1].isspace() and not p[1:2].isspace()]
-        self.update(zip(apart, self.encode(apart)))
+        inner, first = [p for p in apart if p[0] == " "], [p for p in apart if p[0] != " "]
+        self.update(zip(inner, self.encode_pieces(inner)))
+        self.update(zip(first, self.encode(first)))
         result, whole = [], []
         for i, (parts, found) in enumerate(pieces):
             if parts and None in found:

@@ -65,6 +65,25 @@ def test_ids_of_pieces_are_those_of_whole_texts(texts):
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_in_use_stay_known():
+    """Pieces that keep coming are encoded once, though others pass the bound many times over."""
+    known, encoded = token_files.Tokens(Path(PATH).read_text("utf-8"), most=200), []
+    library = known.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            encoded.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    known.library, pieces = Counted(), set()
+    for j in range(40):
+        text = "x of the day " + " ".join(f"é{i}!" for i in range(j * 20, j * 20 + 20))
+        pieces.update(text.replace(" ", "\0 ").split("\0"))
+        assert np.frombuffer(known.of([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, encoded)) == sum(map(len, pieces))
+    assert len(known) + len(known.before) <= 240
+
+
 def expected(rows):
     """Documents in id order, null first, then by text, with the place of their ids."""
     library, found, at = Tokenizer.from_file(PATH), [], 0
