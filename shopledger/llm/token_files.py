@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -27,6 +28,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -37,174 +39,214 @@ LANES = 4096
 SLOTS = 1024
 UNITS = 1024
 NO_ID = -(1 << 63)
-#: Code space of order 0: the units of all groups, each spread over the 256 ids of its group.
+#: No prediction. The highest id is so never predicted by orders 1 and 2, only by order 0.
+NONE = (1 << 16) - 1
+#: Code space of order 0: for each of 256 places in a group, the units of all groups.
 ORDER_0 = UNITS * 256
 LEVELS = 16
-WHOLE, LOW = 1 << 48, 1 << 32
+#: The coder works on two digits of 24 bits.
+DIGIT = float(1 << 24)
+WHOLE = DIGIT * DIGIT
 HEAD = struct.Struct("<4sHIIQ")
+#: White space by its number of bytes, and as bytes.
+SPACES = {n: [int.from_bytes(c, "big") for i in range(0x3100) if chr(i).isspace() and len(c := chr(i).encode()) == n] for n in (1, 2, 3)}
+SPACE_BYTES = np.isin(np.arange(256), SPACES[1])
+LETTER_BYTES = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+#: First bytes of characters of two bytes that are letters, but for U+00D7 and U+00F7.
+LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
 
 
-def mixture() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By the trust in orders 1 and 2 (0: no prediction): their space, that of order 2, and the bits of all space.
+def mixture() -> tuple[np.ndarray, ...]:
+    """The space that orders 0, 1 and 2 have by the trust in the last two, and what trust follows.
 
-    The whole space is a power of two, so the coder shifts instead of dividing.
+    By state (8 * (17 * trust in order 1 + trust in order 2) + 1 if order 1 predicts + 2 if order 2 does + 4 if the
+    same): the share of a unit in all space, and where the space of order 2 begins. By 4 * state + what came true (0:
+    neither, 1: order 1, 2: order 2): begin and size of its space (order 0: zeros), and the trust after it, as the
+    state without predictions. The whole space is a power of two, so its units are whole numbers.
     """
-    mass, mass_2, bits = (np.zeros((LEVELS + 1) ** 2, np.int64) for _ in range(3))
-    for one in range(LEVELS + 1):
-        for two in range(LEVELS + 1):
-            p, q = one / (LEVELS + 1), two / (LEVELS + 1)
-            doubled = min(5, max(int(one + two > 0), round(-math.log2((1 - p) * (1 - q)))))
-            both = ((1 << doubled) - 1) * ORDER_0
-            at = one * (LEVELS + 1) + two
-            mass[at], bits[at] = both, doubled + ORDER_0.bit_length() - 1
-            if two:
-                mass_2[at] = both if not one else min(both - 1, max(1, int(both * q / (q + p * (1 - q)))))
-    return mass, mass_2, bits
-
-
-MASS, MASS_2, BITS = mixture()
-#: Trust after a step, by three times the trust plus 0: no prediction, 1: wrong, 2: right.
-TRUST = np.array([[t, max(1, t - max(1, t // 4)), min(LEVELS, t + 1)] for t in range(LEVELS + 1)], dtype=np.int64).ravel()
-
-
-class Predictor:
-    """The mixed predictions of many blocks at once; coder and decoder drive it with the same ids."""
-
-    def __init__(self, lanes: int):
+    count = 8 * (LEVELS + 1) ** 2
+    share, two_from = np.ones(count), np.zeros(count)
+    begin, size, after = np.zeros((count, 4)), np.zeros((count, 4)), np.zeros((count, 4), np.int64)
+    for state in range(count):
+        trust, seen = divmod(state, 8)
+        both = divmod(trust, LEVELS + 1)
+        one, two = both[0] * (seen & 1), both[1] * (seen >> 1 & 1)
+        p, q = one / (LEVELS + 1), two / (LEVELS + 1)
+        doubled = min(5, max(int(one + two > 0), round(-math.log2((1 - p) * (1 - q)))))
+        mass, mass_2 = ((1 << doubled) - 1) * ORDER_0, 0
+        if two:
+            mass_2 = mass if not one or seen & 4 else min(mass - 1, max(1, int(mass * q / (q + p * (1 - q)))))
+        share[state] = 1 / (ORDER_0 << doubled)
+        two_from[state] = ORDER_0 + mass - mass_2
+        begin[state] = 0, ORDER_0, two_from[state], 0
+        size[state] = 0, mass - mass_2, mass_2, 0
+        for true in range(3):
+            right = true == 1 or true == 2 and seen & 4, true == 2 or true == 1 and seen & 4
+            new = [
+                t if not has else min(LEVELS, t + 1) if hit else max(1, t - max(1, t // 4))
+                for t, has, hit in zip(both, (seen & 1, seen & 2), right)
+            ]
+            after[state, true] = 8 * (new[0] * (LEVELS + 1) + new[1])
+    return share, two_from, begin.ravel(), size.ravel(), after.ravel()
+
+
+SHARE, TWO_FROM, BEGIN, SIZE, AFTER = mixture()
+#: The trust in both orders at the start, as a state.
+TRUST = 8 * (LEVELS // 2 * (LEVELS + 1) + LEVELS // 2)
+
+
+class Order0:
+    """Shares of 256 groups of ids in many blocks at once, made anew at some steps from the ids before."""
+
+    def __init__(self, lanes: int, steps: int):
         self.lanes = lanes
-        self.slot = np.arange(lanes, dtype=np.int64) * SLOTS
         self.group = np.arange(lanes, dtype=np.int64) * 256
-        self.unit = np.arange(lanes, dtype=np.int64) * UNITS
-        self.after_1 = np.full(lanes * SLOTS, -1, np.int32)
-        self.after_2 = np.full(lanes * SLOTS, -1, np.int32)
-        self.trust_1 = np.full(lanes, LEVELS // 2, np.int64)
-        self.trust_2 = np.full(lanes, LEVELS // 2, np.int64)
-        self.counts = np.zeros(lanes * 256, np.int64)
-        self.last_1 = np.zeros(lanes, np.int64)
-        self.last_2 = np.zeros(lanes, np.int64)
-        self.steps = self.counted = 0
+        # Counts times units are below 2^31 in blocks of common sizes.
+        self.counts = np.zeros(lanes * 256, np.int32 if steps < 1 << 21 else np.int64)
+        self.counted = 0
         self.share()
 
     def share(self) -> None:
-        """Units of each group, at least one, from the counts so far; what rounding leaves goes to group 0."""
-        units = 1 + self.counts.reshape(self.lanes, 256) * (UNITS - 256) // max(1, self.counted)
-        units[:, 0] += UNITS - units.sum(axis=1)
-        self.first = ((np.cumsum(units, axis=1) - units) << 8).ravel()
-        self.units = units.ravel()
+        """Units of each group, at least one, from the counts so far; what rounding leaves goes to group 0.
+
+        A number per group holds the unit at which it begins and, in its low 11 bits, how many it has.
+        """
+        units = self.counts.reshape(self.lanes, 256) * (UNITS - 256) // max(1, self.counted)
+        units += 1
+        ends = np.cumsum(units, axis=1, dtype=np.int32)
+        rest = UNITS - ends[:, -1:]
+        units[:, :1] += rest
+        ends += rest
+        ends <<= 11
+        ends -= units * ((1 << 11) - 1)
+        self.shares = ends.ravel()
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of groups, and the first of them."""
+        found = self.shares.take(at)
+        return found & ((1 << 11) - 1), found >> 11
 
     def owners(self) -> np.ndarray:
         """The group of every unit, for decoding."""
-        return np.repeat(np.tile(np.arange(256, dtype=np.int16), self.lanes), self.units)
-
-    def predict(self) -> None:
-        self.at_1 = self.slot + (self.last_1 & (SLOTS - 1))
-        self.at_2 = self.slot + (((self.last_2 << 3) ^ self.last_1) & (SLOTS - 1))
-        self.id_1, self.id_2 = self.after_1.take(self.at_1), self.after_2.take(self.at_2)
-        self.has_1, self.has_2 = self.id_1 >= 0, self.id_2 >= 0
-        trust = self.trust_1 * self.has_1 * (LEVELS + 1) + self.trust_2 * self.has_2
-        # The space: first order 2, with that of order 1 if they agree, then order 1, then order 0.
-        self.mass, self.bits = MASS.take(trust), BITS.take(trust)
-        self.mass_2 = np.where(self.id_1 == self.id_2, self.mass, MASS_2.take(trust))
-
-    def place(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the ids' part of the space."""
-        self.hit_1, self.hit_2 = self.id_1 == ids, self.id_2 == ids
-        group = self.group + (ids >> 8)
-        units = self.units.take(group)
-        begin = self.mass + self.first.take(group) + (ids & 255) * units
-        begin = np.where(self.hit_2, 0, np.where(self.hit_1, self.mass_2, begin))
-        return begin, np.where(self.hit_2, self.mass_2, np.where(self.hit_1, self.mass - self.mass_2, units))
-
-    def find(self, value: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids at places of the space, and begin and size of their parts."""
-        rest = np.maximum(value - self.mass, 0)
-        group = owners.take(self.unit + (rest >> 8)).astype(np.int64)
-        at = self.group + group
-        units, first = self.units.take(at), self.first.take(at)
-        inside = ((rest - first) / units).astype(np.int64)
-        in_2, in_any = value < self.mass_2, value < self.mass
-        ids = np.where(in_2, self.id_2, np.where(in_any, self.id_1, (group << 8) + inside))
-        begin = np.where(in_2, 0, np.where(in_any, self.mass_2, self.mass + first + inside * units))
-        size = np.where(in_2, self.mass_2, np.where(in_any, self.mass - self.mass_2, units))
-        self.hit_1, self.hit_2 = self.id_1 == ids, self.id_2 == ids
-        return ids, begin, size
-
-    def learn(self, ids: np.ndarray, past: np.ndarray) -> bool:
-        """Take in the ids, the last row of ``past``; true if the shares of order 0 were made anew."""
-        self.trust_1 = TRUST.take(self.trust_1 * 3 + self.has_1 + self.hit_1)
-        self.trust_2 = TRUST.take(self.trust_2 * 3 + self.has_2 + self.hit_2)
-        self.after_1[self.at_1] = ids
-        self.after_2[self.at_2] = ids
-        self.last_2, self.last_1 = self.last_1, ids
-        self.steps += 1
-        if self.steps not in (16, 64, 128) and self.steps % 256:
-            return False
-        new = (past[self.counted : self.steps] >> 8) + self.group
-        self.counts += np.bincount(new.ravel(), minlength=self.lanes * 256)
-        self.counted = self.steps
+        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.lanes), self.shares & ((1 << 11) - 1))
+
+    @staticmethod
+    def due(steps: int) -> bool:
+        return steps in (16, 64, 128) or not steps % 256
+
+    def learn(self, groups: np.ndarray, steps: int) -> None:
+        """Count groups of ids, with ``group`` added, up to a step."""
+        self.counts += np.bincount(groups.ravel(), minlength=self.lanes * 256)
+        self.counted = steps
         self.share()
-        return True
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The bytes of each row of ``ids`` (blocks by steps, ids below 65,536)."""
+    """The bytes of each row of ``ids`` (blocks by steps, ids below 65,536).
+
+    All ids are known, so what the orders predict, the trust, and the places in the space are found one after the
+    other for some steps at once. The numbers of the coder are whole and below 2^53, so exact as doubles.
+    """
     lanes, steps = ids.shape
-    model, columns = Predictor(lanes), np.ascontiguousarray(ids.T.astype(np.int64))
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, WHOLE, np.int64)
-    width = 2 * steps + 4
-    out, at = np.zeros(lanes * width, np.int32), np.arange(lanes, dtype=np.int64) * width
-    begins = at.copy()
-    for x in columns:
-        model.predict()
-        begin, size = model.place(x)
-        unit = span >> model.bits
-        low += unit * begin
-        span = unit * size
-        while (short := span <= LOW).any():
-            # A carry makes a digit of more than 16 bits; it is passed on at the end. A digit that is not due yet
-            # is written over.
-            out[at] = low >> 32
-            shift = short * 16
-            low = (low & np.where(short, LOW - 1, -1)) << shift
-            span <<= shift
-            at += short
-        model.learn(x, columns)
-    for shift in (32, 16, 0):
-        out[at] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
-        at += 1
-    out, used = out.reshape(lanes, width), at - begins
-    for i in range(int(used.max()) - 1, 0, -1):
-        out[:, i - 1] += out[:, i] >> 16
-    digits = out.astype("<u2")
-    return [digits[i, : used[i]].tobytes() for i in range(lanes)]
+    ids = ids.astype(np.uint16)
+    model, slot, trust = Order0(lanes, steps), np.arange(lanes, dtype=np.int64) * SLOTS, np.full(lanes, TRUST, np.int64)
+    table_1, table_2 = np.full(lanes * SLOTS, NONE, np.uint16), np.full(lanes * SLOTS, NONE, np.uint16)
+    low, span = np.zeros(lanes), np.full(lanes, WHOLE)
+    out, due = np.empty((steps + 2, lanes), np.int32), np.ones((steps + 2, lanes), bool)
+    ends = [end for end in range(1, steps) if model.due(end) or not end % 32] + [steps]
+    rows = np.zeros((2, lanes), np.uint16)
+    for start, end in zip([0, *ends], ends):
+        # The ids of the steps, after those of two steps before.
+        rows = np.concatenate([rows[-2:], ids[:, start:end].T])
+        last, new = rows[1:-1], rows[2:]
+        at_1, at_2 = (last & (SLOTS - 1)) + slot, ((last ^ rows[:-2] << 3) & (SLOTS - 1)) + slot
+        id_1, id_2 = np.empty_like(new), np.empty_like(new)
+        for here_1, here_2, found_1, found_2, x in zip(at_1, at_2, id_1, id_2, new):
+            found_1[:], found_2[:] = table_1.take(here_1), table_2.take(here_2)
+            table_1[here_1] = x
+            table_2[here_2] = x
+        has_1, has_2 = id_1 != NONE, id_2 != NONE
+        hit_2 = ((id_2 == new) & has_2).view(np.uint8)
+        true = np.maximum(((id_1 == new) & has_1).view(np.uint8), hit_2 << 1)
+        seen = has_1.view(np.uint8) + (has_2.view(np.uint8) << 1) + ((id_1 == id_2).view(np.uint8) << 2)
+        events = ((seen << 2) + true).astype(np.int64)
+        for event in events:
+            event += trust << 2
+            trust = AFTER.take(event)
+        begins, sizes, shares = BEGIN.take(events), SIZE.take(events), SHARE.take(events >> 2)
+        units, first = model.of((new >> 8) + model.group)
+        first += (new & 255).astype(np.int32) * UNITS
+        neither = (true == 0).view(np.uint8)
+        units *= neither
+        first *= neither
+        sizes += units
+        begins += first
+        for share, begin, size, digit, short in zip(shares, begins, sizes, out[start:], due[start:]):
+            unit = np.floor(span * share)
+            low += unit * begin
+            span = unit * size
+            # A carry makes a digit of more than 24 bits; it is passed on at the end. Digits not due are dropped.
+            np.less_equal(span, DIGIT, out=short)
+            high = np.floor(low * (1 / DIGIT))
+            digit[:] = high
+            low = np.where(short, (low - high * DIGIT) * DIGIT, low)
+            span = np.where(short, span * DIGIT, span)
+        if end < steps and model.due(end):
+            model.learn((ids[:, model.counted : end] >> 8) + model.group[:, None], end)
+    high = np.floor(low * (1 / DIGIT))
+    out[steps], out[steps + 1] = high, low - high * DIGIT
+    digits, ends = out.T[due.T], np.cumsum(due.sum(axis=0)) * 3
+    while len(over := np.flatnonzero(digits >> 24)):
+        digits[over] &= (1 << 24) - 1
+        digits[over - 1] += 1
+    data = digits.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def decode_blocks(coded: list[bytes], steps: int) -> np.ndarray:
     """The ids of blocks of ``steps`` ids each."""
     lanes = len(coded)
-    lengths = np.array([len(c) // 2 for c in coded])
-    width = int(lengths.max()) + 2
-    digits = np.zeros((lanes, width), np.int32)
-    for i, c in enumerate(coded):
-        digits[i, : lengths[i]] = np.frombuffer(c, "<u2")
-    code = (digits[:, 0].astype(np.int64) << 32) | (digits[:, 1].astype(np.int64) << 16) | digits[:, 2]
-    digits, at, span = digits.ravel(), np.arange(lanes, dtype=np.int64) * width + 3, np.full(lanes, WHOLE, np.int64)
-    model, out = Predictor(lanes), np.empty((steps, lanes), np.int64)
-    owners = model.owners()
+    places = np.frombuffer(b"".join(coded) + bytes(3), np.uint8).reshape(-1, 3).T.astype(np.float32)
+    # 24 bits fit a float.
+    digits = places[0] + places[1] * (1 << 8) + places[2] * (1 << 16)
+    at = np.cumsum([0] + [len(c) // 3 for c in coded[:-1]])
+    code, span = digits[at] * DIGIT + digits[at + 1].astype(np.float64), np.full(lanes, WHOLE)
+    at += 2
+    model, out = Order0(lanes, steps), np.empty((steps, lanes), np.uint16)
+    slot, unit_at = np.arange(lanes, dtype=np.int64) * SLOTS, np.arange(lanes, dtype=np.int64) * UNITS
+    table_1, table_2 = np.full(lanes * SLOTS, NONE, np.uint16), np.full(lanes * SLOTS, NONE, np.uint16)
+    last_1, last_2 = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+    trust, owners = np.full(lanes, TRUST, np.int64), model.owners()
     for step in range(steps):
-        model.predict()
-        unit = span >> model.bits
+        at_1, at_2 = (last_1 & (SLOTS - 1)) + slot, ((last_1 ^ last_2 << 3) & (SLOTS - 1)) + slot
+        id_1, id_2 = table_1.take(at_1), table_2.take(at_2)
+        seen = (id_1 != NONE).view(np.uint8) + ((id_2 != NONE).view(np.uint8) << 1) + ((id_1 == id_2).view(np.uint8) << 2)
+        state = trust + seen
+        unit = np.floor(span * SHARE.take(state))
         # Exact: the quotient and its distance from the next whole number fit a double.
-        x, begin, size = model.find((code / unit).astype(np.int64), owners)
-        code -= unit * begin
-        span = unit * size
-        while (short := span <= LOW).any():
-            shift = short * 16
-            code = (code << shift) | (digits.take(at) * short)
-            span <<= shift
-            at += short
-        out[step] = x
-        if model.learn(x, out):
+        value = np.floor(code / unit)
+        in_2, in_any = value >= TWO_FROM.take(state), value >= ORDER_0
+        event = (state << 2) + (in_any.view(np.uint8) + in_2.view(np.uint8))
+        rest = value.astype(np.int32) & (ORDER_0 - 1)
+        owned = rest & (UNITS - 1)
+        group = owners.take(owned + unit_at)
+        units, first = model.of(group + model.group)
+        ids = np.where(in_any, np.where(in_2, id_2, id_1), (group.astype(np.uint16) << 8) + (rest >> 10).astype(np.uint16))
+        rest -= owned
+        rest += first
+        code -= unit * np.where(in_any, BEGIN.take(event), rest)
+        span = unit * np.where(in_any, SIZE.take(event), units)
+        short = span <= DIGIT
+        code = np.where(short, code * DIGIT + digits.take(at), code)
+        span = np.where(short, span * DIGIT, span)
+        at += short
+        table_1[at_1] = ids
+        table_2[at_2] = ids
+        trust = AFTER.take(event)
+        last_2, last_1 = last_1, ids
+        out[step] = ids
+        if step + 1 < steps and model.due(step + 1):
+            model.learn((out[model.counted : step + 1] >> 8) + model.group, step + 1)
             owners = model.owners()
     return out.T
 
@@ -213,7 +255,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block:
     """One segment. Ids must be below 65,536."""
     if len(ids) and int(ids.max()) >= 1 << 16:
         raise ValueError("ids of 65,536 and more are not supported")
-    head = HEAD.pack(b"TIDS", 1, block, len(doc_ids), len(ids))
+    head = HEAD.pack(b"TIDS", 2, block, len(doc_ids), len(ids))
     head += np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes()
     parts = [head, struct.pack("<I", zlib.crc32(head))]
     full = np.zeros(-(-len(ids) // block) * block, np.int64)
@@ -228,7 +270,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block:
 def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, their numbers of ids, and all ids of a segment; ``ValueError`` if a checksum is wrong."""
     magic, version, block, documents, total = HEAD.unpack_from(segment)
-    if magic != b"TIDS" or version != 1:
+    if magic != b"TIDS" or version != 2:
         raise ValueError("not a segment of token ids")
     at = HEAD.size + 16 * documents
     if zlib.crc32(segment[:at]) != struct.unpack_from("<I", segment, at)[0]:
@@ -251,16 +293,17 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Tokens(dict):
     """Ids of pieces of text from the tokenizers library, as little-endian 32-bit numbers, kept up to a bound.
 
-    A text is cut before every blank that has a visible character on either side. The vocabulary's own split cuts
-    there too, so equal pieces have equal ids wherever they are, and most are looked up. Half of the bound are pieces
-    used of late, ``before`` the half that was so until then; what comes again moves on.
+    Texts are cut where the vocabulary's own split cuts whatever stands on either side: before a blank and around a
+    line feed between visible characters, and between a letter and punctuation. Equal pieces have equal ids wherever
+    they are, so Arrow tells them apart and each is looked up once per call. Half of the bound are pieces used of
+    late, ``before`` the half that was so until then; what comes again moves on. Long pieces are not kept.
     """
 
-    def __init__(self, text: str, most: int = 400_000):
+    def __init__(self, text: str, most: int = 400_000, longest: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_str(text), most
+        self.library, self.most, self.longest = Tokenizer.from_str(text), most, longest
         self.before: dict[str, bytes] = {}
         # A character of a byte-level token is a byte; other tokens are spelled as they are.
         spelled = self.library.get_vocab(with_added_tokens=True).items()
@@ -270,62 +313,121 @@ class Tokens(dict):
             self.sizes[i] = len(token.encode()) if token in added else len(token)
         split = json.loads(text)["pre_tokenizer"]
         self.cuts = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        self.cuts = self.cuts and not set(" \n") & set("".join(added))
+        # Added tokens are found before the split, so no cut may lie inside them.
+        self.stops = np.isin(np.arange(256), [ord(c) for c in set(string.punctuation) - set("".join(added))])
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: Sequence[str], together: int = 1000) -> list[bytes]:
-        """The ids of pieces that begin with a blank and a visible character and end with one, many encoded as one text."""
+    def encode_pieces(self, pieces: Sequence[str], between: str = "", together: int = 100) -> list[bytes]:
+        """The ids of pieces that end with a visible character, many encoded as one text.
+
+        They begin with a blank and a visible character, or with a visible one if ``between`` is a line feed.
+        """
         coded: list[bytes] = []
         starts = range(0, len(pieces), together)
-        found = self.library.encode_batch_fast(["".join(pieces[i : i + together]) for i in starts], add_special_tokens=False)
-        for i, e in zip(starts, found):
+        texts = [between.join(pieces[i : i + together]) for i in starts]
+        for i, e in zip(starts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             part = pieces[i : i + together]
             ids = np.array(e.ids, "<u4")
-            at, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])
-            to = np.searchsorted(at, ends)
-            if len(at) and at[-1] == ends[-1] and (at[to] == ends).all():
-                data, to = ids.tobytes(), [0, *((to + 1) * 4).tolist()]
-                coded += [data[a:b] for a, b in zip(to, to[1:])]
+            lengths = np.array([len(p.encode()) for p in part])
+            ends = np.cumsum(lengths + len(between)) - len(between)
+            # The tokens that begin and end each piece; byte places at which tokens begin, and the end.
+            at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            first, last = np.searchsorted(at, ends - lengths), np.searchsorted(at, ends)
+            if at[-1] == ends[-1] and (at[first] == ends - lengths).all() and (at[last] == ends).all():
+                data = ids.tobytes()
+                coded += [data[a:b] for a, b in zip((first * 4).tolist(), (last * 4).tolist())]
             else:  # tokens do not spell the text byte by byte
                 coded += self.encode(part)
         return coded
 
-    def of(self, texts: Sequence[str]) -> list[bytes]:
+    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The bytes of texts that begin at ``starts`` at which pieces begin."""
+        begins, n = np.zeros(len(data) + 1, bool), len(data)
+        begins[starts] = True
+        begins[n] = True
+        edge = begins.copy()
+
+        def spaces(width: int, first: np.ndarray) -> np.ndarray:
+            code = np.zeros(len(first), np.int64)
+            for i in range(width):
+                code = (code << 8) | data.take(first + i, mode="clip")
+            return np.isin(code, SPACES[width])
+
+        def seen(at: np.ndarray, back: bool) -> np.ndarray:
+            """Whether visible characters end (``back``) or begin at the places."""
+            byte = data[at]
+            found = ~SPACE_BYTES[byte]
+            wide = np.flatnonzero(byte >= 0x80)
+            for width in (2, 3):
+                first = at[wide] - (width - 1 if back else 0)
+                found[wide[spaces(width, first)]] = False
+            return found
+
+        for byte in (b" ", b"\n"):
+            at = np.flatnonzero(data == byte[0])
+            at = at[~edge[at] & ~edge[at + 1]]
+            at = at[seen(at - 1, True) & seen(at + 1, False)]
+            begins[at] = True
+            if byte == b"\n":
+                begins[at + 1] = True
+        at = np.flatnonzero(self.stops[data])
+        at = at[~edge[at]]
+        last, lead = data[at - 1], data.take(at - 2, mode="clip")
+        # Letters: those of ASCII, U+00C0 to U+027F but for two signs, and U+0400 to U+047F.
+        wide = (last >= 0x80) & (LETTER_LEADS[lead]) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        begins[at[LETTER_BYTES[last] | wide]] = True
+        return np.flatnonzero(begins[:n])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null), one after another, and how many each has."""
         if not self.cuts:
-            return self.encode(texts)
+            coded = self.encode(texts.to_pylist())
+            return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
         if len(self) > self.most // 2:
             self.before = dict(self)
             self.clear()
-        before = self.before
-        get, pieces, new = self.get, [], set()
-        for text in texts:
-            # Cut before blanks: a control character that no text here has marks the places.
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            found = list(map(get, parts)) if parts else [None]
-            if parts and None in found:
-                missing = {p for p, f in zip(parts, found) if f is None}
-                if again := list(filter(before.__contains__, missing)):
-                    self.update(zip(again, map(before.__getitem__, again)))
-                    missing.difference_update(again)
-                new |= missing
-            pieces.append((parts, found))
-        # Pieces that begin or end with white space but for the blank belong to a run of it: their texts go whole.
-        apart = [p for p in new if p and not p[-1].isspace() and not p[1:2].isspace()]
-        inner, first = [p for p in apart if p[0] == " "], [p for p in apart if p[0] != " "]
-        self.update(zip(inner, self.encode_pieces(inner)))
-        self.update(zip(first, self.encode(first)))
-        result, whole = [], []
-        for i, (parts, found) in enumerate(pieces):
-            if parts and None in found:
-                found = list(map(get, parts))
-            result.append(None if None in found else b"".join(found))
-            if result[-1] is None:
-                whole.append(i)
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            result[i] = ids
-        return result
+        texts = texts.cast(pa.large_binary())
+        _, offsets, buffer = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if offsets[-1] == offsets[0]:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        data, starts = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        begins = np.append(self.places(data, starts), len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)])
+        pieces = pieces.dictionary_encode()
+        known = self.of_pieces(pieces.dictionary.cast(pa.large_string()).to_pylist())
+        found = pa.array(known, pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] // 4
+        return np.frombuffer(found.buffers()[2], "<u4")[: ends[-1]], np.diff(ends[np.searchsorted(begins, starts)])
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        found = list(map(self.get, pieces))
+        missing = [p for p, f in zip(pieces, found) if f is None]
+        now = {p: f for p, f in zip(missing, map(self.before.get, missing)) if f is not None}
+        new = [p for p in missing if p not in now]
+        # White space at an end is that of a text, or belongs to a run of it.
+        apart = [p for p in new if not p[-1].isspace()]
+        inner = [p for p in apart if p[0] == " " and not p[1].isspace()]
+        first = [p for p in apart if not p[0].isspace()]
+        others = list(set(new).difference(inner, first))
+        now.update(zip(inner, self.encode_pieces(inner)))
+        now.update(zip(first, self.encode_pieces(first, "\n")))
+        now.update(zip(others, self.encode(others)))
+        self.update(now)
+        for p in [p for p in now if len(p) > self.longest]:
+            del self[p]
+        return [now[p] if f is None else f for p, f in zip(pieces, found)]
+
+    def of(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text."""
+        ids, lengths = self.ids(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), (np.cumsum(lengths) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -333,6 +435,17 @@ def tokens(text: str) -> Tokens:
     return Tokens(text)
 
 
+def sized(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of texts, a row at least."""
+    filled = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = filled[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(filled, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_ids: int = BLOCK * LANES) -> None:
     """Tokenize ``docs`` (``doc_id``, ``text``) and write their ids under ``path`` in ascending ``doc_id`` order.
 
@@ -344,7 +457,6 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = tokens(content.value), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, held = [], [], [], 0
-        end = struct.pack("<I", end_id)
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, lengths, ids, held
@@ -354,11 +466,12 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
             return pa.RecordBatch.from_arrays(arrays, ["part", "segment", "n_ids", "content"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rows = batch.slice(start, 500)
-                coded = encoder.of([t or "" for t in rows.column(1).to_pylist()])
-                for doc_id, found in zip(rows.column(0).to_pylist(), coded):
-                    own = np.frombuffer(found + end, "<u4")
+            for rows in sized(batch, 1, 32 << 20):
+                found, numbers = encoder.ids(rows.column(1).fill_null(""))
+                ends = np.cumsum(numbers)
+                found, ends = np.insert(found, ends, end_id), (ends + np.arange(1, len(ends) + 1)).tolist()
+                for doc_id, a, b in zip(rows.column(0).to_pylist(), [0, *ends], ends):
+                    own = found[a:b]
                     doc_ids.append(doc_id)
                     lengths.append(len(own))
                     ids.append(own)

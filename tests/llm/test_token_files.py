@@ -84,6 +84,31 @@ def test_pieces_in_use_stay_known():
     assert len(known) + len(known.before) <= 240
 
 
+def test_a_word_is_encoded_once_whatever_follows_it():
+    """Punctuation and line feeds behind a word make no new piece for the library, and ids stay those of whole texts."""
+    known, encoded = token_files.Tokens(Path(PATH).read_text("utf-8")), []
+    library = known.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            encoded.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    known.library = Counted()
+    texts = [f"a zyxwé{mark} zyxwé{mark}\nzyxwé a" for mark in ("", ".", ",", "!", "?", ";", ":)", "'s", "'s.")] * 2
+    found = known.of(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "".join(encoded).count("zyxwé") == 2  # with and without a blank before it
+
+
+def test_carries_and_highest_id():
+    """Blocks whose coder carries into earlier digits, and the id that stands for no prediction."""
+    rng = np.random.default_rng(5)
+    rows = np.where(rng.random((300, 700)) < 0.5, 65535, rng.integers(65000, 65536, (300, 700)))
+    rows[:20] = 65535
+    assert (token_files.decode_blocks(token_files.encode_blocks(rows), 700) == rows).all()
+
+
 def expected(rows):
     """Documents in id order, null first, then by text, with the place of their ids."""
     library, found, at = Tokenizer.from_file(PATH), [], 0
