@@ -48,12 +48,8 @@ LEVELS = 16
 DIGIT = float(1 << 24)
 WHOLE = DIGIT * DIGIT
 HEAD = struct.Struct("<4sHIIQ")
-#: White space by its number of bytes, and as bytes.
+#: White space by its number of bytes.
 SPACES = {n: [int.from_bytes(c, "big") for i in range(0x3100) if chr(i).isspace() and len(c := chr(i).encode()) == n] for n in (1, 2, 3)}
-SPACE_BYTES = np.isin(np.arange(256), SPACES[1])
-LETTER_BYTES = np.isin(np.arange(256), list(string.ascii_letters.encode()))
-#: First bytes of characters of two bytes that are letters, but for U+00D7 and U+00F7.
-LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
 
 
 def mixture() -> tuple[np.ndarray, ...]:
@@ -246,7 +242,8 @@ def decode_blocks(coded: list[bytes], steps: int) -> np.ndarray:
         last_2, last_1 = last_1, ids
         out[step] = ids
         if step + 1 < steps and model.due(step + 1):
-            model.learn((out[model.counted : step + 1] >> 8) + model.group, step + 1)
+            new = np.ascontiguousarray((out[model.counted : step + 1] >> 8).astype(np.uint8).T)
+            model.learn(new + model.group[:, None], step + 1)
             owners = model.owners()
     return out.T
 
@@ -290,21 +287,23 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if d == NO_ID else d for d in doc_ids.tolist()], lengths, flat
 
 
-class Tokens(dict):
+class Tokens:
     """Ids of pieces of text from the tokenizers library, as little-endian 32-bit numbers, kept up to a bound.
 
     Texts are cut where the vocabulary's own split cuts whatever stands on either side: before a blank and around a
     line feed between visible characters, and between a letter and punctuation. Equal pieces have equal ids wherever
-    they are, so Arrow tells them apart and each is looked up once per call. Half of the bound are pieces used of
-    late, ``before`` the half that was so until then; what comes again moves on. Long pieces are not kept.
+    they are, so Arrow tells them apart and finds the known ones. Half of the bound are pieces used of late,
+    ``before`` the half that was so until then; what comes again moves on. Long pieces are not kept.
     """
 
-    def __init__(self, text: str, most: int = 400_000, longest: int = 100):
+    def __init__(self, text: str, most: int = 2_000_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.library, self.most, self.longest = Tokenizer.from_str(text), most, longest
-        self.before: dict[str, bytes] = {}
+        # Pieces known, and the ids of each.
+        self.known = self.before = pa.array([], pa.large_binary())
+        self.known_ids = self.before_ids = pa.array([], pa.large_binary())
         # A character of a byte-level token is a byte; other tokens are spelled as they are.
         spelled = self.library.get_vocab(with_added_tokens=True).items()
         self.sizes = np.zeros(max((i for _, i in spelled), default=-1) + 1, np.int64)
@@ -315,71 +314,74 @@ class Tokens(dict):
         self.cuts = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         self.cuts = self.cuts and not set(" \n") & set("".join(added))
         # Added tokens are found before the split, so no cut may lie inside them.
-        self.stops = np.isin(np.arange(256), [ord(c) for c in set(string.punctuation) - set("".join(added))])
+        stops = set(string.punctuation) - set("".join(added))
+        # Marks of bytes: white space, blank, line feed, punctuation at which texts may be cut, letter, and the first
+        # bytes of characters of two and of three bytes that may be white space, and of letters of two bytes.
+        groups = [SPACES[1], [32], [10], map(ord, stops), string.ascii_letters.encode(), [0xC2], [0xE1, 0xE2, 0xE3], [*range(0xC3, 0xCA), 0xD0, 0xD1]]
+        marks = np.zeros(256, np.uint8)
+        for bit, group in enumerate(groups):
+            marks[list(group)] |= 1 << bit
+        self.marks = marks.tobytes()
+
+    def __len__(self) -> int:
+        return len(self.known)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: Sequence[str], between: str = "", together: int = 100) -> list[bytes]:
+    def encode_pieces(self, pieces: pa.Array, between: str = "", together: int = 100) -> pa.Array:
         """The ids of pieces that end with a visible character, many encoded as one text.
 
         They begin with a blank and a visible character, or with a visible one if ``between`` is a line feed.
         """
-        coded: list[bytes] = []
-        starts = range(0, len(pieces), together)
-        texts = [between.join(pieces[i : i + together]) for i in starts]
-        for i, e in zip(starts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            part = pieces[i : i + together]
-            ids = np.array(e.ids, "<u4")
-            lengths = np.array([len(p.encode()) for p in part])
-            ends = np.cumsum(lengths + len(between)) - len(between)
-            # The tokens that begin and end each piece; byte places at which tokens begin, and the end.
-            at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
-            first, last = np.searchsorted(at, ends - lengths), np.searchsorted(at, ends)
-            if at[-1] == ends[-1] and (at[first] == ends - lengths).all() and (at[last] == ends).all():
-                data = ids.tobytes()
-                coded += [data[a:b] for a, b in zip((first * 4).tolist(), (last * 4).tolist())]
-            else:  # tokens do not spell the text byte by byte
-                coded += self.encode(part)
-        return coded
+        texts = pieces.cast(pa.large_string()).to_pylist()
+        if not texts:
+            return pieces
+        joined = [between.join(texts[i : i + together]) for i in range(0, len(texts), together)]
+        found = [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        ids, lengths = np.concatenate(found), pc.binary_length(pieces).to_numpy()
+        gaps = np.full(len(texts), len(between))
+        gaps[together - 1 :: together] = gaps[-1] = 0
+        ends = np.cumsum(lengths + gaps) - gaps
+        # The tokens that begin and end each piece, by the bytes at which tokens begin, and the end.
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        first, last = np.searchsorted(at, ends - lengths), np.searchsorted(at, ends)
+        if at[-1] != ends[-1] or (at[first] != ends - lengths).any() or (at[last] != ends).any():
+            return pa.array(self.encode(texts), pa.large_binary())  # tokens do not spell the text byte by byte
+        ids, to = np.delete(ids, last[gaps > 0]), np.cumsum(np.append(0, last - first)) * 4
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(to), pa.py_buffer(ids)])
 
     def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The bytes of texts that begin at ``starts`` at which pieces begin."""
-        begins, n = np.zeros(len(data) + 1, bool), len(data)
-        begins[starts] = True
+        n = len(data)
+        begins = np.zeros(n + 1, bool)
+        begins[starts] = True  # empty texts begin where the next one does
         begins[n] = True
-        edge = begins.copy()
-
-        def spaces(width: int, first: np.ndarray) -> np.ndarray:
+        inside = ~begins
+        marks = np.frombuffer(data.tobytes().translate(self.marks), np.uint8)
+        seen = (marks & 1) == 0
+        # White space of several bytes: its first and last bytes.
+        for width, rare in ((2, marks & 32), (3, marks & 64)):
+            first = np.flatnonzero(rare != 0)
             code = np.zeros(len(first), np.int64)
             for i in range(width):
-                code = (code << 8) | data.take(first + i, mode="clip")
-            return np.isin(code, SPACES[width])
-
-        def seen(at: np.ndarray, back: bool) -> np.ndarray:
-            """Whether visible characters end (``back``) or begin at the places."""
-            byte = data[at]
-            found = ~SPACE_BYTES[byte]
-            wide = np.flatnonzero(byte >= 0x80)
-            for width in (2, 3):
-                first = at[wide] - (width - 1 if back else 0)
-                found[wide[spaces(width, first)]] = False
-            return found
-
-        for byte in (b" ", b"\n"):
-            at = np.flatnonzero(data == byte[0])
-            at = at[~edge[at] & ~edge[at + 1]]
-            at = at[seen(at - 1, True) & seen(at + 1, False)]
-            begins[at] = True
-            if byte == b"\n":
-                begins[at + 1] = True
-        at = np.flatnonzero(self.stops[data])
-        at = at[~edge[at]]
-        last, lead = data[at - 1], data.take(at - 2, mode="clip")
+                code = (code << 8) | data[first + i]
+            first = first[np.isin(code, SPACES[width])]
+            seen[first] = seen[first + width - 1] = False
+        between = np.zeros(n, bool)
+        between[1:-1] = seen[:-2] & seen[2:]
+        between &= inside[:n]
+        between &= inside[1:]
+        feeds = between & ((marks & 4) != 0)
+        between &= (marks & 2) != 0
         # Letters: those of ASCII, U+00C0 to U+027F but for two signs, and U+0400 to U+047F.
-        wide = (last >= 0x80) & (LETTER_LEADS[lead]) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
-        begins[at[LETTER_BYTES[last] | wide]] = True
+        letters = (marks[:-1] & 16) != 0
+        letters[1:] |= ((marks[:-2] & 128) != 0) & ~((data[:-2] == 0xC3) & ((data[1:-1] == 0x97) | (data[1:-1] == 0xB7)))
+        begins[:n] |= between
+        begins[:n] |= feeds
+        begins[1:] |= feeds
+        begins[1:n] |= letters & ((marks[1:] & 8) != 0) & inside[1:n]
         return np.flatnonzero(begins[:n])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -387,41 +389,57 @@ class Tokens(dict):
         if not self.cuts:
             coded = self.encode(texts.to_pylist())
             return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
-        if len(self) > self.most // 2:
-            self.before = dict(self)
-            self.clear()
+        if len(self) > self.most // 2 or self.known.nbytes + self.known_ids.nbytes > 64 << 20:
+            self.before, self.before_ids = self.known, self.known_ids
+            self.known, self.known_ids = self.known[:0], self.known_ids[:0]
         texts = texts.cast(pa.large_binary())
         _, offsets, buffer = texts.buffers()
         offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         if offsets[-1] == offsets[0]:
             return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
         data, starts = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-        begins = np.append(self.places(data, starts), len(data))
+        begins, last = [], 0
+        while last < len(texts):  # texts of about 256 KB at a time, which stay in a core's cache
+            first, last = last, max(last + 1, int(np.searchsorted(starts, starts[last] + (256 << 10), "right")) - 1)
+            a, b = starts[first], starts[last]
+            if a < b:
+                begins.append(self.places(data[a:b], starts[first:last] - a) + a)
+        begins = np.concatenate([*begins, [len(data)]])
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)])
         pieces = pieces.dictionary_encode()
-        known = self.of_pieces(pieces.dictionary.cast(pa.large_string()).to_pylist())
-        found = pa.array(known, pa.large_binary()).take(pieces.indices)
+        found = self.of_pieces(pieces.dictionary).take(pieces.indices)
         ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] // 4
         return np.frombuffer(found.buffers()[2], "<u4")[: ends[-1]], np.diff(ends[np.searchsorted(begins, starts)])
 
-    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+    def of_pieces(self, pieces: pa.Array) -> pa.Array:
         """The ids of different pieces."""
-        found = list(map(self.get, pieces))
-        missing = [p for p, f in zip(pieces, found) if f is None]
-        now = {p: f for p, f in zip(missing, map(self.before.get, missing)) if f is not None}
-        new = [p for p in missing if p not in now]
+        places = pc.index_in(pieces, self.known).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        at = np.flatnonzero(places < 0)
+        unknown = pieces.take(pa.array(at))
+        again = pc.index_in(unknown, self.before)
+        moved = again.is_valid()
+        new = unknown.filter(again.is_null())
+        new_ids = self.encode_new(new)
+        # Known pieces come first, then those that move on, then new ones.
+        order = np.argsort(again.is_null().to_numpy(zero_copy_only=False), kind="stable")
+        places[at[order]] = len(self) + np.arange(len(at))
+        known_ids = pa.concat_arrays([self.known_ids, self.before_ids.take(again.drop_null())])
+        self.known = pa.concat_arrays([self.known, unknown.filter(moved)])
+        kept = pc.less_equal(pc.binary_length(new), self.longest)
+        self.known, self.known_ids = pa.concat_arrays([self.known, new.filter(kept)]), pa.concat_arrays([known_ids, new_ids.filter(kept)])
+        return pa.concat_arrays([known_ids, new_ids]).take(pa.array(places))
+
+    def encode_new(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces from the library."""
         # White space at an end is that of a text, or belongs to a run of it.
-        apart = [p for p in new if not p[-1].isspace()]
-        inner = [p for p in apart if p[0] == " " and not p[1].isspace()]
-        first = [p for p in apart if not p[0].isspace()]
-        others = list(set(new).difference(inner, first))
-        now.update(zip(inner, self.encode_pieces(inner)))
-        now.update(zip(first, self.encode_pieces(first, "\n")))
-        now.update(zip(others, self.encode(others)))
-        self.update(now)
-        for p in [p for p in now if len(p) > self.longest]:
-            del self[p]
-        return [now[p] if f is None else f for p, f in zip(pieces, found)]
+        texts = pieces.cast(pa.large_string()).to_pylist()
+        kinds = [2 if p[-1].isspace() else (p[1].isspace() * 2 if p[0] == " " else 1 + p[0].isspace()) for p in texts]
+        order = np.argsort(kinds, kind="stable")
+        one, two = np.searchsorted(np.array(kinds)[order], (1, 2))
+        pieces = pieces.take(pa.array(order))
+        inner, first, others = pieces[:one], pieces[one:two], pieces[two:].cast(pa.large_string()).to_pylist()
+        coded = [self.encode_pieces(inner), self.encode_pieces(first, "\n"), pa.array(self.encode(others), pa.large_binary())]
+        return pa.concat_arrays(coded).take(pa.array(np.argsort(order)))
 
     def of(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""

@@ -101,6 +101,18 @@ def test_a_word_is_encoded_once_whatever_follows_it():
     assert "".join(encoded).count("zyxwé") == 2  # with and without a blank before it
 
 
+EDGES = [
+    "a", "zy", "é", "Ø", "ß", "д", "×", "÷", "²", "5", ".", ",", "!", "'", "'s", "’", "<", "|", "<|endoftext|>", " ", "\n", "\t", "\x1f",
+    "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000", "日", "𝒳", "", "Â", "\u0345", "\u0483",
+]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(EDGES), max_size=12).map("".join), max_size=12))
+def test_cuts_beside_white_space_letters_and_punctuation_of_any_width(texts):
+    assert TOKENS.of(texts) == TOKENS.encode(texts)
+
+
 def test_carries_and_highest_id():
     """Blocks whose coder carries into earlier digits, and the id that stands for no prediction."""
     rng = np.random.default_rng(5)
