@@ -52,6 +52,26 @@ def copies_deleted_after(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def shuffles_deleted_after_each(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of every query that is run inside the block as soon as it ends.
+
+    Else they stay until the driver happens to collect its garbage. For reports that run in parts, each of them written.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def in_part(name: str, part: int, parts: int) -> Column:
+    """Whether a row lies in one of ``parts`` parts of the values of a column, 0 to ``parts - 1``; null lies in one, too."""
+    return F.pmod(F.xxhash64(name), F.lit(parts)) == part
+
+
 def new_copy(spark: SparkSession) -> str:
     """The path of a new intermediate table in the shared folder."""
     path = f"{shared_folder(spark)}/shopledger-{uuid.uuid4().hex}"
@@ -60,15 +80,16 @@ def new_copy(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from there.
 
     Unlike a checkpoint of rows, the copy is columnar: later steps read only the
     columns they need, and the planner knows its size. Two results can share it.
+    ``compression`` is the session's by default.
     """
     spark = df.sparkSession
     path = new_copy(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

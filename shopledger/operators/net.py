@@ -53,39 +53,44 @@ def channel_lookup(
     )
 
 
+def original_orders(returns: DataFrame) -> DataFrame:
+    """The orders that returns name as their original ones, each once; what ``channel_lookup`` wants."""
+    return (
+        returns.where(F.col("original_order_analytics_id").isNotNull())
+        .select(F.col("original_order_analytics_id").alias("order_analytics_id"))
+        .distinct()
+    )
+
+
 def original_channel(
     returns: DataFrame, headers: DataFrame, lines: DataFrame, source: str = "oroms",
-    originals: DataFrame | None = None,
+    originals: DataFrame | None = None, lookup: DataFrame | None = None, spread_by: Sequence[str] = ("order_line_analytics_id",),
 ) -> DataFrame:
     """Add the channel of the original online order to each return, null when there is none.
 
-    Most returns name no original order; those rows are spread over all tasks.
+    Most returns name no original order; those rows are spread over all tasks, by ``spread_by``.
     ``originals`` may give a cheaper read of the original order ids than
-    ``returns`` itself.
+    ``returns`` itself, and ``lookup`` a ``channel_lookup`` that was made before.
     """
-    originals = returns if originals is None else originals
-    wanted = (
-        originals.where(F.col("original_order_analytics_id").isNotNull())
-        .select(F.col("original_order_analytics_id").alias("order_analytics_id"))
-        .distinct()
-    )
-    lookup = channel_lookup(headers, lines, wanted, source).withColumnRenamed(
-        "order_analytics_id", "original_order_analytics_id"
-    )
+    if lookup is None:
+        lookup = channel_lookup(headers, lines, original_orders(returns if originals is None else originals), source)
+    lookup = lookup.withColumnRenamed("order_analytics_id", "original_order_analytics_id")
     return spread_null_left_join(
         returns, lookup, ["original_order_analytics_id", "product_analytics_id"],
-        spread_by=["order_line_analytics_id"],
+        spread_by=spread_by,
     )
 
 
 def attributed_returns(
     returns: DataFrame, lines: DataFrame, headers: DataFrame,
     channels: Sequence[str] | None = WEB_CHANNELS, warehouse: int = WAREHOUSE, target: int = WEB_LOCATION,
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Returns with the location and channel they count for, in one pass over both order systems.
 
     Online lines keep their channel and may move to the web location; store
-    lines keep their location and take the channel of the original online order.
+    lines keep their location and take the channel of the original online order,
+    from ``lookup`` where a ``channel_lookup`` was made before.
     """
     line = lines.select(
         "order_line_analytics_id",
@@ -94,21 +99,24 @@ def attributed_returns(
         F.col("sales_channel").alias("line_channel"),
         "unit_last_cost",
     ).where(F.col("line_source").isin("oroms", "xcenter"))
-    known = headers.select(F.col("order_analytics_id").alias("line_order_analytics_id"))
-    joined = returns.join(line, "order_line_analytics_id").join(known, "line_order_analytics_id", "left_semi")
     in_store = F.col("line_source") == "xcenter"
-    joined = joined.withColumn(
-        "original_order_analytics_id", F.when(in_store, F.col("original_order_analytics_id"))
+    place = F.when(in_store, F.col("location_analytics_id")).otherwise(
+        remap_return_location("location_analytics_id", "line_channel", warehouse, target, channels)
+    )
+    kept = [c for c in returns.columns if c not in ("location_analytics_id", "original_order_analytics_id")]
+    # Only what the later joins need goes through them; the line id, a long text, as its hash.
+    found = returns.join(line, "order_line_analytics_id").select(
+        *kept, "line_order_analytics_id", place.cast("bigint").alias("attribution_location_analytics_id"),
+        F.when(~in_store, F.col("line_channel")).alias("line_channel"),
+        F.when(in_store, F.col("original_order_analytics_id")).alias("original_order_analytics_id"),
+        F.xxhash64("order_line_analytics_id").alias("_spread"), "unit_last_cost",
     )
-    return original_channel(joined, headers, lines, originals=returns).select(
-        *[c for c in returns.columns if c not in ("location_analytics_id", "original_order_analytics_id")],
-        F.when(in_store, F.col("location_analytics_id"))
-        .otherwise(remap_return_location("location_analytics_id", "line_channel", warehouse, target, channels))
-        .cast("bigint")
-        .alias("attribution_location_analytics_id"),
-        F.coalesce(F.when(in_store, F.col("original_channel")).otherwise(F.col("line_channel")), F.lit("pos")).alias(
-            "sales_channel"
-        ),
+    # An inner join to distinct ids: a semi-join would be moved below the join before it, and shuffle all lines once more.
+    known = headers.select(F.col("order_analytics_id").alias("line_order_analytics_id")).distinct()
+    joined = found.join(known, "line_order_analytics_id")
+    return original_channel(joined, headers, lines, originals=returns, lookup=lookup, spread_by=["_spread"]).select(
+        *kept, "attribution_location_analytics_id",
+        F.coalesce("line_channel", "original_channel", F.lit("pos")).alias("sales_channel"),
         "unit_last_cost",
     )
 

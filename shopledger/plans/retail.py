@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import moment, ratio, zero_if_null
-from ..functions.ordered import cut_lineage, ordered_scan
+from ..functions.ordered import copies_deleted_after, cut_lineage, in_part, new_copy, ordered_scan, shuffles_deleted_after_each
 from ..operators import classes, inventory, keys, net, pricing, time, windows
 from ..sources.catalog import RetailTables
 from .parameters import DISTRICTS, FLAG_STORES, OTHER_REGION, REGIONS, WAREHOUSE_REGION
@@ -110,29 +111,97 @@ def delivered_moves(t: RetailTables, days: Column | None = None) -> tuple[DataFr
     return net.attributed_sales(sold, t["sales_line"]), net.attributed_returns(returned, t["sales_line"], t["sales_header"])
 
 
-def delivered_net(t: RetailTables, days: Column | None = None) -> DataFrame:
+#: Parts of the order lines that deliveries and returns are joined to one after the other, and parts of the days that are
+#: netted one after the other. The disk that shuffles take at a time is divided by them; all rows go through.
+LINE_PARTS, DAY_PARTS = 2, 8
+MOVE_COLUMNS = [
+    "date_analytics_id", "product_analytics_id", "attribution_location_analytics_id", "sales_channel",
+    "quantity", "merchandise", "fair_market_value",
+]
+NET_KEYS = ["date_analytics_id", "department_id", "vendor_analytics_id", "attribution_location_analytics_id", "sales_channel"]
+NET_SUMS = [f"{side}_{m}" for m in ("units", "dollars", "cost", "margin") for side in ("sales", "return")]
+
+
+def written_moves(t: RetailTables, days: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``delivered_net`` needs of ``delivered_moves``, as tables in the shared folder.
+
+    Lines are joined by parts of their ids, and each part's shuffle files are gone before the next one's are written.
+    """
+    sold, returned = t["delivered_sales"], t["delivered_returns"]
+    if days is not None:
+        sold, returned = sold.where(days), returned.where(days)
+    headers, lines = t["sales_header"], t["sales_line"]
+
+    def written(moves: DataFrame) -> DataFrame:
+        return cut_lineage(moves.select(*MOVE_COLUMNS), "zstd")
+
+    lookup = cut_lineage(net.channel_lookup(headers, lines, net.original_orders(returned)))
+    some = [in_part("order_line_analytics_id", i, LINE_PARTS) for i in range(LINE_PARTS)]
+    returns = [written(net.attributed_returns(returned.where(p), lines.where(p), headers, lookup=lookup)) for p in some]
+    sales = [written(net.attributed_sales(sold.where(p), lines.where(p))) for p in some]
+    return reduce(DataFrame.unionByName, sales), reduce(DataFrame.unionByName, returns)
+
+
+def product_places(t: RetailTables) -> DataFrame:
+    """Department and vendor of each product; products that only one of the two tables has are kept."""
+    return t["product_to_merchandising_taxonomy"].select(
+        "product_analytics_id", F.col("level_3_analytics_id").alias("department_id")
+    ).join(t["products"].select("product_analytics_id", "vendor_analytics_id"), "product_analytics_id", "full_outer")
+
+
+def delivered_net(sales: DataFrame, returns: DataFrame, products: DataFrame) -> DataFrame:
     """Deliveries and returns with department and vendor, netted per day, product, location and channel."""
-    sales, returns = delivered_moves(t, days)
     cost = zero_if_null("fair_market_value")
     # Netting per product first evens out popular products before the product dimensions are joined.
     per_product = net.net_of(
         sales, returns, ["date_analytics_id", "product_analytics_id", "attribution_location_analytics_id", "sales_channel"],
         {"units": "quantity", "dollars": "merchandise", "cost": cost, "margin": F.col("merchandise") - cost},
     )
-    products = t["product_to_merchandising_taxonomy"].select(
-        "product_analytics_id", F.col("level_3_analytics_id").alias("department_id")
-    ).join(t["products"].select("product_analytics_id", "vendor_analytics_id"), "product_analytics_id", "full_outer")
     return per_product.join(products, "product_analytics_id", "left")
 
 
-NET_KEYS = ["date_analytics_id", "department_id", "vendor_analytics_id", "attribution_location_analytics_id", "sales_channel"]
-NET_MEASURES = [f"{side}_{m}" for m in ("units", "dollars", "cost", "margin") for side in ("sales", "return", "net")]
+def _store_sums(netted: DataFrame) -> DataFrame:
+    return netted.groupBy(*NET_KEYS).agg(*[F.sum(m).alias(m) for m in NET_SUMS])
+
+
+def dated_net(sums: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The net of both sides and the date; the net of sums is the sum of nets, as no measure of ``net_of`` is null."""
+    columns = []
+    for m in ("units", "dollars", "cost", "margin"):
+        sold, returned = F.col(f"sales_{m}"), F.col(f"return_{m}")
+        columns += [sold, returned, (sold - returned).alias(f"net_{m}")]
+    return sums.select(*NET_KEYS, *columns).join(calendar.select("date_analytics_id", "gregorian_date"), "date_analytics_id", "left")
 
 
 def returns_by_store(t: RetailTables, days: Column | None = None) -> DataFrame:
     """Sales, returns and net by day, department, vendor, store and channel; ``days`` limits the facts at the scan."""
-    netted = delivered_net(t, days).groupBy(*NET_KEYS).agg(*[F.sum(m).alias(m) for m in NET_MEASURES])
-    return netted.join(t["calendar"].select("date_analytics_id", "gregorian_date"), "date_analytics_id", "left")
+    return dated_net(_store_sums(delivered_net(*delivered_moves(t, days), product_places(t))), t["calendar"])
+
+
+def store_sums_in_parts(t: RetailTables, write: Callable[[DataFrame, Column, int], None], days: Column | None = None, parts: int = DAY_PARTS) -> None:
+    """Give ``write`` the sums that ``returns_by_store`` is made of, some days at a time.
+
+    ``write`` also gets what these days are and the number of the part; it must write what it makes of them. Tables and
+    shuffle files that a part needs are deleted before the next part, or at the end.
+    """
+    with copies_deleted_after(t.spark), shuffles_deleted_after_each(t.spark):
+        sales, returns = written_moves(t, days)
+        products = cut_lineage(product_places(t))
+        for i in range(parts):
+            some = in_part("date_analytics_id", i, parts)
+            write(_store_sums(delivered_net(sales.where(some), returns.where(some), products)), some, i)
+
+
+def written_returns_by_store(t: RetailTables) -> DataFrame:
+    """``returns_by_store`` over facts of any size: its sums are written in parts to the shared folder and read from there."""
+    path, kinds = new_copy(t.spark), []
+
+    def write(sums: DataFrame, _: Column, part: int) -> None:
+        kinds.append(sums.schema)
+        sums.write.mode("append").option("compression", "zstd").parquet(path)
+
+    store_sums_in_parts(t, write)
+    return dated_net(t.spark.read.schema(kinds[0]).parquet(path), t["calendar"])
 
 
 def returns_by_store_to_date(t: RetailTables, as_of: date) -> DataFrame:

@@ -69,7 +69,7 @@ query("cancelled_cooking_classes")(lambda t: retail.cancelled_classes(t, datetim
 query("class_fill_rate")(
     lambda t: retail.class_fill_rate(t, datetime(2000, 1, 1), datetime(2000, 12, 31, 23, 59, 59))
 )
-query("returns_by_store")(retail.returns_by_store)
+query("returns_by_store")(retail.written_returns_by_store)
 query("returns_by_store_to_date")(lambda t: retail.returns_by_store_to_date(t, AS_OF))
 query("sales_by_discount_code")(lambda t: retail.sales_by_discount_code(t, AS_OF, date(2000, 6, 14)))
 query("sales_by_discount_code_full")(

@@ -8,6 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from found import left_behind, rows, shuffled
 from shopledger.functions.ordered import ordered_scan, with_range
 from shopledger.operators import inventory, time, windows
 from shopledger.plans import planning, retail
@@ -145,6 +146,35 @@ def test_dates_of_returns_come_from_the_calendar(spark):
     assert moved.where("gregorian_date is null").count() == 0
 
 
+def test_returns_by_store_leave_little_on_disk(spark, tmp_path):
+    """Each part's shuffle files are gone before the next part's are written."""
+    before = shuffled(spark)
+    run("returns_by_store", spark, "/root/testdata/sf0.01").write.parquet(f"{tmp_path}/out")
+    assert left_behind(spark, before, 0) == 0
+
+
+def test_returns_by_store_in_parts_have_all_rows(spark):
+    """Also those without a day or a line, and lines, headers and products that come twice; parts share no group."""
+    base = from_driver(spark, FOLDER)
+    odd = {}
+    for name in ("delivered_sales", "delivered_returns"):
+        odd[name] = base[name].withColumns({
+            "date_analytics_id": F.when(F.col("product_analytics_id") % 5 > 0, F.col("date_analytics_id")),
+            "order_line_analytics_id": F.when(F.col("product_analytics_id") % 7 > 0, F.col("order_line_analytics_id")),
+            "fair_market_value": F.when(F.col("product_analytics_id") % 3 > 0, F.col("fair_market_value")),
+            "merchandise": F.when(F.col("product_analytics_id") % 11 > 0, F.col("merchandise")),
+        })
+    for name, few in (("sales_line", "line_id = 1"), ("sales_header", "order_analytics_id % 3 = 0"), ("products", "product_analytics_id % 4 = 0")):
+        odd[name] = base[name].union(base[name].where(few)).where("order_analytics_id % 17 > 0" if name == "sales_header" else "true")
+    t = overlaid(spark, **odd)
+    plain = retail.returns_by_store(t)
+    assert rows(retail.written_returns_by_store(t), *plain.columns) == rows(plain)
+    assert plain.where("date_analytics_id is null").count() and plain.where("return_units > 0").count()
+    parts = []
+    retail.store_sums_in_parts(t, lambda sums, some, part: parts.append((sums.count(), sums.where(~some).count())))
+    assert len(parts) == retail.DAY_PARTS and not any(out for _, out in parts) and sum(n for n, _ in parts) == plain.count()
+
+
 def test_purchase_order_lines_at_two_locations_stay_apart(spark):
     base = from_driver(spark, FOLDER)
     first, second = (r.location_analytics_id for r in base["locations"].orderBy("location_analytics_id").limit(2).collect())
