@@ -1,15 +1,16 @@
 """The daily view of sales and returns by store, kept as a table that is renewed day by day.
 
 A day is a partition. Days are replaced whole (dynamic partition overwrite), so a renewal that is repeated, or that runs
-again after a failure, leaves the same table. A day that had facts gets a marker row when it is renewed, so one that has
-lost them is emptied and not left as it was. What the facts of each day looked like is written after the rows.
+again after a failure, leaves the same table. Some of its days are made and written at a time, so that it takes little
+disk. A day that had facts gets a marker row when it is renewed, so one that has lost them is emptied and not left as it
+was. What the facts of each day looked like is written after the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import time
 from ..operators.keys import latest_per_key
@@ -46,23 +47,35 @@ def refresh(t: RetailTables, path: str, days: Sequence[int] | None = None) -> No
     days' facts: renew all days then.
     """
     spark = t.spark
+
+    def write(rows: DataFrame, mode: str, overwrite: str) -> None:
+        rows.repartition(DAY).write.partitionBy(DAY).mode(mode).option("partitionOverwriteMode", overwrite).parquet(f"{path}/rows")
+
+    def present(sums: DataFrame) -> DataFrame:
+        return retail.dated_net(sums, t["calendar"]).withColumn("_present", F.lit(True))
+
     if days is None:
-        rows = retail.returns_by_store(t).withColumn("_present", F.lit(True))
-        rows.repartition(DAY).write.partitionBy(DAY).mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/rows")
+        # The first part replaces all there is.
+        retail.store_sums_in_parts(t, lambda sums, some, part: write(present(sums), "append" if part else "overwrite", "static"))
         prints = fingerprints(t).withColumn("renewal", F.lit(0))
         prints.write.partitionBy("renewal").mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/facts")
         return
     if not days:
         return
-    rows = retail.returns_by_store(t, time.on_days(days)).withColumn("_present", F.lit(True))
-    prints, kept, renewal = fingerprints(t, days), _kept(spark, path), 0
+    prints, kept, renewal, had = fingerprints(t, days), _kept(spark, path), 0, None
     if kept is not None:
         had = kept.where(time.on_days(days)).where("n > 0")
-        rows = rows.unionByName(had.select(DAY, F.lit(False).alias("_present")).distinct(), allowMissingColumns=True)
         gone = had.join(prints, [DAY, "fact"], "left_anti").select(DAY, "fact", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("hash"))
         prints = prints.unionByName(gone)
         renewal = 1 + (spark.read.parquet(f"{path}/facts").agg(F.max("renewal")).first()[0] or 0)
-    rows.repartition(DAY).write.partitionBy(DAY).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
+
+    def renew(sums: DataFrame, some: Column, part: int) -> None:
+        rows = present(sums)
+        if had is not None:
+            rows = rows.unionByName(had.where(some).select(DAY, F.lit(False).alias("_present")).distinct(), allowMissingColumns=True)
+        write(rows, "overwrite", "dynamic")
+
+    retail.store_sums_in_parts(t, renew, time.on_days(days), min(retail.DAY_PARTS, len(days)))
     prints.write.mode("overwrite").parquet(f"{path}/facts/renewal={renewal}")
 
 

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from found import rows
+from found import left_behind, rows, shuffled
 from shopledger.functions.distinct import counted, distinct_bitmaps, distinct_over, estimated, merged, sketches
 from shopledger.operators import time
 from shopledger.operators.keys import latest_per_key
@@ -114,6 +114,18 @@ def test_a_renewal_reads_only_its_days(spark, some_days):
     assert scans and maintained.fingerprints(whole, days[:1]).select(time.DAY).distinct().count() == 1
 
 
+def test_a_renewal_leaves_little_on_disk(spark, tmp_path):
+    """Only the days' fingerprints stay in shuffle files; no line does."""
+    before = shuffled(spark)
+    t = from_driver(spark, "/root/testdata/sf0.01")
+    days = time.day_ids(t["calendar"].where(F.col("gregorian_date") < F.lit(date(2000, 6, 1))))
+    maintained.refresh(t, f"{tmp_path}/view", days)
+    assert left_behind(spark, before, 500_000) <= 500_000
+    before = shuffled(spark)
+    maintained.refresh(t, f"{tmp_path}/view")
+    assert left_behind(spark, before, 500_000) <= 500_000
+
+
 EVENTS = "id bigint, ts timestamp_ntz, number string, version bigint, amount decimal(10,2)"
 
 
